@@ -77,7 +77,7 @@ def extract_year(spark, folder):
 
 
 @query(f"""
-SELECT count_if(ok) AS accepted, count_if(NOT ok) AS rejected
+SELECT CAST(count_if(ok) AS BIGINT) AS accepted, CAST(count_if(NOT ok) AS BIGINT) AS rejected
 FROM (SELECT regexp_matches({DATES}, '^\\d{{4}}') AS ok FROM orders)""")
 def accept_or_reject_by_year(spark, folder):
     rows = table(spark, folder, "orders").select(_dates().alias("published_at"))

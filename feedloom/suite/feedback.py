@@ -13,7 +13,7 @@ LABEL_SQL = """CASE WHEN count_if(content = 'THUMBS_UP') > count_if(content = 'T
 
 
 @query(with_views("reactions", f"""
-SELECT thread, count_if(content = 'THUMBS_UP') AS likes, count_if(content = 'THUMBS_DOWN') AS dislikes,
+SELECT thread, CAST(count_if(content = 'THUMBS_UP') AS BIGINT) AS likes, CAST(count_if(content = 'THUMBS_DOWN') AS BIGINT) AS dislikes,
   {LABEL_SQL} AS preference FROM reactions GROUP BY thread"""))
 def label_feedback(spark, folder):
     return feedback_labels(reactions(spark, folder))

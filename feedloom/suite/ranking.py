@@ -45,7 +45,7 @@ SHOWN_SQL = JOINED_SQL + f"""
 placed AS (SELECT *, row_number() OVER (ORDER BY tier,
   CASE WHEN tier = 2 THEN -ln(u) / (score - {BOUNDARY}) ELSE u END, id) AS place,
   greatest(1, floor(count(*) OVER () * CAST({RATE} AS DOUBLE))) AS target FROM keyed),
-shown AS (SELECT *, CASE WHEN place <= target THEN 1 ELSE 0 END AS show FROM placed)"""
+shown AS (SELECT *, CASE WHEN place <= target THEN 1 ELSE 0 END AS "show" FROM placed)"""
 
 
 def background(spark, folder):
@@ -72,7 +72,7 @@ def score_candidates(spark, folder):
 
 
 @query(with_views(CANDIDATES, SHOWN_SQL + """
-SELECT id, round(score, 6) AS score, tier, CAST(show AS INTEGER) AS show FROM shown"""))
+SELECT id, round(score, 6) AS score, tier, CAST("show" AS INTEGER) AS "show" FROM shown"""))
 def sample_by_score_tier(spark, folder):
     rows = adaptive_sample(scored(spark, folder), RATE, HIGH, BOUNDARY, SEED)
     return rows.select(
@@ -81,7 +81,7 @@ def sample_by_score_tier(spark, folder):
     )
 
 
-@query(with_views(CANDIDATES, JOINED_SQL + "SELECT id, round(score, 6) AS score, 1 AS show FROM scored"))
+@query(with_views(CANDIDATES, JOINED_SQL + 'SELECT id, round(score, 6) AS score, 1 AS "show" FROM scored'))
 def recommend_all(spark, folder):
     rows = adaptive_sample(scored(spark, folder), RATE, HIGH, BOUNDARY, SEED, include_all=True)
     return rows.select("id", F.round("score", 6).alias("score"), F.col("show").cast("int").alias("show"))
@@ -155,7 +155,7 @@ def trained_model_is_optimal(spark, folder):
 SELECT 'preferred' AS key, count(*) AS value FROM preferred
 UNION ALL SELECT 'background', count(*) FROM background
 UNION ALL SELECT 'scored', count(*) FROM shown
-UNION ALL SELECT 'recommended', CAST(sum(show) AS BIGINT) FROM shown"""))
+UNION ALL SELECT 'recommended', CAST(sum("show") AS BIGINT) FROM shown"""))
 def count_run(spark, folder):
     preferred, rest = split_candidates(joined(spark, folder), prefs(spark, folder))
     rows = adaptive_sample(scored(spark, folder), RATE, HIGH, BOUNDARY, SEED)

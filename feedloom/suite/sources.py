@@ -75,14 +75,8 @@ def drop_already_summarised(spark, folder):
     return drop_known(rows, read_summary_ids(spark, path)).select("id", "title", "updated")
 
 
-def _xml_escape(c):
-    clean = F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " ")
-    for old, new in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-        clean = F.replace(clean, F.lit(old), F.lit(new))
-    return clean
-
-
-CLEAN_SQL = r"regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f]', ' ', 'g')"
+CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"  # not allowed in XML
+CLEAN_SQL = f"regexp_replace(text, '{CONTROL}', ' ', 'g')"
 
 
 @query(f"""
@@ -94,36 +88,36 @@ SELECT CAST(doc_id AS VARCHAR) AS paper_id, {strip_sql(f"split_part({CLEAN_SQL},
 FROM documents WHERE lang <> 'de' AND source <> 'src7'""")
 def parse_harvest_records(spark, folder):
     """Harvest pages made from the documents: deleted records in one language, empty ones in one source."""
-    text = _xml_escape(F.col("text"))
-
-    def tag(name, value):
-        return F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
-
-    record = F.concat(
-        F.lit('<record xmlns="urn:pages"><header'),
-        F.when(F.col("lang") == "de", ' status="deleted"').otherwise(""),
-        F.lit(">"), tag("identifier", F.col("doc_id").cast("string")), F.lit("</header>"),
-        F.when(F.col("source") == "src7", F.lit("")).otherwise(
-            F.concat(
-                F.lit("<metadata><arXiv>"),
-                tag("id", F.col("doc_id").cast("string")),
-                tag("created", day(F.col("doc_id"))),
-                tag("updated", day(F.col("doc_id"), "2025-01-01")),
-                F.lit("<authors><author>"), tag("keyname", F.col("lang")),
-                tag("forenames", F.col("source")), F.lit("</author><author>"),
-                tag("keyname", F.col("lang")), F.lit("</author></authors>"),
-                tag("title", F.substring_index(text, "\n", 1)),
-                tag("categories", F.concat_ws(" ", "source", "lang")),
-                tag("doi", F.concat(F.lit("10.1/"), F.col("doc_id").cast("string"))),
-                F.lit('<license uri="http://example.org/'), F.col("lang"), F.lit('"/>'),
-                tag("abstract", text),
-                F.lit("</arXiv></metadata>"),
-            )
+    text = F.regexp_replace("text", CONTROL, " ")
+    key = F.col("doc_id").cast("string")
+
+    def author(keyname, forenames):
+        return F.struct(keyname.alias("keyname"), forenames.alias("forenames"))
+
+    document = F.struct(
+        key.alias("id"),
+        day(F.col("doc_id")).alias("created"),
+        day(F.col("doc_id"), "2025-01-01").alias("updated"),
+        F.struct(
+            F.array(
+                author(F.col("lang"), F.col("source")),
+                author(F.col("lang"), F.lit(None).cast("string")),
+            ).alias("author")
+        ).alias("authors"),
+        F.substring_index(text, "\n", 1).alias("title"),
+        F.concat_ws(" ", "source", "lang").alias("categories"),
+        F.concat(F.lit("10.1/"), key).alias("doi"),
+        F.struct(F.concat(F.lit("http://example.org/"), F.col("lang")).alias("_uri")).alias("license"),
+        text.alias("abstract"),
+    )
+    records = table(spark, folder, "documents").select(
+        F.struct(F.when(F.col("lang") == "de", "deleted").alias("_status"), key.alias("identifier")).alias(
+            "header"
         ),
-        F.lit("</record>"),
+        F.when(F.col("source") != "src7", F.struct(document.alias("arXiv"))).alias("metadata"),
     )
     path = scratch_path(spark, "harvest")
-    table(spark, folder, "documents").select(record.alias("value")).write.text(path)
+    records.write.format("xml").options(rowTag="record", rootTag="ListRecords").save(path)
     rows = parse_harvest(read_harvest_xml(spark, path))
     return rows.select(
         "paper_id", "title", F.md5(F.col("abstract").cast("binary")).alias("abstract_md5"),

@@ -184,7 +184,7 @@ def render_plain_documents(spark, folder):
 WITH {PAGE_SQL}
 SELECT paper_id AS id, md5(markdown) AS summary_md5, '{NOW_TEXT}' AS summary_time, 'summary' AS source,
   'pages/' || paper_id || '.md' AS source_file, language AS lang, '2025-12' AS month,
-  CASE WHEN CAST(paper_id AS BIGINT) % 2 = 0 THEN 0.5 END AS score,
+  CASE WHEN CAST(paper_id AS BIGINT) % 2 = 0 THEN CAST(0.5 AS DOUBLE) END AS score,
   CASE WHEN CAST(paper_id AS BIGINT) % 3 = 0 THEN 1 ELSE 0 END AS has_categories FROM pages_made""")
 def make_summary_records(spark, folder):
     c = F.col("paper_id").cast("long")
@@ -242,7 +242,7 @@ def merge_summaries_last_wins(spark, folder):
 @query(f"""
 WITH {SOURCES_SQL},
 outputs AS (SELECT paper_id, context IS NOT NULL AS ok FROM sources)
-SELECT count(*) AS total_sources, count_if(ok) AS summarized, count_if(NOT ok) AS skipped FROM outputs""")
+SELECT count(*) AS total_sources, CAST(count_if(ok) AS BIGINT) AS summarized, CAST(count_if(NOT ok) AS BIGINT) AS skipped FROM outputs""")
 def summarise_batch(spark, folder):
     """Prompts through a batch model, parsed and rendered; sources without content are skipped."""
     done = summarise(_sources(spark, folder), StubModel, "m", "a")

@@ -248,8 +248,8 @@ def preference_statistics(spark, folder):
 
 
 @query(with_views("job_runs", """
-SELECT job, count(*) AS total_runs, count_if(status = 'success') AS success_count,
-  count_if(status = 'failure') AS failure_count, count_if(status = 'dry_run') AS dry_run_count,
+SELECT job, count(*) AS total_runs, CAST(count_if(status = 'success') AS BIGINT) AS success_count,
+  CAST(count_if(status = 'failure') AS BIGINT) AS failure_count, CAST(count_if(status = 'dry_run') AS BIGINT) AS dry_run_count,
   arg_max(status, (end_time, seq)) AS last_status,
   arg_max([error], (end_time, seq)) FILTER (status <> 'dry_run')[1] AS last_error,
   strftime(max(end_time), '%Y-%m-%d %H:%M:%S') AS last_end_time,
