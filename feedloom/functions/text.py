@@ -25,6 +25,11 @@ def non_empty(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def computed_once(c: Column) -> Column:
+    """`non_empty` for costly expressions: a comparison and a result would each evaluate `c`."""
+    return F.get(F.filter(F.array(c), lambda text: text != ""), F.lit(0))
+
+
 def split_list(c: Column, sep: str = ";") -> Column:
     """Split on `sep` and strip each item; null and '' give one empty item."""
     return F.transform(F.split(blank(c), f"\\Q{sep}\\E"), strip)

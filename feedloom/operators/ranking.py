@@ -56,7 +56,7 @@ def balanced_weight(train: DataFrame) -> tuple[int, Column]:
 
 
 def fit_ranker(
-    train: DataFrame, C: float = 1.0, max_iter: int = 1000, tol: float = 1e-9
+    train: DataFrame, C: float = 1.0, max_iter: int = 1000, tol: float = 1e-7
 ) -> LogisticRegressionModel:
     """L2 logistic regression with balanced classes on `features` and `label`.
 

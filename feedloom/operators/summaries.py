@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.ids import month_bucket
-from ..functions.text import blank, first_sentences, non_empty, strip
+from ..functions.text import blank, computed_once, first_sentences, non_empty, strip
 from .dedup import keep_last
 
 # The wording and layout of prompts, stub summaries and rendered pages.
@@ -34,38 +34,51 @@ PAGE_LINK = "https://arxiv.org/abs/"
 def html_text(c: Column) -> Column:
     """Readable text of an HTML fragment: no scripts, styles, comments or tags, spaces squeezed."""
     bare = F.regexp_replace(c, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ")
-    return non_empty(strip(F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", " "), r"\s+", " ")))
+    text = F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", " "), r"\s+", " ")
+    return computed_once(strip(text))
 
 
 def article_text(c: Column) -> Column:
     """Text of the first article element, null when there is none."""
-    return html_text(non_empty(F.regexp_extract(c, r"(?is)<article\b[^>]*>(.*?)</article>", 1)))
+    return html_text(F.regexp_extract(c, r"(?is)<article\b[^>]*>(.*?)</article>", 1))
 
 
 def body_text(c: Column) -> Column:
     """Text of the whole body, null when there is none."""
-    return html_text(non_empty(F.regexp_extract(c, r"(?is)<body\b[^>]*>(.*)</body>", 1)))
+    return html_text(F.regexp_extract(c, r"(?is)<body\b[^>]*>(.*)</body>", 1))
 
 
-def extract_content(df: DataFrame, chain: Sequence[tuple[str, Column]]) -> tuple[DataFrame, DataFrame]:
-    """(ok with `content` and `origin`, rejected with `reason`): the first source that has text wins.
+def extract_content(df: DataFrame, chain: Sequence[tuple[str, Column]]) -> DataFrame:
+    """Add `content` and `origin` from the first source that has text, else `reason`.
 
-    Each row is decided on its own; one that fails does not affect later ones.
+    Each row is decided on its own; one that fails does not affect later ones. A later source is
+    only worked out where the earlier ones gave nothing, and each at most once: the result is one
+    struct per row, so that no filter or column repeats the extraction.
     """
-    tried = df.withColumns({f"_{name}": source for name, source in chain})
-    origin = F.coalesce(
-        *[F.when(F.col(f"_{name}").isNotNull(), F.lit(name)) for name, _ in chain]
-    )
-    done = tried.withColumn("content", F.coalesce(*[F.col(f"_{n}") for n, _ in chain])).withColumn(
-        "origin", origin
-    ).drop(*[f"_{n}" for n, _ in chain])
+    def labelled(name: str, source: Column) -> Column:
+        def entry(text: Column) -> Column:
+            return F.struct(text.alias("content"), F.lit(name).alias("origin"))
+
+        kept = F.filter(F.array(source), lambda text: text.isNotNull())
+        return F.get(F.transform(kept, entry), F.lit(0))
+
+    found = F.coalesce(*[labelled(name, source) for name, source in chain])
     reason = F.lit("no text in " + " or ".join(name for name, _ in chain))
     return (
-        done.where(F.col("content").isNotNull()),
-        done.where(F.col("content").isNull()).drop("content", "origin").withColumn("reason", reason),
+        df.withColumn("_found", found)
+        .withColumn("content", F.col("_found.content"))
+        .withColumn("origin", F.col("_found.origin"))
+        .withColumn("reason", F.when(F.col("_found").isNull(), reason))
+        .drop("_found")
     )
 
 
+def split_extracted(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ok, rejected) rows of `extract_content`. Materialise it first when both are used."""
+    ok = F.col("reason").isNull()
+    return df.where(ok).drop("reason"), df.where(~ok).drop("content", "origin")
+
+
 def build_prompts(df: DataFrame, allow_latex: bool = False) -> DataFrame:
     """(id, system, user, messages) from paper_id, title, abstract, language and context."""
     system = F.lit(SYSTEM_PROMPT + ("" if allow_latex else NO_LATEX_PROMPT))

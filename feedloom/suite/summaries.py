@@ -40,12 +40,9 @@ SELECT page_id, md5(coalesce(article, body)) AS content_md5, length(coalesce(art
   CASE WHEN coalesce(article, body) IS NULL THEN 'no text in article or body' END AS reason
 FROM (SELECT page_id, {ARTICLE_SQL} AS article, {BODY_SQL} AS body FROM pages)""")
 def extract_page_content(spark, folder):
-    ok, rejected = extracted(spark, folder)
-    return ok.select(
+    return extracted(spark, folder).select(
         "page_id", md5("content").alias("content_md5"), F.length("content").cast("long").alias("n_chars"),
-        "origin", F.lit(None).cast("string").alias("reason"),
-    ).unionByName(
-        rejected.select("page_id", "reason"), allowMissingColumns=True
+        "origin", "reason",
     )
 
 
