@@ -48,14 +48,19 @@ def filter_date_window(
     return df.where(updated >= (now - timedelta(days=last_n_days)).strftime("%Y-%m-%d"))
 
 
-def join_vectors(meta: DataFrame, vectors: Mapping[str, DataFrame]) -> DataFrame:
+def join_vectors(
+    meta: DataFrame, vectors: Mapping[str, DataFrame], unique_meta: bool = False
+) -> DataFrame:
     """Metadata with the vector of every model, for the ids that have them all.
 
     Every input is reduced to one row per id before it is joined, so equal ids cannot multiply, and
     the rows kept that way are already partitioned by id: each input is shuffled once for its
-    deduplication and join together. Put filters on metadata before this join.
+    deduplication and join together, and not at all if it is a table bucketed by id. Put filters on
+    metadata before this join; `unique_meta` says that it has one row per id already.
     """
-    rows = keep_latest_any(meta.where(F.col("id").isNotNull()), "id", ["updated"])
+    rows = meta.where(F.col("id").isNotNull())
+    if not unique_meta:
+        rows = keep_latest_any(rows, "id", ["updated"])
     for alias, table in vectors.items():
         rows = rows.join(keep_latest_any(table, "id", [alias]), "id")
     return rows
@@ -87,7 +92,16 @@ def split_candidates(candidates: DataFrame, preferences: DataFrame) -> tuple[Dat
 
 def drop_known(df: DataFrame, known: DataFrame, key: str = "id") -> DataFrame:
     """Rows whose id does not occur in `known`; rows without an id go."""
-    return df.where(F.col(key).isNotNull()).join(known.select(key), key, "left_anti")
+    return df.where(F.col(key).isNotNull()).join(id_set(known, key), key, "left_anti")
+
+
+def id_set(df: DataFrame, *keys: str) -> DataFrame:
+    """The distinct ids of a table, for a membership join.
+
+    Spark cannot split a skewed key on this side of such a join; distinct ids have none. Copies are
+    dropped in the map tasks.
+    """
+    return df.select(*keys).distinct()
 
 
 def embedding_backlog(inputs: DataFrame, existing: DataFrame) -> DataFrame:
@@ -97,17 +111,17 @@ def embedding_backlog(inputs: DataFrame, existing: DataFrame) -> DataFrame:
     a much copied id would otherwise land in one join task.
     """
     distinct = keep_first(drop_blank_ids(inputs), ["paper_id", "year"], ["text"])
-    missing = distinct.join(existing.select("year", "paper_id"), ["year", "paper_id"], "left_anti")
+    missing = distinct.join(id_set(existing, "year", "paper_id"), ["year", "paper_id"], "left_anti")
     return keep_first(missing, "paper_id", ["year", "text"])
 
 
 def lookup_by_id(vectors: DataFrame, ids: DataFrame, key: str = "paper_id") -> DataFrame:
     """The rows of `vectors` whose id is in `ids`.
 
-    No broadcast hint: Spark broadcasts the ids only when their measured size is below the limit and
-    otherwise filters the scan with a Bloom filter of them.
+    No broadcast hint: Spark broadcasts the ids only when their measured size is below its limit,
+    and otherwise joins both sides by shuffle.
     """
-    return vectors.join(ids.select(key), key, "left_semi")
+    return vectors.join(id_set(ids, key), key, "left_semi")
 
 
 def limit_ordered(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:

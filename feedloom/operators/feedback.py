@@ -72,9 +72,17 @@ def apply_feedback(
     latest = keep_last(feedback.where(F.col(key).isNotNull()), key, [*order, "preference"]).select(
         key, F.col("preference").alias("_new")
     )
-    merged = existing.join(latest, key, "full" if insert_new else "left")
-    return merged.withColumn("preference", F.coalesce("_new", "preference")).select(
-        *existing.columns
+    merged = (
+        existing.join(latest, key, "left")
+        .withColumn("preference", F.coalesce("_new", "preference"))
+        .select(*existing.columns)
+    )
+    if not insert_new:
+        return merged
+    # Not a full join: Spark cannot split a skewed key there, but can in the left join above.
+    added = latest.join(existing.select(key).distinct(), key, "left_anti")
+    return merged.unionByName(
+        added.select(key, F.col("_new").alias("preference")), allowMissingColumns=True
     )
 
 

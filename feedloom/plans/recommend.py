@@ -65,7 +65,7 @@ def candidates(
     if known is not None:
         rows = drop_known(rows, known)
     usable = {alias: filter_valid_vectors(df, [alias]) for alias, df in vectors.items()}
-    return join_vectors(rows, usable)
+    return join_vectors(rows, usable, unique_meta=True)
 
 
 def recommend(

@@ -16,7 +16,7 @@ def build_session(app: str = "feedloom", **conf) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        **{key.replace("__", "."): str(value) for key, value in conf.items()},
+        **{key: str(value) for key, value in conf.items()},
     }
     builder = SparkSession.builder.appName(app)
     for key, value in settings.items():

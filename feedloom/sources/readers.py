@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from ..functions.ids import year_from_path
 from ..functions.text import blank, clean_list, non_empty, split_list, strip
 
 # Quoted fields may hold line breaks and doubled quotes.
@@ -109,10 +108,7 @@ def preference_view(df: DataFrame) -> DataFrame:
 
 def read_preferences(spark: SparkSession, path: str) -> DataFrame:
     """Preference CSV files below a folder; each file may call its key `id` or `paper_id`."""
-    files = spark.read.format("binaryFile").options(
-        recursiveFileLookup=True, pathGlobFilter="*.csv"
-    )
-    if not files.load(path).where(F.col("length") == 0).select("path").isEmpty():
+    if not list_files(spark, path, pathGlobFilter="*.csv").where("size = 0").isEmpty():
         raise ValueError(f"empty preference CSV below {path}")
     raw = read_csv_by_header(
         spark,
@@ -168,10 +164,10 @@ def parse_harvest(df: DataFrame, source: str = "harvest") -> DataFrame:
 
 
 def read_year_files(spark: SparkSession, path: str, years: Sequence[int] | None = None) -> DataFrame:
-    """Wide parquet files named by year, with the year as a column."""
+    """Wide parquet files (or folders) named `<year>.parquet`, with the year as a column."""
     glob = "{" + ",".join(str(y) for y in years) + "}" if years else "[0-9][0-9][0-9][0-9]"
     return spark.read.parquet(f"{path}/{glob}.parquet").withColumn(
-        "year", year_from_path(F.col("_metadata.file_path"))
+        "year", F.regexp_extract("_metadata.file_path", r"/(\d{4})\.parquet(?:/|$)", 1)
     )
 
 
@@ -313,11 +309,23 @@ def existing_vector_ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(F.col("year").cast("string").alias("year"), "paper_id")
 
 
-def list_files(spark: SparkSession, roots, recursive: bool = True) -> DataFrame:
-    """Path, size and modification time of files; contents are not read."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", recursive)
-        .load(roots)
-        .select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+def list_files(spark: SparkSession, roots, **options) -> DataFrame:
+    """Path, size and modification time of files; contents are not read.
+
+    Spark plans no task for an empty file, so those are added from its file index (the names the
+    driver holds for any scan); their modification time is not known there.
+    """
+    found = (
+        spark.read.format("binaryFile").options(recursiveFileLookup=True, **options).load(roots)
+    )
+    files = found.select(
+        "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified")
+    )
+    names = found.inputFiles()
+    if files.count() == len(names):
+        return files
+    known = spark.createDataFrame([(n,) for n in names], "path string").select(
+        F.regexp_replace("path", "^file:///", "file:/").alias("path")
     )
+    empty = known.join(files, "path", "left_anti").withColumn("size", F.lit(0).cast("long"))
+    return files.unionByName(empty, allowMissingColumns=True)

@@ -81,7 +81,7 @@ def write_vectors(
         stored = read_if_present(spark, path)
         if stored is not None:
             ids = [F.col(k).cast(df.schema[k].dataType).alias(k) for k in keys]
-            fresh = fresh.join(stored.select(*ids), keys, "left_anti")
+            fresh = fresh.join(stored.select(*ids).distinct(), keys, "left_anti")
     columns = schemas.VECTOR_COLUMNS
     (
         fresh.select("model", "year", *columns)
@@ -95,6 +95,22 @@ def write_vectors(
     )
 
 
+def save_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str) -> None:
+    """Save a catalog table bucketed and sorted by `key`.
+
+    Deduplication by the key and joins of tables with the same buckets then need no shuffle. Worth
+    it for vector tables, which are wide and joined in every run.
+    """
+    (
+        df.repartition(buckets, key)
+        .write.mode("overwrite")
+        .bucketBy(buckets, key)
+        .sortBy(key)
+        .option("path", path)
+        .saveAsTable(table)
+    )
+
+
 def write_run(scored: DataFrame, recommended: DataFrame, root: str, run_id: str) -> None:
     """The two outputs of a ranking run below its run id."""
     write_table(scored, f"{root}/run_id={run_id}/predictions.parquet", overwrite=True)
