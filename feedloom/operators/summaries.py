@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.ids import month_bucket
-from ..functions.text import blank, computed_once, first_sentences, non_empty, strip
+from ..functions.text import blank, computed_once, first_sentences, join_list, non_empty, strip
 from .dedup import keep_last
 
 # The wording and layout of prompts, stub summaries and rendered pages.
@@ -233,6 +233,55 @@ def render_markdown(df: DataFrame) -> DataFrame:
     return df.withColumn("markdown", F.concat(strip(page), F.lit("\n")))
 
 
+# The layout of a full article page.
+ARTICLE_HEAD = (
+    ("title", True), ("slug", True), ("description", False), ("tags", True), ("author", True),
+    ("pubDatetime", False), ("preference", True), ("score", True), ("featured", False),
+    ("draft", False),
+)
+ARTICLE_SECTIONS = (
+    ("Background Problem", "problem_background"), ("Method", "method"),
+    ("Experiment", "experiment"), ("Further Thoughts", "further_thoughts"),
+)
+
+
+def render_article(df: DataFrame) -> DataFrame:
+    """Add `markdown`, the full page of a detailed summary with JSON values in its front matter.
+
+    Needs id, title, one_sentence_summary, keywords, authors, institution (lists), model,
+    summary_time, preference, score, draft and the section texts.
+    """
+    def quoted(c: Column) -> Column:
+        """The JSON form of one value."""
+        text = F.to_json(F.array(c))
+        return F.coalesce(F.substring(text, F.lit(2), F.length(text) - 2), F.lit("null"))
+
+    sentence = blank(F.col("one_sentence_summary"))
+    described = F.concat(F.lit('"'), F.replace(sentence, F.lit('"'), F.lit('\\"')), F.lit('"'))
+    values = {
+        "title": F.col("title"), "slug": F.col("id"), "description": described,
+        "tags": F.col("keywords"), "author": F.col("model"), "pubDatetime": F.col("summary_time"),
+        "preference": F.col("preference"), "score": F.col("score"), "featured": F.lit("false"),
+        "draft": F.col("draft").cast("string"),
+    }
+    head = [
+        F.concat(F.lit(f"{name}: "), quoted(values[name]) if as_json else blank(values[name]))
+        for name, as_json in ARTICLE_HEAD
+    ]
+    notes = [
+        sentence,
+        *[join_list(F.col(name), ", ") for name in ("keywords", "authors", "institution")],
+        F.concat(F.lit("Generated by "), blank(F.col("model"))),
+    ]
+    texts = [
+        F.concat(F.lit(f"## {heading}\n\n"), blank(F.col(name)))
+        for heading, name in ARTICLE_SECTIONS
+    ]
+    blocks = [*[F.concat(F.lit("> "), note) for note in notes], *texts]
+    front = F.concat_ws("\n", F.lit("---"), *head, F.lit("---"))
+    return df.withColumn("markdown", F.concat_ws("\n\n", front, *blocks))
+
+
 def summary_records(df: DataFrame, run_at: Column, source: str, folder: str) -> DataFrame:
     """Stored summary rows from rendered ones; optional keys are null, so JSON leaves them out."""
     categories = F.when(F.size("categories") > 0, F.col("categories"))

@@ -7,7 +7,8 @@ from ..operators.candidates import embedding_backlog, limit_ordered
 from ..operators.dedup import keep_first
 from ..operators.inference import BackendFactory, embed_texts
 from ..operators.reshape import embedding_inputs
-from ..sources.writers import read_if_present, write_vectors
+from ..sources.readers import existing_vector_ids
+from ..sources.writers import write_vectors
 
 
 def vector_rows(
@@ -29,10 +30,9 @@ def vector_rows(
 def pending_inputs(meta: DataFrame, path: str, model: str, overwrite: bool = False) -> DataFrame:
     """(paper_id, text, year) to embed for one model."""
     inputs = embedding_inputs(meta)
-    stored = None if overwrite else read_if_present(meta.sparkSession, path)
-    if stored is None:
+    ids = None if overwrite else existing_vector_ids(meta.sparkSession, path, model)
+    if ids is None:
         return keep_first(inputs, "paper_id", ["year", "text"])
-    ids = stored.where(F.col("model") == model).select(F.col("year").cast("string"), "paper_id")
     return embedding_backlog(inputs, ids)
 
 

@@ -13,8 +13,8 @@ from ..operators.candidates import limit_ordered
 from ..operators.dedup import duplicate_report, upsert_latest
 from ..operators.reshape import normalise_schema, split_by_year
 from ..session import materialise
-from ..sources.readers import parse_harvest, read_harvest_xml
-from ..sources.writers import read_if_present, write_metadata
+from ..sources.readers import parse_harvest, read_harvest_xml, read_if_present
+from ..sources.writers import write_metadata
 
 log = logging.getLogger(__name__)
 

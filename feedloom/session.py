@@ -16,6 +16,8 @@ def build_session(app: str = "feedloom", **conf) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Whole texts and wide vectors go to Python: keep a batch to some tens of megabytes.
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
         **{key: str(value) for key, value in conf.items()},
     }
     builder = SparkSession.builder.appName(app)

@@ -3,6 +3,7 @@
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -247,6 +248,9 @@ def read_summaries(spark: SparkSession, ranked_dirs: Sequence[tuple[str, str]])
     )
 
 
+NUMBER_KINDS = ["BIGINT", "DOUBLE", "FLOAT"]  # decimals carry their precision
+
+
 def shortlist_view(df: DataFrame) -> DataFrame:
     """A recommendation table as summary sources; rows without any id are left out."""
     names = df.columns
@@ -260,10 +264,9 @@ def shortlist_view(df: DataFrame) -> DataFrame:
         categories = F.when(F.col("categories").isNotNull(), clean_list(F.col("categories")))
     else:
         categories = F.col("categories")
-    key = F.coalesce(non_empty(text("id")), non_empty(text("paper_id")))
     score_is_number = "score" in names and isinstance(df.schema["score"].dataType, T.NumericType)
     return df.select(
-        key.alias("paper_id"),
+        F.coalesce(non_empty(text("id")), non_empty(text("paper_id"))).alias("paper_id"),
         blank(text("title")).alias("title"),
         blank(text("abstract")).alias("abstract"),
         categories.alias("categories"),
@@ -271,27 +274,42 @@ def shortlist_view(df: DataFrame) -> DataFrame:
     ).where(F.col("paper_id").isNotNull())
 
 
+def read_json_shortlist(spark: SparkSession, path: str) -> DataFrame:
+    """A shortlist in JSON lines, whose values may differ in type from line to line.
+
+    Read as variants: no pass over the data to infer a layout, and ids stay text.
+    """
+    lines = spark.read.text(path).select(F.try_parse_json("value").alias("v"))
+
+    def field(name: str, kind: str = "string") -> Column:
+        return F.try_variant_get("v", f"$.{name}", kind)
+
+    kind = F.schema_of_variant(field("score", "variant"))
+    numeric = kind.isin(NUMBER_KINDS) | kind.startswith("DECIMAL")
+    listed = field("categories", "array<string>")
+    joined = field("categories")
+    return lines.select(
+        *[field(n).alias(n) for n in ("id", "paper_id", "title", "abstract")],
+        F.coalesce(listed, F.when(joined.isNotNull(), clean_list(joined))).alias("categories"),
+        F.when(numeric, field("score", "double")).alias("score"),
+    )
+
+
 def load_shortlist(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Summary sources from a recommendation file or table, chosen by its suffix."""
+    """Summary sources from a recommendation file or table, chosen by its suffix.
+
+    A limit takes the best scores, in a fixed order; files have no row order to rely on.
+    """
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if suffix == "parquet":
-        frame = spark.read.parquet(path)
+        sources = shortlist_view(spark.read.parquet(path))
     elif suffix in ("json", "jsonl", "ndjson"):
-        frame = spark.read.json(path, schema=_json_layout(spark, path))
+        sources = shortlist_view(read_json_shortlist(spark, path))
     else:
         raise ValueError(f"unsupported recommendation file format: {suffix}")
-    if limit is not None:
-        frame = frame.limit(limit)
-    return shortlist_view(frame)
-
-
-def _json_layout(spark: SparkSession, path: str) -> T.StructType:
-    """Inferred JSON layout with both id columns pinned to text."""
-    inferred = spark.read.option("primitivesAsString", False).json(path).schema
-    pinned = {"id": T.StringType(), "paper_id": T.StringType()}
-    return T.StructType(
-        [T.StructField(f.name, pinned.get(f.name, f.dataType)) for f in inferred.fields]
-    )
+    if limit is None:
+        return sources
+    return sources.orderBy(F.desc_nulls_last("score"), "paper_id").limit(limit)
 
 
 def read_threads(spark: SparkSession, path: str) -> DataFrame:
@@ -304,9 +322,25 @@ def read_threads(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def existing_vector_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(year, paper_id) of the stored vectors; the vectors themselves are not read."""
-    return spark.read.parquet(path).select(F.col("year").cast("string").alias("year"), "paper_id")
+def existing_vector_ids(spark: SparkSession, path: str, model: str) -> DataFrame | None:
+    """(year, paper_id) of a model's stored vectors, None without a table.
+
+    The model is a partition, so only its files are read, and of those only the ids.
+    """
+    stored = read_if_present(spark, path)
+    if stored is None:
+        return None
+    return stored.where(F.col("model") == model).select(F.col("year").cast("string"), "paper_id")
+
+
+def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
+    """A stored parquet table, or None when nothing has been stored there yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def list_files(spark: SparkSession, roots, **options) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators.dedup import keep_first
+from .readers import read_if_present
 
 
 # Text is stored as it is: nothing trimmed, quotes doubled, empty text not marked.
@@ -96,7 +96,7 @@ def write_vectors(
 
 
 def save_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str) -> None:
-    """Save a catalog table bucketed and sorted by `key`.
+    """Save a table with one row per `key` as a catalog table bucketed and sorted by it.
 
     Deduplication by the key and joins of tables with the same buckets then need no shuffle. Worth
     it for vector tables, which are wide and joined in every run.
@@ -132,13 +132,3 @@ def write_preference_events(df: DataFrame, path: str) -> None:
 def append_summaries(df: DataFrame, path: str) -> None:
     """Append summary records as JSON lines below their month."""
     df.write.mode("append").partitionBy("month").json(path)
-
-
-def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
-    """A stored parquet table, or None when nothing has been stored there yet."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise

@@ -11,7 +11,7 @@ from ..streaming.jobs import (
 from . import views
 from .registry import SQL, query
 from .tables import metrics_columns
-from .views import coded_id, coded_id_sql, with_views
+from .views import coded_id, coded_id_sql
 
 
 class StreamSource:

@@ -6,9 +6,11 @@ from ..operators.reports import summary_manifest
 from ..operators.summaries import (
     HEADER, NO_ABSTRACT, NO_HIGHLIGHTS, NO_LATEX_PROMPT, SYSTEM_PROMPT, article_text, body_text,
     build_prompts, extract_content, json_in_key_order, merge_summaries, parse_model_output,
-    plain_markdown, render_markdown, reply_content, stub_summary, summary_records, summary_sections,
+    plain_markdown, render_article, render_markdown, reply_content, stub_summary, summary_records, summary_sections,
 )
 from ..plans.summarise import StubModel, summarise
+from ..session import scratch_path
+from ..sources.writers import append_summaries
 from .registry import query
 from .views import (
     JSON_TEXT_SQL, NOW_TEXT, day, day_sql, json_escape, model_outputs, strip_sql, table, with_views,
@@ -191,8 +193,10 @@ def make_summary_records(spark, folder):
             "categories": F.when(c % 3 == 0, F.array("language")).otherwise(F.array()),
         }
     )
+    path = scratch_path(spark, "summary-records")
     records = summary_records(rows, F.lit(NOW_TEXT), "summary", "pages")
-    return records.select(
+    append_summaries(records, path)
+    return spark.read.schema(records.schema).json(path).select(
         "id", md5("summary").alias("summary_md5"), "summary_time", "source", "source_file", "lang", "month",
         "score", F.when(F.col("categories").isNotNull(), 1).otherwise(0).alias("has_categories"),
     )
@@ -236,11 +240,55 @@ def merge_summaries_last_wins(spark, folder):
     return merged.select("id", md5("summary").alias("summary_md5"), "source", "month")
 
 
+PROMPT_SQL = f"""'{(SYSTEM_PROMPT + NO_LATEX_PROMPT).replace("'", "''")}' || chr(10) ||
+  'Language: ' || language || chr(10) || 'Paper ID: ' || paper_id || chr(10) || 'Title: ' || title || chr(10) ||
+  'Abstract: ' || {strip_sql('abstract')} || chr(10) || 'Paper Content:' || chr(10) || {strip_sql('context')}"""
+
+
 @query(f"""
 WITH {SOURCES_SQL},
-outputs AS (SELECT paper_id, context IS NOT NULL AS ok FROM sources)
-SELECT count(*) AS total_sources, CAST(count_if(ok) AS BIGINT) AS summarized, CAST(count_if(NOT ok) AS BIGINT) AS skipped FROM outputs""")
+prompts AS (SELECT *, {PROMPT_SQL} AS prompt FROM sources),
+answers AS (SELECT *, array_to_string(list_transform({_sentences_sql('prompt', 2)}, lambda x: x || '.'), chr(10)) AS lines,
+  {strip_sql(f"{_header_sql()} || chr(10) || {strip_sql('prompt')}")} AS detail FROM prompts)
+SELECT paper_id, CASE WHEN context IS NULL THEN 'no content' END AS error, md5('---' || chr(10) ||
+  'title: "' || title || '"' || chr(10) || 'date: ' || chr(10) || 'draft: false' || chr(10) || '---' || chr(10) || chr(10) ||
+  '# ' || title || chr(10) || '**Paper ID:** ' || paper_id || chr(10) || '**Language:** ' || language || chr(10) ||
+  '**Authors:** ' || chr(10) || '**Abstract:** ' || abstract || chr(10) || chr(10) ||
+  '## Highlights' || chr(10) || chr(10) || lines || chr(10) || chr(10) ||
+  '## Detailed Summary' || chr(10) || chr(10) || detail || chr(10) || chr(10) || chr(10) ||
+  '[Read full paper](https://arxiv.org/abs/' || paper_id || ')' || chr(10)) AS markdown_md5 FROM answers""")
 def summarise_batch(spark, folder):
     """Prompts through a batch model, parsed and rendered; sources without content are skipped."""
     done = summarise(_sources(spark, folder), StubModel, "m", "a")
-    return summary_manifest(done, "markdown")
+    return done.select("paper_id", "error", md5("markdown").alias("markdown_md5"))
+
+
+@query(f"""
+WITH {SOURCES_SQL}
+SELECT count(*) AS total_sources, count(context) AS summarized, CAST(count_if(context IS NULL) AS BIGINT) AS skipped
+FROM sources""")
+def count_summaries(spark, folder):
+    return summary_manifest(_sources(spark, folder), "context")
+
+
+@query("""
+SELECT conv_id, turn, md5('---' || chr(10) || 'title: "' || role || '"' || chr(10) || 'slug: "' ||
+  CAST(conv_id AS VARCHAR) || '"' || chr(10) || 'description: "' || replace(text, '"', '\\"') || '"' || chr(10) ||
+  'tags: ["' || role || '","b"]' || chr(10) || 'author: "m"' || chr(10) || 'pubDatetime: 2024-01-01' || chr(10) ||
+  'preference: "like"' || chr(10) || 'score: 0.5' || chr(10) || 'featured: false' || chr(10) ||
+  'draft: ' || CASE WHEN turn > 2 THEN 'true' ELSE 'false' END || chr(10) || '---' || chr(10) || chr(10) ||
+  '> ' || text || chr(10) || chr(10) || '> ' || role || ', b' || chr(10) || chr(10) || '> ' || role || chr(10) || chr(10) ||
+  '> ' || chr(10) || chr(10) || '> Generated by m' || chr(10) || chr(10) ||
+  '## Background Problem' || chr(10) || chr(10) || text || chr(10) || chr(10) || '## Method' || chr(10) || chr(10) || role ||
+  chr(10) || chr(10) || '## Experiment' || chr(10) || chr(10) || chr(10) || chr(10) ||
+  '## Further Thoughts' || chr(10) || chr(10) || 'x') AS markdown_md5 FROM conversations""")
+def render_articles(spark, folder):
+    rows = table(spark, folder, "conversations").select(
+        "conv_id", "turn", F.col("conv_id").cast("string").alias("id"), F.col("role").alias("title"),
+        F.col("text").alias("one_sentence_summary"), F.array("role", F.lit("b")).alias("keywords"),
+        F.array("role").alias("authors"), F.array().cast("array<string>").alias("institution"),
+        F.lit("m").alias("model"), F.lit("2024-01-01").alias("summary_time"), F.lit("like").alias("preference"),
+        F.lit(0.5).alias("score"), (F.col("turn") > 2).alias("draft"), F.col("text").alias("problem_background"),
+        F.col("role").alias("method"), F.lit(None).cast("string").alias("experiment"), F.lit("x").alias("further_thoughts"),
+    )
+    return render_article(rows).select("conv_id", "turn", md5("markdown").alias("markdown_md5"))

@@ -16,7 +16,9 @@ from ..operators.vectors import (
     clean_vectors, dominant_dim, length_histogram, merge_vectors, vector_manifest,
 )
 from ..plans.ingest import upsert_metadata
+from ..plans.migrate import migrate_wide
 from ..session import scratch_path
+from ..sources.readers import read_metadata, read_year_files
 from ..sources.writers import write_vectors
 from .registry import query
 from .views import (
@@ -388,3 +390,34 @@ def report_migration(spark, folder):
     return migration_report(
         docs, _vector_table(spark, folder), preference_months(spark, folder), months
     )
+
+
+@query(f"""
+WITH wide AS (SELECT {day_sql('doc_id')}[1:4] AS year, vec_id FROM documents LEFT JOIN embeddings ON vec_id = doc_id)
+SELECT 'metadata' AS part, year, count(*) AS rows FROM wide GROUP BY year
+UNION ALL SELECT 'm1', year, count(vec_id) FROM wide GROUP BY year HAVING count(vec_id) > 0
+UNION ALL SELECT 'm2', year, count(vec_id) FROM wide GROUP BY year HAVING count(vec_id) > 0
+UNION ALL SELECT 'latest', 'all', count(*) FROM wide""")
+def migrate_wide_years(spark, folder):
+    """Yearly wide files, read by name, through the whole migration; what is stored is counted."""
+    root = scratch_path(spark, "migration")
+    rows = wide(spark, folder)
+    for year in ("2024", "2025"):
+        rows.where(F.col("year") == year).drop("year").write.parquet(f"{root}/in/{year}.parquet")
+    migrate_wide(read_year_files(spark, f"{root}/in"), f"{root}/out", ["m1", "m2", "absent"])
+    year = F.col("year").cast("string").alias("year")
+
+    def counted(name, *keys):
+        return spark.read.parquet(f"{root}/out/{name}").groupBy(*keys, year).agg(F.count("*").alias("rows"))
+
+    latest = read_metadata(spark, f"{root}/out/latest")
+    return (
+        counted("metadata")
+        .select(F.lit("metadata").alias("part"), "year", "rows")
+        .unionByName(counted("embeddings", "model").withColumnRenamed("model", "part"))
+        .unionByName(
+            latest.agg(F.count("*").alias("rows")).select(
+                F.lit("latest").alias("part"), F.lit("all").alias("year"), "rows"
+            )
+        )
+    )

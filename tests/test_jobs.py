@@ -18,7 +18,6 @@ from feedloom.operators.reports import run_manifest, summary_manifest
 from feedloom.operators.summaries import (
     article_text, body_text, build_prompts, extract_content, parse_model_output, plain_markdown,
     render_markdown, reply_content, sections, split_extracted, stub_summary, summary_records,
-    summary_sections,
 )
 from feedloom.plans.embed import embed_missing, pending_inputs
 from feedloom.plans.recommend import RecommendParams, candidates, recommend

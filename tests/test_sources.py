@@ -106,6 +106,12 @@ def test_shortlists(spark, folder):
                + json.dumps({"title": "no id"}) + "\n")
     got = readers.load_shortlist(spark, path)
     assert rows(got) == [("2301.00010", "", "", ["a", "b"], 0.5)]
+    mixed = put(folder, "m.ndjson", "\n".join(json.dumps(r) for r in (
+        {"id": "a", "score": "0.9", "categories": ["x", "y"]}, {"id": "b", "score": 1}, {"id": "c", "score": 0.25}, {"id": 7})))
+    assert rows(readers.load_shortlist(spark, mixed), "paper_id", "categories", "score") == [
+        ("7", None, None), ("a", ["x", "y"], None), ("b", None, 1.0), ("c", None, 0.25)
+    ]
+    assert rows(readers.load_shortlist(spark, mixed, limit=2), "paper_id") == [("b",), ("c",)]
     table = spark.createDataFrame([("x", "high", ["c"])], "id string, score string, categories array<string>")
     table.write.parquet(f"{folder}/r.parquet")
     assert rows(readers.load_shortlist(spark, f"{folder}/r.parquet", limit=5)) == [("x", "", "", ["c"], None)]
