@@ -52,9 +52,8 @@ def recent_threads(reactions: DataFrame, n: int = 100, per_thread: int = 100) ->
         .limit(n)
     )
     order = Window.partitionBy("thread").orderBy("updated_at", "seq")
-    # The broadcast side is at most n rows.
     return (
-        reactions.join(F.broadcast(latest.select("thread")), "thread", "left_semi")
+        reactions.join(latest.select("thread"), "thread", "left_semi")
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= per_thread)
     )

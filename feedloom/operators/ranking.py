@@ -11,6 +11,7 @@ from ..functions.vectors import concat_vectors, linear_probability
 from .sampling import sample_exact, sample_target
 
 LIKE = "like"
+ROWS_PER_TASK = 50_000  # every solver step is a job: smaller tasks are mostly overhead
 
 
 def training_set(
@@ -68,7 +69,7 @@ def fit_ranker(
         array_to_vector("features").alias("features"),
         F.col("label").cast("double").alias("label"),
         weight.alias("weight"),
-    )
+    ).coalesce(1 + n // ROWS_PER_TASK)
     return LogisticRegression(
         weightCol="weight",
         regParam=1.0 / (C * n),

@@ -16,6 +16,12 @@ def build_session(app: str = "feedloom", **conf) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Id lookups reach the parquet page index value by value.
+        "spark.sql.parquet.pushdown.inFilterThreshold": "500",
+        # Streaming state off the heap and on local disk, restored from the checkpoint.
+        "spark.sql.streaming.stateStore.providerClass": (
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+        ),
         # Whole texts and wide vectors go to Python: keep a batch to some tens of megabytes.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
         **{key: str(value) for key, value in conf.items()},

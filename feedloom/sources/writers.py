@@ -98,8 +98,9 @@ def write_vectors(
 def save_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str) -> None:
     """Save a table with one row per `key` as a catalog table bucketed and sorted by it.
 
-    Deduplication by the key and joins of tables with the same buckets then need no shuffle. Worth
-    it for vector tables, which are wide and joined in every run.
+    Deduplication by the key and joins of tables with the same buckets then need no shuffle, and a
+    lookup of a few keys reads only their buckets and pages. Worth it for vector tables, which are
+    wide and joined in every run. Pages are kept short, as a row holds a whole vector.
     """
     (
         df.repartition(buckets, key)
@@ -107,6 +108,7 @@ def save_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str)
         .bucketBy(buckets, key)
         .sortBy(key)
         .option("path", path)
+        .option("parquet.page.row.count.limit", "256")
         .saveAsTable(table)
     )
 

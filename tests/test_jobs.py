@@ -10,8 +10,9 @@ from conftest import rows
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from feedloom.operators import candidates as candidate_ops
 from feedloom.operators import inference
-from feedloom.operators.candidates import join_vectors
+from feedloom.operators.candidates import join_vectors, lookup_by_id
 from feedloom.operators.inference import HashingEmbedder, dimension_report, embed_texts, run_model
 from feedloom.operators.ranking import fit_ranker, score, score_with_weights, training_set
 from feedloom.operators.reports import run_manifest, summary_manifest
@@ -93,6 +94,21 @@ def test_bucketed_tables_join_without_shuffle(spark, feed, folder):
             spark.sql(f"DROP TABLE IF EXISTS bucketed_{name}")
 
 
+def test_small_lookups_filter_the_scan(spark, folder, monkeypatch):
+    df = spark.range(2000).select(F.col("id").cast("string").alias("id"), F.array(F.col("id").cast("float")).alias("v"))
+    save_bucketed(df, "bucketed_lookup", "id", 16, f"{folder}/t")
+    try:
+        stored, ids = spark.table("bucketed_lookup"), spark.createDataFrame([("7",), ("7",), (None,), ("x",)], "id string")
+        found = lookup_by_id(stored, ids, "id")
+        assert rows(found) == [("7", [7.0])]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "PushedFilters: [In(id, [7,x])]" in plan
+        monkeypatch.setattr(candidate_ops, "LITERAL_IDS", 1)
+        assert rows(lookup_by_id(stored, ids, "id")) == [("7", [7.0])]
+    finally:
+        spark.sql("DROP TABLE IF EXISTS bucketed_lookup")
+
+
 def test_candidates_shuffle_each_table_once(spark, feed):
     meta, vectors, _ = feed
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
