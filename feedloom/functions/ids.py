@@ -12,6 +12,9 @@ TITLE_ID = r"arXiv:(\d+\.\d+)"
 MONTH_PREFIX = r"^(\d{4})-(\d{2})"
 CALENDAR_MONTH = r"^(\d{4}-(?:0[1-9]|1[0-2]))"
 COMPACT_DATE = r"^(\d{4})(0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])(?:T.*)?$"
+ISO_INSTANT = (
+    r"^(\d{4}-(?:0[1-9]|1[0-2])-\d{2})(?:[T ](\d{2}:\d{2})(:\d{2}(?:\.\d+)?)?(Z|[+-]\d{2}:\d{2})?)?$"
+)
 FIRST_OLD_YEAR = 91
 INITIAL_LABEL = "init"
 
@@ -65,6 +68,26 @@ def month_bucket(*candidates: Column) -> Column:
     return F.coalesce(dashed, compact, F.lit("unknown"))
 
 
+def iso_instant(*candidates: Column) -> Column:
+    """The first non-empty candidate as a full ISO time; '' when it is not a date.
+
+    A text that only starts with a month stands for the first instant of that month in UTC.
+    """
+    value = _first_filled(candidates)
+
+    def part(n: int) -> Column:
+        return non_empty(F.regexp_extract(value, ISO_INSTANT, n))
+
+    full = F.concat(
+        part(1),
+        F.lit("T"),
+        F.coalesce(part(2), F.lit("00:00")),
+        F.coalesce(part(3), F.lit(":00")),
+        F.replace(blank(part(4)), F.lit("Z"), F.lit("+00:00")),
+    )
+    return F.coalesce(full, month_start(value, F.lit("")), F.lit(""))
+
+
 def month_order(c: Column) -> Column:
     """Sort key of a month label: `init` first, then by month, anything else last."""
     def pair(year, month):

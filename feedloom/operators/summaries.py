@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.ids import month_bucket
+from ..functions.ids import iso_instant, month_bucket
 from ..functions.text import blank, computed_once, first_sentences, join_list, non_empty, strip
 from .dedup import keep_last
 
@@ -348,11 +348,8 @@ def normalise_summaries(records: DataFrame, migrated_at: str) -> DataFrame:
     )
     merged = merge_summaries(keyed, ["source_rank", "kind", "path", "line"], migrated_at)
     default_time = F.when(
-        F.map_contains_key("payload", F.lit("summary_time")), F.lit(None).cast("string")
-    ).otherwise(
-        F.when(F.col("month") == "unknown", F.lit("")).otherwise(
-            F.coalesce(non_empty(F.col("updated")), non_empty(F.col("created")))
-        )
+        ~F.map_contains_key("payload", F.lit("summary_time")),
+        iso_instant(F.col("updated"), F.col("created")),
     )
     fixed = {
         "id": F.col("id"),

@@ -46,6 +46,7 @@ class RecommendRun:
     background: DataFrame
     scored: DataFrame
     recommended: DataFrame
+    rejected: DataFrame
     model: LogisticRegressionModel
 
 
@@ -81,9 +82,19 @@ def recommend(
     repeating the joins, and survive the loss of executors.
     """
     aliases = list(vectors)
+    lengths = F.concat_ws(",", *[F.size(alias).cast("string") for alias in aliases])
     labelled = materialise(
-        label_candidates(candidates(meta, vectors, known, params), preferences), "candidates"
+        label_candidates(candidates(meta, vectors, known, params), preferences).withColumn(
+            "lengths", lengths
+        ),
+        "candidates",
     )
+    # Vectors of unequal length have no common model; all but the most frequent are set aside.
+    common = labelled.groupBy("lengths").count().orderBy(F.desc("count"), "lengths").first()
+    if common is None:
+        raise ValueError("a run needs candidates")
+    rejected = labelled.where(F.col("lengths") != common["lengths"])
+    labelled = labelled.where(F.col("lengths") == common["lengths"]).drop("lengths")
     preferred = labelled.where("rated").drop("rated")
     background = labelled.where("NOT rated").drop("rated")
     if preferred.isEmpty() or background.isEmpty():
@@ -102,5 +113,6 @@ def recommend(
         scores, params.sample_rate, params.high, params.boundary, params.seed, params.include_all
     )
     return RecommendRun(
-        preferred, background, scored, scored.where(F.col("show") == 1).drop(*aliases), model
+        preferred, background, scored, scored.where(F.col("show") == 1).drop(*aliases), rejected,
+        model,
     )

@@ -27,7 +27,7 @@ def meta(spark, folder):
 
 @query(with_views("papers", """
 SELECT paper_id AS id, replace(categories, '; ', '|') AS categories FROM papers
-WHERE primary_category IN ('src3', 'src11') OR split_part(categories, '; ', 2) = 'fr'"""))
+WHERE primary_category IN ('src3', 'src11') OR split_part(categories, '; ', 2) = 'fr'"""), name="filter_categories")
 def keep_categories(spark, folder):
     rows = filter_categories(meta(spark, folder), WANTED)
     return rows.select("id", join_list(F.col("categories"), "|").alias("categories"))
@@ -35,7 +35,7 @@ def keep_categories(spark, folder):
 
 @query(with_views("damaged", """
 SELECT id, len(vector) AS dim FROM damaged
-WHERE vector IS NOT NULL AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"""))
+WHERE vector IS NOT NULL AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"""), name="filter_valid_vectors")
 def keep_valid_vectors(spark, folder):
     rows = filter_valid_vectors(damaged(spark, folder), ["vector"])
     return rows.select("id", F.size("vector").cast("long").alias("dim"))
@@ -51,7 +51,7 @@ def vector_validity(spark, folder):
 
 
 @query(with_views("papers", """
-SELECT paper_id AS id, updated_at AS updated FROM papers WHERE CAST(substr(updated_at, 1, 4) AS INTEGER) >= 2025"""))
+SELECT paper_id AS id, updated_at AS updated FROM papers WHERE CAST(substr(updated_at, 1, 4) AS INTEGER) >= 2025"""), name="filter_year")
 def keep_from_year(spark, folder):
     return filter_year(meta(spark, folder), 2025).select("id", "updated")
 
@@ -59,7 +59,7 @@ def keep_from_year(spark, folder):
 @query(with_views("papers", """
 SELECT paper_id AS id, updated_at AS updated, 'window' AS kind FROM papers
 WHERE updated_at >= '2024-03-05' AND updated_at <= '2025-02-10'
-UNION ALL SELECT paper_id, updated_at, 'recent' FROM papers WHERE updated_at >= '2025-10-02'"""))
+UNION ALL SELECT paper_id, updated_at, 'recent' FROM papers WHERE updated_at >= '2025-10-02'"""), name="filter_date_window")
 def keep_date_window(spark, folder):
     rows = meta(spark, folder).select("id", "updated")
     window = filter_date_window(rows, "2024-03-05", "2025-02-10", 7, NOW)
@@ -77,7 +77,7 @@ def joined(spark, folder):
 @query(with_views("papers vec_a vec_b", """
 SELECT id, title, updated_at AS updated, len(vec_a) AS dim_a, len(vec_b) AS dim_b,
   CAST(vec_a[1] AS DOUBLE) AS head_a, CAST(vec_b[16] AS DOUBLE) AS tail_b
-FROM papers JOIN vec_a ON paper_id = vec_a.id JOIN vec_b USING (id)"""))
+FROM papers JOIN vec_a ON paper_id = vec_a.id JOIN vec_b USING (id)"""), name="join_vectors")
 def join_all_vectors(spark, folder):
     return joined(spark, folder).select(
         "id", "title", "updated",
@@ -106,7 +106,7 @@ def split_background(spark, folder):
 WITH inputs AS (SELECT {coded_id_sql('doc_id')} AS paper_id, text FROM documents),
 stored AS (SELECT {coded_id_sql('vec_id')} AS paper_id FROM embeddings)
 SELECT paper_id, '20' || substr(paper_id, 5, 2) AS year, md5(text) AS source_md5 FROM inputs
-WHERE paper_id NOT IN (SELECT paper_id FROM stored)""")
+WHERE paper_id NOT IN (SELECT paper_id FROM stored)""", name="embedding_backlog")
 def missing_vectors_backlog(spark, folder):
     """Documents without a stored vector. Every input comes twice; one row per id is left."""
     rows = papers(spark, folder).withColumn("paper_id", coded_id(F.col("paper_id").cast("long")))

@@ -93,7 +93,7 @@ SELECT o_orderkey, paper_id, CASE
   WHEN regexp_matches(trim(paper_id), '^\d{4}\.\d{4,5}(v\d+)?$') THEN '20' || substr(trim(paper_id), 1, 2)
   WHEN regexp_matches(trim(paper_id), '^[A-Za-z\-]+/\d{4}\d+(v\d+)?$') THEN
     CASE WHEN CAST(substr(split_part(paper_id, '/', 2), 1, 2) AS INTEGER) >= 91 THEN '19' ELSE '20' END
-      || substr(split_part(paper_id, '/', 2), 1, 2) END AS year FROM paper_ids"""))
+      || substr(split_part(paper_id, '/', 2), 1, 2) END AS year FROM paper_ids"""), name="year_from_id")
 def year_of_paper_id(spark, folder):
     return paper_ids(spark, folder).withColumn("year", year_from_id(F.col("paper_id")))
 
@@ -111,7 +111,7 @@ def extract_ids(spark, folder):
 
 @query("""
 SELECT o_orderkey, CASE WHEN o_orderkey % 6 IN (3, 5) THEN 'unknown' ELSE strftime(o_orderdate, '%Y-%m') END
-  AS month FROM orders""")
+  AS month FROM orders""", name="month_bucket")
 def bucket_by_month(spark, folder):
     """Time texts with offset, in three columns of falling priority; some are no dates."""
     part = F.col("o_orderkey") % 6
@@ -129,7 +129,7 @@ SELECT month, CASE WHEN month = 'init' THEN -1 WHEN month = 'latest' THEN 9999
     ELSE CAST(substr(month, 1, 4) AS INTEGER) END AS order_year,
   CASE WHEN month = 'init' THEN -1 WHEN month = 'latest' THEN 12
     ELSE CAST(substr(month, 6, 2) AS INTEGER) END AS order_month, count(*) AS rows
-FROM preference_months GROUP BY month"""))
+FROM preference_months GROUP BY month"""), name="month_order")
 def order_of_months(spark, folder):
     place = month_order(F.col("month"))
     return (
@@ -145,7 +145,7 @@ def order_of_months(spark, folder):
 @query("""
 SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'cs:cs:' || p_brand
   WHEN 1 THEN 'x:a-' || p_type ELSE p_name END AS setspec
-FROM (SELECT p_partkey, p_size, replace(p_brand, '#', '') AS p_brand, p_type, p_name FROM part)""")
+FROM (SELECT p_partkey, p_size, replace(p_brand, '#', '') AS p_brand, p_type, p_name FROM part)""", name="category_setspec")
 def category_setspecs(spark, folder):
     part = F.col("p_size") % 3
     label = (
@@ -159,7 +159,7 @@ def category_setspecs(spark, folder):
 @query(f"""
 SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(
   string_split(replace(text, chr(10), ' '), '.'), lambda x: {strip_sql('x')}),
-  lambda x: x <> '')[1:3], lambda x: x || '.'), '|') AS sentences FROM documents""")
+  lambda x: x <> '')[1:3], lambda x: x || '.'), '|') AS sentences FROM documents""", name="first_sentences")
 def first_three_sentences(spark, folder):
     return table(spark, folder, "documents").select(
         "doc_id", F.array_join(first_sentences(F.col("text"), 3), "|").alias("sentences")
@@ -170,7 +170,7 @@ def first_three_sentences(spark, folder):
 SELECT paper_id, md5({strip_sql("title || chr(10) || chr(10) || abstract")}) AS text_md5,
   '20' || substr(paper_id, 5, 2) AS year
 FROM (SELECT {coded_id_sql('doc_id')} AS paper_id, split_part(text, chr(10), 1) AS title,
-  text AS abstract FROM documents)""")
+  text AS abstract FROM documents)""", name="embedding_inputs")
 def embedding_texts(spark, folder):
     meta = papers(spark, folder).withColumn("paper_id", coded_id(F.col("paper_id").cast("long")))
     return embedding_inputs(meta).select(

@@ -14,7 +14,7 @@ LABEL_SQL = """CASE WHEN count_if(content = 'THUMBS_UP') > count_if(content = 'T
 
 @query(with_views("reactions", f"""
 SELECT thread, CAST(count_if(content = 'THUMBS_UP') AS BIGINT) AS likes, CAST(count_if(content = 'THUMBS_DOWN') AS BIGINT) AS dislikes,
-  {LABEL_SQL} AS preference FROM reactions GROUP BY thread"""))
+  {LABEL_SQL} AS preference FROM reactions GROUP BY thread"""), name="feedback_labels")
 def label_feedback(spark, folder):
     return feedback_labels(reactions(spark, folder))
 
@@ -52,7 +52,7 @@ def label_nested_threads(spark, folder):
 @query(with_views("reactions", """
 , latest AS (SELECT thread FROM reactions GROUP BY thread ORDER BY max(updated_at) DESC, thread LIMIT 100)
 SELECT thread, seq, content FROM reactions WHERE thread IN (SELECT thread FROM latest)
-QUALIFY row_number() OVER (PARTITION BY thread ORDER BY updated_at, seq) <= 100"""))
+QUALIFY row_number() OVER (PARTITION BY thread ORDER BY updated_at, seq) <= 100"""), name="recent_threads")
 def recent_thread_reactions(spark, folder):
     return recent_threads(reactions(spark, folder)).select("thread", "seq", "content")
 
@@ -78,7 +78,7 @@ newest AS (SELECT arxiv_id, arg_max(preference, day) AS preference FROM daily GR
 
 @query(with_views("prefs reactions", DAILY_SQL + """
 SELECT p.id AS arxiv_id, coalesce(n.preference, p.preference) AS preference, recorded_at
-FROM prefs p LEFT JOIN newest n ON n.arxiv_id = p.id"""))
+FROM prefs p LEFT JOIN newest n ON n.arxiv_id = p.id"""), name="apply_feedback")
 def apply_feedback_to_preferences(spark, folder):
     existing = prefs(spark, folder).withColumnRenamed("id", "arxiv_id")
     return apply_feedback(existing, _daily(spark, folder))
@@ -95,7 +95,7 @@ def upsert_feedback(spark, folder):
 @query(with_views("papers prefs done", """
 SELECT paper_id AS id, coalesce(preference, 'neutral') AS preference,
   coalesce(preference = 'dislike', false) AS draft
-FROM papers LEFT JOIN prefs ON prefs.id = paper_id WHERE paper_id IN (SELECT id FROM done)"""))
+FROM papers LEFT JOIN prefs ON prefs.id = paper_id WHERE paper_id IN (SELECT id FROM done)"""), name="publish_flags")
 def flag_published(spark, folder):
     rows = papers(spark, folder).select(F.col("paper_id").alias("id"))
     summaries = rows.join(done(spark, folder), "id", "left_semi")

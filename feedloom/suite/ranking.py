@@ -72,7 +72,7 @@ def score_candidates(spark, folder):
 
 
 @query(with_views(CANDIDATES, SHOWN_SQL + """
-SELECT id, round(score, 6) AS score, tier, CAST("show" AS INTEGER) AS "show" FROM shown"""))
+SELECT id, round(score, 6) AS score, tier, CAST("show" AS INTEGER) AS "show" FROM shown"""), name="adaptive_sample")
 def sample_by_score_tier(spark, folder):
     rows = adaptive_sample(scored(spark, folder), RATE, HIGH, BOUNDARY, SEED)
     return rows.select(
@@ -89,7 +89,7 @@ def recommend_all(spark, folder):
 
 @query(with_views(CANDIDATES, JOINED_SQL + """
 SELECT id, len(features) AS dim, round(features[1], 6) AS first, round(features[80], 6) AS last,
-  round(list_sum(features), 6) AS total FROM joined"""))
+  round(list_sum(features), 6) AS total FROM joined"""), name="stack_features")
 def stack_feature_vectors(spark, folder):
     rows = stack_features(joined(spark, folder), MODELS)
     total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x)
@@ -120,7 +120,7 @@ def training(spark, folder):
 
 
 @query(with_views(CANDIDATES, TRAIN_SQL + """
-SELECT id, label FROM positives UNION ALL SELECT id, label FROM negatives"""))
+SELECT id, label FROM positives UNION ALL SELECT id, label FROM negatives"""), name="training_set")
 def build_training_set(spark, folder):
     return training(spark, folder).select("id", "label")
 
@@ -131,7 +131,7 @@ def trained(spark, folder):
     return train, fit_ranker(train, C=1.0)
 
 
-@query()
+@query(name="train_model")
 def train_and_score(spark, folder):
     """Scores of a trained model; training is iterative, so only its optimality has SQL."""
     _, model = trained(spark, folder)
@@ -140,7 +140,7 @@ def train_and_score(spark, folder):
 
 @query(with_views(CANDIDATES, TRAIN_SQL + """
 SELECT CAST(pos AS INTEGER) AS pos, true AS is_zero, (SELECT count(*) FROM positives) AS positives,
-  (SELECT count(*) FROM negatives) AS negatives FROM range(-1, 80) AS positions(pos)"""))
+  (SELECT count(*) FROM negatives) AS negatives FROM range(-1, 80) AS positions(pos)"""), name="train_stationarity")
 def trained_model_is_optimal(spark, folder):
     """The gradient of the training objective vanishes in every coefficient of the fitted model."""
     train, model = trained(spark, folder)
@@ -155,7 +155,7 @@ def trained_model_is_optimal(spark, folder):
 SELECT 'preferred' AS key, count(*) AS value FROM preferred
 UNION ALL SELECT 'background', count(*) FROM background
 UNION ALL SELECT 'scored', count(*) FROM shown
-UNION ALL SELECT 'recommended', CAST(sum("show") AS BIGINT) FROM shown"""))
+UNION ALL SELECT 'recommended', CAST(sum("show") AS BIGINT) FROM shown"""), name="run_manifest")
 def count_run(spark, folder):
     preferred, rest = split_candidates(joined(spark, folder), prefs(spark, folder))
     rows = adaptive_sample(scored(spark, folder), RATE, HIGH, BOUNDARY, SEED)
@@ -188,7 +188,7 @@ SELECT doc_id, CAST(pos AS INTEGER) AS pos, round(CAST(CAST(CAST(n AS DOUBLE) /
 FROM sums JOIN norms USING (doc_id) WHERE n <> 0"""
 
 
-@query(EMBEDDED_SQL)
+@query(EMBEDDED_SQL, name="embed_texts")
 def embed_documents(spark, folder):
     """Every document embedded as a whole; one row per non-zero element."""
     rows = embed_texts(table(spark, folder, "documents").select("doc_id", "text"))

@@ -4,12 +4,12 @@ QUERIES = {}
 SQL = {}
 
 
-def query(sql: str | None = None):
-    """Register the decorated function (spark, folder) -> DataFrame under its own name."""
+def query(sql: str | None = None, name: str | None = None):
+    """Register the decorated function (spark, folder) -> DataFrame, by default under its own name."""
     def register(fn):
-        QUERIES[fn.__name__] = fn
+        QUERIES[name or fn.__name__] = fn
         if sql is not None:
-            SQL[fn.__name__] = sql
+            SQL[name or fn.__name__] = sql
         return fn
 
     return register

@@ -130,7 +130,7 @@ def parse_harvest_records(spark, folder):
 SELECT CAST(c_custkey AS VARCHAR) AS paper_id, c_name AS title, '' AS abstract,
   c_mktsegment AS categories, '' AS primary_category, '' AS authors, '' AS published_at,
   '' AS updated_at, '' AS doi, CAST(c_nationkey AS VARCHAR) AS comment, '' AS journal_ref,
-  '' AS license, '' AS source FROM customer""")
+  '' AS license, '' AS source FROM customer""", name="normalise_schema")
 def normalise_metadata_schema(spark, folder):
     rows = table(spark, folder, "customer").select(
         F.col("c_mktsegment").alias("categories"), F.col("c_nationkey").alias("comment"),
@@ -153,7 +153,7 @@ def metadata_year_counts(spark, folder):
 @query("""
 SELECT CAST(doc_id AS VARCHAR) AS paper_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS title,
   array_to_string(list_filter([source, lang], lambda x: x <> ''), '|') AS categories,
-  CAST(n_chars AS DOUBLE) / 4 AS score FROM documents""")
+  CAST(n_chars AS DOUBLE) / 4 AS score FROM documents""", name="load_shortlist")
 def load_summary_shortlist(spark, folder):
     """A JSON shortlist whose id is in either of two columns; categories are one text."""
     c = F.col("doc_id")
@@ -172,7 +172,7 @@ def load_summary_shortlist(spark, folder):
     )
 
 
-@query()
+@query(name="file_manifest")
 def list_and_exclude_files(spark, folder):
     """Count and size of the table files, labels left out. The listing depends on the folder."""
     files = exclude_globs(list_files(spark, folder), ["labels*", "*.log"])
@@ -180,7 +180,7 @@ def list_and_exclude_files(spark, folder):
 
 
 @query("""
-SELECT '20240202-000000' AS run_id, 'recommended.parquet' AS file, count(*) AS rows FROM embeddings""")
+SELECT '20240202-000000' AS run_id, 'recommended.parquet' AS file, count(*) AS rows FROM embeddings""", name="latest_run")
 def find_latest_run(spark, folder):
     """Two runs are written; the newer one has both outputs, a third folder has none."""
     root = scratch_path(spark, "runs")

@@ -30,7 +30,7 @@ def finish(job):
     job.awaitTermination()
 
 
-@query(SQL["job_run_metrics"])
+@query(SQL["job_run_metrics"], name="stream_job_metrics")
 def stream_metrics(spark, folder):
     path = scratch_path(spark, "metrics")
     runs = views.job_runs(StreamSource(spark), folder)
@@ -38,14 +38,14 @@ def stream_metrics(spark, folder):
     return metrics_columns(latest_state(spark, path, "job"))
 
 
-@query(SQL["upsert_into_table"])
+@query(SQL["upsert_into_table"], name="stream_upsert")
 def stream_into_table(spark, folder):
     path = scratch_path(spark, "upserts")
     finish(stream_upsert(views.versions(StreamSource(spark), folder), path, path + "-offsets"))
     return spark.read.parquet(path).select("paper_id", "updated_at", "year")
 
 
-@query(SQL["label_feedback"])
+@query(SQL["feedback_labels"], name="stream_feedback")
 def stream_labels(spark, folder):
     """Every reaction is delivered twice and counted once."""
     path = scratch_path(spark, "labels")
@@ -58,7 +58,7 @@ def stream_labels(spark, folder):
 
 @query("""
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type AS preference,
-  count(*) AS n FROM events GROUP BY ALL""")
+  count(*) AS n FROM events GROUP BY ALL""", name="stream_preference_counts")
 def stream_counts(spark, folder):
     path = scratch_path(spark, "counts")
     rows = views.table(StreamSource(spark), folder, "events").select(
@@ -72,7 +72,7 @@ def stream_counts(spark, folder):
 SELECT source, '20' || substr(paper_id, 5, 2) AS year, count(*) AS rows FROM (
   SELECT {coded_id_sql('vec_id')} AS paper_id, 'stored' AS source FROM embeddings
   UNION ALL SELECT {coded_id_sql('doc_id')}, 'embedding' FROM documents
-  WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) GROUP BY ALL""")
+  WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) GROUP BY ALL""", name="stream_backlog")
 def stream_missing_vectors(spark, folder):
     """The table starts with the given vectors; the stream adds those of all other documents."""
     path = scratch_path(spark, "vectors")

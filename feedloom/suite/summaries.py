@@ -40,7 +40,7 @@ def extracted(spark, folder):
 SELECT page_id, md5(coalesce(article, body)) AS content_md5, length(coalesce(article, body)) AS n_chars,
   CASE WHEN article IS NOT NULL THEN 'article' WHEN body IS NOT NULL THEN 'body' END AS origin,
   CASE WHEN coalesce(article, body) IS NULL THEN 'no text in article or body' END AS reason
-FROM (SELECT page_id, {ARTICLE_SQL} AS article, {BODY_SQL} AS body FROM pages)""")
+FROM (SELECT page_id, {ARTICLE_SQL} AS article, {BODY_SQL} AS body FROM pages)""", name="extract_with_fallback")
 def extract_page_content(spark, folder):
     return extracted(spark, folder).select(
         "page_id", md5("content").alias("content_md5"), F.length("content").cast("long").alias("n_chars"),
@@ -87,7 +87,7 @@ SELECT paper_id, coalesce(nullif(array_to_string(items, chr(10)), ''), '{NO_HIGH
     coalesce(array_to_string(list_transform(items, lambda x: '- ' || x), chr(10)), '') ||
     chr(10) || chr(10) || 'Full abstract:' || chr(10) || clean ||
     coalesce(chr(10) || chr(10) || 'Context excerpt:' || chr(10) || substr(context, 1, 2000), ''), '$', '')) AS detail_md5
-FROM lines""")
+FROM lines""", name="stub_summary")
 def make_stub_summaries(spark, folder):
     rows = stub_summary(_sources(spark, folder), "m", "a")
     return rows.select("paper_id", "highlights", md5("detail").alias("detail_md5"))
@@ -99,7 +99,7 @@ SELECT paper_id AS id, md5('{(SYSTEM_PROMPT + NO_LATEX_PROMPT).replace("'", "''"
   md5('Language: ' || language || chr(10) || 'Paper ID: ' || paper_id || chr(10) || 'Title: ' || title || chr(10) ||
     'Abstract: ' || {strip_sql('abstract')} ||
     coalesce(chr(10) || 'Paper Content:' || chr(10) || {strip_sql('context')}, '')) AS user_md5,
-  2 AS n_messages FROM sources""")
+  2 AS n_messages FROM sources""", name="build_prompts")
 def assemble_prompts(spark, folder):
     return build_prompts(_sources(spark, folder)).select(
         "id", md5("system").alias("system_md5"), md5("user").alias("user_md5"),
@@ -114,7 +114,7 @@ parsed AS (SELECT *, CASE kind WHEN 0 THEN ['first point', 'second point'] WHEN
   CASE WHEN kind = 1 AND {strip_sql('text')} = '' THEN output WHEN text = '' THEN output ELSE text END AS body FROM parts)
 SELECT conv_id, turn, coalesce(nullif(array_to_string(lines, chr(10)), ''), '{NO_HIGHLIGHTS}') AS highlights,
   md5({strip_sql(f"{_header_sql(language='role')} || chr(10) || {strip_sql('body')}")}) AS detail_md5
-FROM parsed"""))
+FROM parsed"""), name="parse_model_output")
 def parse_model_outputs(spark, folder):
     rows = model_outputs(spark, folder).withColumn("language", F.col("role"))
     return parse_model_output(rows, "m", "a").select(
@@ -161,7 +161,7 @@ pages_made AS (SELECT *, '---' || chr(10) || 'title: "' || title || '"' || chr(1
   '[Read full paper](https://arxiv.org/abs/' || paper_id || ')' || chr(10) AS markdown FROM sources)"""
 
 
-@query(f"WITH {PAGE_SQL} SELECT paper_id, length(markdown) AS n_chars, md5(markdown) AS markdown_md5 FROM pages_made")
+@query(f"WITH {PAGE_SQL} SELECT paper_id, length(markdown) AS n_chars, md5(markdown) AS markdown_md5 FROM pages_made", name="render_markdown")
 def render_pages(spark, folder):
     return _pages(spark, folder).select(
         "paper_id", F.length("markdown").cast("long").alias("n_chars"), md5("markdown").alias("markdown_md5")
@@ -184,7 +184,7 @@ WITH {PAGE_SQL}
 SELECT paper_id AS id, md5(markdown) AS summary_md5, '{NOW_TEXT}' AS summary_time, 'summary' AS source,
   'pages/' || paper_id || '.md' AS source_file, language AS lang, '2025-12' AS month,
   CASE WHEN CAST(paper_id AS BIGINT) % 2 = 0 THEN CAST(0.5 AS DOUBLE) END AS score,
-  CASE WHEN CAST(paper_id AS BIGINT) % 3 = 0 THEN 1 ELSE 0 END AS has_categories FROM pages_made""")
+  CASE WHEN CAST(paper_id AS BIGINT) % 3 = 0 THEN 1 ELSE 0 END AS has_categories FROM pages_made""", name="summary_records")
 def make_summary_records(spark, folder):
     c = F.col("paper_id").cast("long")
     rows = _pages(spark, folder).withColumns(
@@ -204,7 +204,7 @@ def make_summary_records(spark, folder):
 
 @query(f"""
 SELECT conv_id, turn, md5('{{"id":"' || CAST(conv_id AS VARCHAR) || '","summary":"' || {JSON_TEXT_SQL} ||
-  '","lang":"' || role || '","alpha":null,"zeta":[' || CAST(turn AS VARCHAR) || ']}}') AS json_md5 FROM conversations""")
+  '","lang":"' || role || '","alpha":null,"zeta":[' || CAST(turn AS VARCHAR) || ']}}') AS json_md5 FROM conversations""", name="summary_key_order")
 def order_summary_keys(spark, folder):
     """Irregular records: known keys first, the others by name, none lost."""
     raw = F.concat(
@@ -266,7 +266,7 @@ def summarise_batch(spark, folder):
 @query(f"""
 WITH {SOURCES_SQL}
 SELECT count(*) AS total_sources, count(context) AS summarized, CAST(count_if(context IS NULL) AS BIGINT) AS skipped
-FROM sources""")
+FROM sources""", name="summary_manifest")
 def count_summaries(spark, folder):
     return summary_manifest(_sources(spark, folder), "context")
 

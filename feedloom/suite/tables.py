@@ -59,7 +59,7 @@ def upsert_into_table(spark, folder):
     return spark.read.parquet(path).select("paper_id", "updated_at", "year")
 
 
-@query(with_views("versions", _pick_sql("paper_id", "year DESC, updated_at DESC, title DESC, seq DESC")))
+@query(with_views("versions", _pick_sql("paper_id", "year DESC, updated_at DESC, title DESC, seq DESC")), name="latest_snapshot")
 def latest_metadata_snapshot(spark, folder):
     rows = versions(spark, folder)
     return latest_snapshot(upsert_latest(rows, tie=["title", "seq"]))
@@ -75,7 +75,7 @@ def ordered_metadata(spark, folder):
   FROM versions GROUP BY year),
 complete AS (SELECT * FROM counted UNION ALL
   SELECT 'total', CAST(sum(rows) AS BIGINT), CAST(sum(unique_ids) AS BIGINT) FROM counted)
-SELECT year, rows, unique_ids, rows - unique_ids AS removed FROM complete"""))
+SELECT year, rows, unique_ids, rows - unique_ids AS removed FROM complete"""), name="duplicate_report")
 def report_duplicates(spark, folder):
     return duplicate_report(versions(spark, folder))
 
@@ -100,7 +100,7 @@ def dominant_dimension(spark, folder):
     return top.select(F.col("dim").cast("long").alias("dim"), "rows")
 
 
-@query(with_views("damaged", "SELECT id, len(vector) AS dim FROM damaged WHERE len(vector) = 64"))
+@query(with_views("damaged", "SELECT id, len(vector) AS dim FROM damaged WHERE len(vector) = 64"), name="clean_vectors")
 def keep_dominant_vectors(spark, folder):
     kept = clean_vectors(damaged(spark, folder), vector="vector")
     return kept.select("id", F.size("vector").cast("long").alias("dim"))
@@ -173,7 +173,7 @@ def embedding_manifest(spark, folder):
 SELECT CAST(vec_id AS VARCHAR) AS paper_id, CAST(n AS INTEGER) AS batch FROM (
   SELECT vec_id, n, row_number() OVER (PARTITION BY n ORDER BY
     md5('7:' || CAST(n AS VARCHAR) || ':' || CAST(vec_id AS VARCHAR))) AS place
-  FROM embeddings, range(4) AS batches(n)) WHERE place <= 32""")
+  FROM embeddings, range(4) AS batches(n)) WHERE place <= 32""", name="random_id_batches")
 def draw_id_batches(spark, folder):
     ids = vec_a(spark, folder).withColumnRenamed("id", "paper_id")
     return random_id_batches(ids, 4, 32, 7)
@@ -217,7 +217,7 @@ SELECT model, CAST(doc_id AS VARCHAR) AS paper_id, dim AS model_dim, CAST(head A
   SELECT doc_id, 'm1' AS model, len(embedding) AS dim, embedding[1] AS head FROM documents
     LEFT JOIN embeddings ON vec_id = doc_id
   UNION ALL SELECT doc_id, 'm2', len(embedding[1:16]), embedding[1] FROM documents
-    LEFT JOIN embeddings ON vec_id = doc_id)""")
+    LEFT JOIN embeddings ON vec_id = doc_id)""", name="unpivot_vectors")
 def unpivot_model_vectors(spark, folder):
     rows = unpivot_vectors(wide(spark, folder), ["m1", "m2", "m1", "absent"], "hf:set")
     return rows.select(
@@ -244,7 +244,7 @@ def preference_events_by_month(spark, folder):
 
 @query(with_views("preference_months", EVENTS_SQL + """
 SELECT count(*) AS rows, count(DISTINCT paper_id) AS unique_ids,
-  (SELECT count(*) FROM preference_months) - count(*) AS skipped_rows FROM events"""))
+  (SELECT count(*) FROM preference_months) - count(*) AS skipped_rows FROM events"""), name="preference_stats")
 def preference_statistics(spark, folder):
     return preference_stats(preference_months(spark, folder))
 
@@ -271,7 +271,7 @@ def metrics_columns(metrics):
 
 @query("""
 SELECT o_orderstatus AS dataset, CAST(o_orderkey AS VARCHAR) AS path FROM orders
-QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) DESC) > 20""")
+QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) DESC) > 20""", name="retention_plan")
 def plan_retention(spark, folder):
     archives = table(spark, folder, "orders").select(
         F.col("o_orderstatus").alias("dataset"), F.col("o_orderdate").alias("modified"),
@@ -283,7 +283,7 @@ def plan_retention(spark, folder):
 @query("""
 SELECT CAST(s_suppkey AS VARCHAR) AS id, CAST(s_acctbal AS DOUBLE) AS amount, s_name AS name FROM supplier
 UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_acctbal, c_name FROM customer
-UNION ALL SELECT CAST(p_partkey AS VARCHAR), CAST(p_size AS DOUBLE), p_name FROM part""")
+UNION ALL SELECT CAST(p_partkey AS VARCHAR), CAST(p_size AS DOUBLE), p_name FROM part""", name="union_all")
 def union_with_casts(spark, folder):
     """Rows of three tables whose column types differ, cast to the first one's."""
     def pick(name, key, amount, label):
@@ -320,7 +320,7 @@ def align_and_union(spark, folder):
 SELECT 'papers' AS target, CASE WHEN count(*) = 0 THEN 'warning' ELSE 'ok' END AS status, '' AS missing,
   count(*) = 0 AS is_empty, CAST(NULL AS VARCHAR) AS message FROM documents
 UNION ALL SELECT 'labels', 'warning', 'source, text', count(*) = 0, 'missing columns: source, text' FROM labels
-UNION ALL SELECT 'none', 'error', '', count(*) = 0, 'no rows produced' FROM documents WHERE n_chars < 0""")
+UNION ALL SELECT 'none', 'error', '', count(*) = 0, 'no rows produced' FROM documents WHERE n_chars < 0""", name="validate_frame")
 def validate_tables(spark, folder):
     docs = table(spark, folder, "documents")
     checks = [
@@ -350,7 +350,7 @@ SELECT r.target, CASE WHEN p.texts IS NULL THEN 'ok' ELSE 'warning' END AS statu
 FROM rows r LEFT JOIN preview p USING (target) GROUP BY r.target, p.texts"""
 
 
-@query(GAPS_SQL)
+@query(GAPS_SQL, name="validate_rows")
 def validate_summary_rows(spark, folder):
     turn, role = F.col("turn"), F.col("role")
 
@@ -381,7 +381,7 @@ UNION ALL SELECT 'preferences', 'rows', count(*) FROM events
 UNION ALL SELECT 'preferences', 'unique_ids', count(DISTINCT paper_id) FROM events
 UNION ALL SELECT 'preferences', 'skipped_rows', (SELECT count(*) FROM preference_months) - count(*) FROM events
 UNION ALL SELECT 'summaries', 'records', CAST(sum(n) AS BIGINT) FROM months
-UNION ALL SELECT 'summaries', 'output_files', count(*) FROM months"""))
+UNION ALL SELECT 'summaries', 'output_files', count(*) FROM months"""), name="migration_report")
 def report_migration(spark, folder):
     docs = table(spark, folder, "documents").select(
         F.substring(day(F.col("doc_id")), 1, 4).alias("year")

@@ -84,6 +84,15 @@ def test_month_bucket_keeps_the_written_month(spark):
     assert df.select(ids.month_bucket(F.col("a"), F.col("b"), F.col("c"))).first()[0] == "2024-06"
 
 
+def test_iso_instant(spark):
+    values = ["2024-02-03T08:00:00Z", "2024-02-03", "2024-02-03 08:05", "2024-02-03T08:00:01.5-05:00", "2024-02 or so",
+              "2024-13-01", "soon", None]
+    assert each(spark, values, ids.iso_instant) == [
+        "2024-02-03T08:00:00+00:00", "2024-02-03T00:00:00", "2024-02-03T08:05:00", "2024-02-03T08:00:01.5-05:00",
+        "2024-02-01T00:00:00+00:00", "", "", "",
+    ]
+
+
 def test_month_labels(spark):
     values = ["2024-02", "init", "x", "2024-02-extra", "2024-13"]
     assert [tuple(r) for r in each(spark, values, ids.month_order)] == [

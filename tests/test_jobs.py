@@ -64,7 +64,7 @@ def test_recommendation_run(spark, feed, folder):
     run = recommend(meta, vectors, prefs, None, PARAMS)
     assert rows(run.preferred, "id") == [("p1",), ("p2",)]
     assert rows(run.background, "id") == [("p3",)]
-    assert run.scored.count() == 1 and run.recommended.count() == 1
+    assert run.scored.count() == 1 and run.recommended.count() == 1 and run.rejected.count() == 0
     assert "a" not in run.recommended.columns and "a" in run.scored.columns
     counts = dict(rows(run_manifest(run.preferred, run.background, run.scored, run.recommended)))
     assert counts == {"preferred": 2, "background": 1, "scored": 1, "recommended": 1}
@@ -72,6 +72,14 @@ def test_recommendation_run(spark, feed, folder):
     assert spark.read.parquet(f"{folder}/run_id=r1/recommended.parquet").count() == 1
 
 
+def test_vectors_of_another_length_are_set_aside(spark, feed):
+    meta, vectors, prefs = feed
+    odd = spark.createDataFrame([("p6", "p6", "p6", ["cs.AI"], "2025-09-22")], meta.schema)
+    short = {m: df.union(spark.createDataFrame([("p6", [1.0])], df.schema)) for m, df in vectors.items()}
+    run = recommend(meta.union(odd), short, prefs, None, PARAMS)
+    assert rows(run.rejected, "id", "lengths") == [("p6", "1,1")] and rows(run.background, "id") == [("p3",)]
+
+
 def exchanges(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
 

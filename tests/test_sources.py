@@ -183,7 +183,7 @@ def test_summary_migration(spark, folder):
     assert first["summary"] == "newer" and first["source"] == "action" and first["migrated_at"] == "NOW"
     irregular = json.loads(got["paper-004"])
     assert list(irregular)[-1] == "zeta" and irregular["zeta"] == [1, {"a": 2.5}] and irregular["summary"] == "é\n\"q\""
-    assert irregular["summary_time"] == "2024-03-01" and json.loads(got["paper-003-4"])["summary_time"] == ""
+    assert irregular["summary_time"] == "2024-03-01T00:00:00" and json.loads(got["paper-003-4"])["summary_time"] == ""
     migrate_summaries(merged, f"{folder}/dry", dry_run=True)
     assert not os.path.exists(f"{folder}/dry")
     migrate_summaries(merged, f"{folder}/out")
