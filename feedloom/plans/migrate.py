@@ -41,7 +41,7 @@ def migrate_wide(
     raise_on_error(checks)
     if not dry_run:
         write_metadata(metadata, f"{root}/metadata")
-        write_vectors(vectors.where(F.col("embedding").isNotNull()), f"{root}/embeddings", overwrite=True)
+        write_vectors(vectors, f"{root}/embeddings", overwrite=True)
         snapshot = order_metadata(latest_snapshot(metadata)).drop("year")
         write_table(snapshot, f"{root}/latest", fmt="csv", overwrite=True)
     return metadata, vectors

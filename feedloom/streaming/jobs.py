@@ -78,7 +78,12 @@ def stream_upsert(
 ) -> StreamingQuery:
     """Landed metadata records into the metadata table; replaying a batch changes nothing."""
     def write(batch: DataFrame, _: int) -> None:
-        upsert_metadata(batch, path)
+        # The batch is read for its years and again for its rows; parse it once.
+        batch.persist()
+        try:
+            upsert_metadata(batch, path)
+        finally:
+            batch.unpersist()
 
     return _start(records, write, checkpoint, "append", trigger)
 

@@ -395,8 +395,8 @@ def report_migration(spark, folder):
 @query(f"""
 WITH wide AS (SELECT {day_sql('doc_id')}[1:4] AS year, vec_id FROM documents LEFT JOIN embeddings ON vec_id = doc_id)
 SELECT 'metadata' AS part, year, count(*) AS rows FROM wide GROUP BY year
-UNION ALL SELECT 'm1', year, count(vec_id) FROM wide GROUP BY year HAVING count(vec_id) > 0
-UNION ALL SELECT 'm2', year, count(vec_id) FROM wide GROUP BY year HAVING count(vec_id) > 0
+UNION ALL SELECT 'm1', year, count(*) FROM wide GROUP BY year
+UNION ALL SELECT 'm2', year, count(*) FROM wide GROUP BY year
 UNION ALL SELECT 'latest', 'all', count(*) FROM wide""")
 def migrate_wide_years(spark, folder):
     """Yearly wide files, read by name, through the whole migration; what is stored is counted."""

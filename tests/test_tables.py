@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from feedloom import schemas
 from feedloom.operators.candidates import (
-    drop_known, embedding_backlog, filter_date_window, filter_year, join_vectors, lookup_by_id,
-    split_candidates,
+    drop_known, embedding_backlog, filter_date_window, filter_year, join_vectors, limit_ordered,
+    lookup_by_id, split_candidates,
 )
+from feedloom.operators.summaries import order_summary_columns
 from feedloom.operators.dedup import (
     duplicate_report, keep_first, keep_latest_any, order_metadata, upsert_latest,
 )
@@ -273,6 +274,12 @@ def test_retention_and_latest_run(spark):
     assert rows(latest_run(runs)) == [("2", "recommended.jsonl")]
 
 
+def test_column_order_and_limit(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4), (0, 5, 6, 7)], "zeta int, summary int, alpha int, id int")
+    assert order_summary_columns(df).columns == ["id", "summary", "alpha", "zeta"]
+    assert rows(limit_ordered(df, ["zeta"], 1), "id") == [(7,)]
+
+
 def test_write_guard(spark, folder):
     one, two = spark.range(1), spark.range(2)
     write_table(one, f"{folder}/t", dry_run=True)
