@@ -45,10 +45,11 @@ def merge_vectors(existing: DataFrame, new: DataFrame, overwrite: bool = False)
 
     Stored ones win. With `overwrite`, every year that has new vectors keeps only those.
     """
-    fresh = keep_first(new, ["year", "paper_id"], ["generated_at"])
+    order = ["generated_at", "source", "embedding"]
+    fresh = keep_first(new, ["year", "paper_id"], order)
     if overwrite:
         years = new.select("year").distinct()
         return existing.join(years, "year", "left_anti").unionByName(fresh)
     both = existing.withColumn("_origin", F.lit(0)).unionByName(fresh.withColumn("_origin", F.lit(1)))
-    return keep_first(both, ["year", "paper_id"], ["_origin", "generated_at"]).drop("_origin")
+    return keep_first(both, ["year", "paper_id"], ["_origin", *order]).drop("_origin")
 

@@ -57,4 +57,5 @@ def embed_missing(
         overwrite=overwrite,
         allow_truncate=allow_truncate,
         limited=limit is not None,
+        models=[model],
     )

@@ -44,7 +44,7 @@ def upsert_metadata(records: DataFrame, path: str) -> DataFrame:
     """
     spark = records.sparkSession
     accepted, rejected = split_by_year(normalise_schema(records))
-    stored = read_if_present(spark, path)
+    stored = read_if_present(spark, path, schemas.METADATA_TABLE)
     if stored is None:
         merged = upsert_latest(accepted, tie=schemas.METADATA_COLUMNS)
     else:

@@ -42,6 +42,16 @@ VECTORS = T.StructType(
     ]
 )
 
+# The stored tables, partition columns included.
+METADATA_TABLE = T.StructType([*METADATA.fields, T.StructField("year", T.IntegerType())])
+VECTOR_TABLE = T.StructType(
+    [
+        *VECTORS.fields,
+        T.StructField("model", T.StringType()),
+        T.StructField("year", T.StringType()),
+    ]
+)
+
 # One harvested record; the XML row tag is `record` and namespaces are ignored.
 HARVEST_DDL = (
     "header struct<_status:string, identifier:string>, "

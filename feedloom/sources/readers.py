@@ -327,18 +327,16 @@ def existing_vector_ids(spark: SparkSession, path: str, model: str) -> DataFrame
 
     The model is a partition, so only its files are read, and of those only the ids.
     """
-    stored = read_if_present(spark, path)
-    if stored is None:
-        return None
-    return stored.where(F.col("model") == model).select(F.col("year").cast("string"), "paper_id")
+    stored = read_if_present(spark, path, schemas.VECTOR_TABLE)
+    return None if stored is None else stored.where(F.col("model") == model).select("year", "paper_id")
 
 
-def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
+def read_if_present(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
     """A stored parquet table, or None when nothing has been stored there yet."""
     try:
-        return spark.read.parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
 

@@ -61,27 +61,30 @@ def write_vectors(
     overwrite: bool = False,
     allow_truncate: bool = False,
     limited: bool = False,
+    models: Sequence[str] | None = None,
 ) -> None:
     """Store new vectors by (model, year) as zstd parquet; stored vectors win unless `overwrite`.
 
     Without `overwrite` only the ids of the stored table are read and only vectors it lacks are
     appended; the stored vectors are neither read nor rewritten. With `overwrite` the touched years
     are replaced as a whole, which loses rows when `df` is only a part of them, so a limited input
-    needs `allow_truncate`.
+    needs `allow_truncate`. `models` names the models in `df`, if known, to read only their ids.
     """
     spark = df.sparkSession
     keys = ["model", "year", "paper_id"]
-    fresh = keep_first(df, keys, ["generated_at"])
+    order = ["generated_at", "source", "embedding"]
+    fresh = keep_first(df.withColumn("year", F.col("year").cast("string")), keys, order)
     if overwrite:
         if limited and not allow_truncate:
             raise ValueError("overwriting years with a limited input drops vectors: allow_truncate")
         mode = "overwrite"
     else:
         mode = "append"
-        stored = read_if_present(spark, path)
+        stored = read_if_present(spark, path, schemas.VECTOR_TABLE)
         if stored is not None:
-            ids = [F.col(k).cast(df.schema[k].dataType).alias(k) for k in keys]
-            fresh = fresh.join(stored.select(*ids).distinct(), keys, "left_anti")
+            if models is not None:
+                stored = stored.where(F.col("model").isin(list(models)))
+            fresh = fresh.join(stored.select(*keys).distinct(), keys, "left_anti")
     columns = schemas.VECTOR_COLUMNS
     (
         fresh.select("model", "year", *columns)

@@ -100,7 +100,7 @@ def stream_backlog(
     """Vectors for new metadata. Stored ids are skipped, so a replayed batch adds nothing."""
     def write(batch: DataFrame, _: int) -> None:
         todo = pending_inputs(batch, path, model)
-        write_vectors(vector_rows(todo, model, backend, generated_at), path)
+        write_vectors(vector_rows(todo, model, backend, generated_at), path, models=[model])
 
     return _start(meta, write, checkpoint, "append", trigger)
 
