@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.llm import bpe
 from feedloom.llm.secrets import scan_secrets
+from feedloom.llm.simhash import near_groups
 
 QUERIES = {}
 SQL = {}
@@ -20,6 +23,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    groups = near_groups(table(spark, folder, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded and decoded with the byte-level vocabulary, as counts and digests."""
+    return bpe.digests(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query
 def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every document: counts per kind, digest of the base spans, all spans."""
