@@ -82,12 +82,14 @@ class Codec:
             i, j = min(i, len(left)), min(j, len(right))
             raw = b"".join(map(self.bytes.get, left[-i:] + right[:j]))
             try:
-                window = self._library(raw.decode("utf-8"))
+                text = raw.decode("utf-8")
+                window = self._library(text)
             except UnicodeDecodeError:  # it begins or ends inside a character
                 window = None
             # The text's own ends need no agreement. Else one token must come out as it was, a special string's length away.
             first = i == len(left) or i > 1 and window and window[0] == left[-i] and self._far(left[-i:])
-            last = j == len(right) or window and window[-1] == right[j - 1] and self._far(right[:j])
+            # White space at the window's end would be split as at a text's end, so it ends with another character.
+            last = j == len(right) or window and window[-1] == right[j - 1] and self._far(right[:j]) and not text[-1].isspace()
             if window is not None and first and last:
                 return left[: len(left) - i] + window + right[j:]
             i, j = (i if first else 2 * i), (j if last else 2 * j)
