@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe
+from feedloom.llm import bpe, toxicity
+from feedloom.llm.licenses import license_finds
 from feedloom.llm.secrets import scan_secrets
 from feedloom.llm.simhash import near_groups
+from feedloom.llm.token_counts import token_counts
 
 QUERIES = {}
 SQL = {}
@@ -23,6 +25,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op3_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    """License notices in every document."""
+    return license_finds(table(spark, folder, "documents"))
+
+
 @query
 def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
@@ -30,6 +38,25 @@ def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, by a model of the labelled rows outside the held-out fold."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    return toxicity.score(docs, model, "score").select(
+        "doc_id",
+        F.coalesce(toxicity.fold_of(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Unigram token counts of every document."""
+    return token_counts(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded and decoded with the byte-level vocabulary, as counts and digests."""

@@ -80,7 +80,7 @@ def _scan(todo: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         F.when(F.array_contains("rules", r.kind) & F.col("text").rlike(r.pattern), _pieces(F.col("text"), r)).otherwise(none)
         for r in rules
     ]
-    rows = todo.select("address", F.posexplode(F.concat(*asked)).alias("i", "m")).select("address", "i", "m.*")
+    rows = todo.select("address", F.posexplode(F.concat(*asked)).alias("i", "m")).select("address", "i", "m.*").distinct()  # rows repeated whole are one version
     end = F.expr("sum(before + whole) OVER (PARTITION BY address, rule ORDER BY i)").cast("int")
     return (
         rows.withColumn("end", end)
@@ -108,7 +108,7 @@ def scan_history(versions: DataFrame, ledger: str | None = None, rules: tuple[Ru
         todo.alias("t"),
         (F.col("v.address") == F.col("t.address")) & F.col("v.doc_id").eqNullSafe(F.col("t.doc_id")),
     )
-    spans = _scan(texts.select("v.address", "rules", "text"), rules).distinct()
+    spans = _scan(texts.select("v.address", "rules", "text"), rules)
     found = spans.groupBy("address", "rule").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     none = F.array().cast("array<struct<start:int, end:int>>")
     (
