@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.llm import bpe, toxicity
+from feedloom.llm.decontamination import contaminated
 from feedloom.llm.licenses import license_finds
 from feedloom.llm.secrets import scan_secrets
 from feedloom.llm.simhash import near_groups
@@ -63,6 +64,12 @@ def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark, with the longest overlap per item."""
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query
 def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every document: counts per kind, digest of the base spans, all spans."""
