@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, toxicity
+from feedloom.llm import bpe, suffixes, toxicity
 from feedloom.llm.decontamination import contaminated
 from feedloom.llm.licenses import license_finds
+from feedloom.llm.projections import near_vectors
+from feedloom.llm.recompression import without_repeats
 from feedloom.llm.secrets import scan_secrets
 from feedloom.llm.simhash import near_groups
 from feedloom.llm.token_counts import token_counts
@@ -26,6 +28,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and component of every vector."""
+    return near_vectors(table(spark, folder, "embeddings"))
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the words of windows that occur again."""
+    return without_repeats(table(spark, folder, "documents"))
+
+
 @query
 def op3_license_scans(spark: SparkSession, folder: str) -> DataFrame:
     """License notices in every document."""
@@ -70,6 +84,12 @@ def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query
+def op9_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the bytes of strings that occur again."""
+    return suffixes.without_repeats(table(spark, folder, "documents"))
+
+
 @query
 def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every document: counts per kind, digest of the base spans, all spans."""
