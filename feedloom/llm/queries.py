@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from feedloom.llm import bpe, suffixes, toxicity
 from feedloom.llm.decontamination import contaminated
 from feedloom.llm.licenses import license_finds
@@ -137,4 +138,6 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM docs LEFT JOIN per USING (doc_id)"""
 
 
+QUERIES["pipeline"] = corpus_pipeline.run
+
 SQL["op10_secret_scans"] = _secrets_sql()

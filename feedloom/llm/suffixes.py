@@ -259,6 +259,8 @@ def repeated_in_shard(blocks: list[bytes], copies: np.ndarray) -> np.ndarray:
     again[long] = again[before[long]] = True
     for n in np.flatnonzero(copies > 1):
         again[ends[n] - len(blocks[n]) : ends[n] - LENGTH + 1] = True
+    for n in range(len(blocks)):  # what reaches over a block's end is no window
+        again[ends[n] - LENGTH + 1 : ends[n] + 1] = False
     return np.flatnonzero(again)
 
 
