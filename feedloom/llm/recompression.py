@@ -3,9 +3,10 @@
 Rounds of recompression name runs of one symbol and pairs of a left and a right symbol. A name is a hash of what it stands
 for, and which side a symbol takes is a bit of its name, so all tasks give equal texts equal names without exchanging a
 dictionary. With each symbol goes the stretch of words that forces it to appear: any text with that stretch has the symbol
-in the same place. The anchor of a window is the highest symbol that the window alone forces (of equal levels the smallest
-name; single words are level 0, so there always is one). Windows that are equal thus share a high-level symbol, and windows
-that share one are verified by 128-bit fingerprints of their words.
+in the same place. The anchor of a window is the highest symbol that the window alone forces, levels from HIGH on counting
+alike (of these the smallest name; single words are level 0, so there always is one). Windows that are equal thus share a high-level symbol, and windows
+that share one are verified by fingerprints of their words: 64 bits besides the anchor's in shards of whole anchors, and 128
+bits, counted window by window, for anchors with more than SHARD / 8 windows.
 
 Null texts have no words. Texts of fewer than WINDOW words have no window and stay whole. Rows repeated whole are separate
 occurrences, each with its row in the result; null ids are kept. Other columns are ignored.
@@ -18,14 +19,17 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from feedloom.llm.blocks import by_fingerprint, kinds, merged, repeated_blocks, spans
+from feedloom.llm.blocks import RUNS, by_fingerprint, kinds, merged, repeated_blocks, runs, shards, spans, wanted
 from feedloom.llm.common import keyed, slices
 from feedloom.llm.wordhash import Rolling, byte_values, mixed, word_borders
 
-WINDOW, ROUNDS = 35, 6
+WINDOW, ROUNDS, HIGH = 35, 6, 2
 #: Words that one pass of the rounds takes; bytes whose words are hashed at once.
 PASS, CHUNK = 1 << 18, 1 << 20
+#: Windows of a shard.
+SHARD = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _TURNS = np.arange(ROUNDS + 1, dtype=np.uint64) * _ODD
 _TOP = np.uint64(2**64 - 1)
@@ -96,7 +100,7 @@ def anchors(words: np.ndarray, border: np.ndarray) -> np.ndarray:
     def offer(x: _Symbols, made: np.ndarray, level: int) -> None:
         made = made & ~x.border
         low, high = np.maximum(x.right[made] - WINDOW, 0), x.left[made]
-        key = (np.uint64(ROUNDS - level) << np.uint64(60)) | (mixed(x.name[made]) >> np.uint64(4))
+        key = (np.uint64(HIGH - min(level, HIGH)) << np.uint64(60)) | (mixed(x.name[made]) >> np.uint64(4))
         fits = high >= low
         low, high, key = low[fits], high[fits], key[fits]
         level_of = np.frexp((high - low + 1).astype(np.float64))[1] - 1
@@ -181,21 +185,65 @@ def _cut_batches(batches):
         )
 
 
-def _prints(batches):
-    rolling = Rolling(0xE7037ED1A0B428DB), Rolling(0x8EBC6AF09C88C6E3)
+_ROLLING = Rolling(0xE7037ED1A0B428DB), Rolling(0x8EBC6AF09C88C6E3)
+
+
+def _window_prints(batches):
+    """(place, both fingerprints of its windows) of each place of (uid, text, places)."""
     for batch in slices(batches):
-        out = [[] for _ in range(5)]
         for text, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             raw = text.encode("utf-8", "surrogatepass")
-            prefixes = [r.prefix(hashes(raw, k)) for k, r in enumerate(rolling)]
+            prefixes = [r.prefix(hashes(raw, k)) for k, r in enumerate(_ROLLING)]
             for p in places:
                 start = np.arange(p["start"], p["start"] + p["size"])
-                both = [r.stretch(c, start, start + WINDOW).view(np.int64) for r, c in zip(rolling, prefixes)]
-                for column, value in zip(out, (np.full(len(start), p["kind"]), start - p["start"], *both, np.full(len(start), p["copies"]))):
-                    column.append(value)
-        columns = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
-        columns[1] = columns[1].astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "at", "f", "g", "copies"])
+                yield p, [r.stretch(c, start, start + WINDOW).view(np.int64) for r, c in zip(_ROLLING, prefixes)]
+
+
+def _portions(items, most=1 << 16):
+    """Lists of items with about `most` windows."""
+    held, size = [], 0
+    for item in items:
+        held.append(item)
+        size += len(item[1][0]) + 1
+        if size > most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _prints(batches):
+    """(kind, at, f, g, copies), a row per window."""
+    for held in _portions(_window_prints(batches)):
+        sizes = [len(f) for _, (f, _) in held]
+        own = [np.repeat([p[name] for p, _ in held], sizes).astype(np.int64) for name in ("kind", "copies")]
+        at = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+        both = [np.concatenate([x[k] for _, x in held]) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (own[0], at, *both, own[1])], names=["kind", "at", "f", "g", "copies"])
+
+
+def _listed(batches):
+    """(anchor, kind, copies, prints), a row per block with the first fingerprint of each of its windows."""
+    for held in _portions(_window_prints(batches)):
+        own = [pa.array([p[name] for p, _ in held], pa.int64()) for name in ("anchor", "kind", "copies")]
+        lists = pa.array([f for _, (f, _) in held], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([*own, lists], names=["anchor", "kind", "copies", "prints"])
+
+
+def _search(held: list[tuple]) -> pa.RecordBatch:
+    """Windows of a shard whose fingerprints occur again there."""
+    rows = {kind: (anchor, copies, prints) for anchor, kind, copies, prints in held}
+    sizes = [len(x) for *_, x in rows.values()]
+    kind, anchor, copies = (
+        np.repeat(np.array(x, np.int64), sizes) for x in (list(rows), [a for a, *_ in rows.values()], [c for _, c, _ in rows.values()])
+    )
+    at = np.concatenate([np.arange(n) for n in sizes])
+    prints = np.concatenate([np.array(x, np.int64) for *_, x in rows.values()])
+    order = np.lexsort((prints, anchor))
+    same = (prints[order][1:] == prints[order][:-1]) & (anchor[order][1:] == anchor[order][:-1])
+    again = copies > 1
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    return runs(kind[again], at[again])
 
 
 def _kept(batches):
@@ -220,8 +268,13 @@ def repeated_words(rows: DataFrame) -> DataFrame:
     """(uid, spans) of keyed documents: stretches of words under a window that starts anywhere else too."""
     blocks = repeated_blocks(rows, _cut_batches)
     every = kinds(blocks)
-    windows = by_fingerprint(rows, every.where("kinds > 1"), _prints)
-    return spans(blocks, every, windows, WINDOW)
+    mixed_kinds = every.where("kinds > 1")
+    lists = wanted(rows, mixed_kinds.where(F.col("windows") <= SHARD // 8)).mapInArrow(
+        _listed, "anchor long, kind long, copies long, prints array<long>"
+    )
+    sharded = lists.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(shards(_search, len, 2 * SHARD), RUNS)
+    hot = by_fingerprint(rows, mixed_kinds.where(F.col("windows") > SHARD // 8), _prints)
+    return spans(blocks, every, sharded.unionByName(hot), WINDOW)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

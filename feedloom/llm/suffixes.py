@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.blocks import by_fingerprint, kinds, merged, repeated_blocks, spans, wanted
+from feedloom.llm.blocks import RUNS, by_fingerprint, kinds, merged, repeated_blocks, runs, shards, spans, wanted
 from feedloom.llm.common import keyed, slices
 from feedloom.llm.wordhash import Rolling, byte_values, mixed
 
@@ -278,31 +278,12 @@ def _texts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds_of)], names=["anchor", "kind", "copies", "block"])
 
 
-def _shards(batches):
-    """(kind, at) of repeated windows; rows come sorted by anchor, and a shard holds all rows of its anchors."""
-    held: list[tuple] = []
-    size = 0
-
-    def sorted_shard():
-        kinds_of, copies, blocks = (list(c) for c in zip(*held))
-        at = repeated_in_shard(blocks, np.array(copies))
-        first = np.cumsum([0, *(len(b) + 1 for b in blocks)])
-        block = np.searchsorted(first, at, side="right") - 1
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.array(kinds_of, np.int64)[block]), pa.array((at - first[block]).astype(np.int32))], names=["kind", "at"]
-        )
-
-    last = None
-    for batch in batches:
-        for anchor, kind, copies, block in zip(*(c.to_pylist() for c in batch.columns)):
-            if size > SHARD_BYTES and anchor != last:
-                yield sorted_shard()
-                held, size = [], 0
-            held.append((kind, copies, block))
-            size += len(block)
-            last = anchor
-    if held:
-        yield sorted_shard()
+def _search(held: list[tuple]) -> pa.RecordBatch:
+    _, kinds_of, copies, blocks = (list(c) for c in zip(*held))
+    at = repeated_in_shard(blocks, np.array(copies))
+    first = np.cumsum([0, *(len(b) + 1 for b in blocks)])
+    block = np.searchsorted(first, at, side="right") - 1
+    return runs(np.array(kinds_of, np.int64)[block], at - first[block])
 
 
 def _prints(batches):
@@ -348,9 +329,8 @@ def repeated_bytes(rows: DataFrame) -> DataFrame:
     mixed_kinds = every.where("kinds > 1")
     hot = (F.col("windows") + F.col("kinds") * LENGTH) > SHARD_BYTES // 4
     texts = wanted(rows, mixed_kinds.where(~hot)).mapInArrow(_texts, "anchor long, kind long, copies long, block binary")
-    sharded = texts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards, "kind long, at int")
-    windows = sharded.unionByName(by_fingerprint(rows, mixed_kinds.where(hot), _prints))
-    return spans(blocks, every, windows, LENGTH)
+    sharded = texts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(shards(_search, len, SHARD_BYTES), RUNS)
+    return spans(blocks, every, sharded.unionByName(by_fingerprint(rows, mixed_kinds.where(hot), _prints)), LENGTH)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

@@ -58,7 +58,9 @@ def test_equal_windows_have_equal_anchors(alphabet):
         assert found[0] == found[1]
 
 
-def test_without_repeats(spark):
+@pytest.mark.parametrize("shard", [8, 1 << 18])
+def test_without_repeats(spark, monkeypatch, shard):
+    monkeypatch.setattr(recompression, "SHARD", shard)
     texts = made_texts(1)
     rows = [(i, t, "x") for i, t in enumerate(texts)] + [(None, texts[2], "y"), (4, texts[4], "x"), (4, texts[5], "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_words string").repartition(3)
