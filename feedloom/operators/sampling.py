@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from ..functions.rand import uniform
 
 BUCKETS = 4096
-TOP_LIMIT = 1_000  # narrow rows that every task may hand to one final task
 SORT_LIMIT = 200_000  # narrow rows that one task may order without effort
 
 
@@ -83,8 +82,8 @@ def sample_target(n: int, rate: float) -> int:
 
 
 def score_tier(score: Column, high: float, boundary: float) -> Column:
-    """1 for scores at or above `high`, 2 from `boundary` up, 3 below."""
-    return F.when(score >= high, 1).when(score >= boundary, 2).otherwise(3)
+    """1 for scores at or above `high`, 2 from `boundary` up, 3 below and for those that are no number."""
+    return F.when(F.isnan(score), 3).when(score >= high, 1).when(score >= boundary, 2).otherwise(3)
 
 
 def tier_rank(score: Column, u: Column, boundary: float) -> Column:
@@ -133,14 +132,8 @@ def adaptive_sample(
 def random_id_batches(
     df: DataFrame, batches: int, size: int, seed, key: str = "paper_id"
 ) -> DataFrame:
-    """`batches` random batches of `size` ids, without repeats inside a batch."""
-    ids = df.select(key)
-
-    def draw(number: int) -> DataFrame:
-        part = f"{seed}:{number}"
-        if size <= TOP_LIMIT:
-            return ids.orderBy(uniform(part, F.col(key)), key).limit(size)
-        return sample_exact(ids, size, part, key)
-
-    parts = [draw(n).select(F.lit(n).alias("batch"), key) for n in range(batches)]
+    """`batches` random batches of `size` distinct ids, without repeats inside a batch."""
+    ids = df.select(key).distinct()
+    drawn = [sample_exact(ids, size, f"{seed}:{n}", key) for n in range(batches)]
+    parts = [ids.select(F.lit(n).alias("batch"), key) for n, ids in enumerate(drawn)]
     return reduce(DataFrame.unionByName, parts)

@@ -79,8 +79,8 @@ def split_extracted(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where(ok).drop("reason"), df.where(~ok).drop("content", "origin")
 
 
-def build_prompts(df: DataFrame, allow_latex: bool = False) -> DataFrame:
-    """(id, system, user, messages) from paper_id, title, abstract, language and context."""
+def build_prompts(df: DataFrame, allow_latex: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """(id, system, user, messages) and the columns of `keep` from paper_id, title, abstract, language and context."""
     system = F.lit(SYSTEM_PROMPT + ("" if allow_latex else NO_LATEX_PROMPT))
     label = [F.lit(text) for text in USER_LABELS]
     user = F.concat_ws(
@@ -100,6 +100,7 @@ def build_prompts(df: DataFrame, allow_latex: bool = False) -> DataFrame:
         system.alias("system"),
         user.alias("user"),
         F.array(message("system", system), message("user", user)).alias("messages"),
+        *keep,
     )
 
 

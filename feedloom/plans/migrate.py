@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators.dedup import latest_snapshot, order_metadata
+from ..functions.text import blank
+from ..operators.dedup import latest_snapshot
 from ..operators.reports import raise_on_error, validate
 from ..operators.reshape import (
     missing_models, missing_wide_columns, preference_events, reshape_metadata, unpivot_vectors,
@@ -42,7 +43,7 @@ def migrate_wide(
     if not dry_run:
         write_metadata(metadata, f"{root}/metadata")
         write_vectors(vectors, f"{root}/embeddings", overwrite=True)
-        snapshot = order_metadata(latest_snapshot(metadata)).drop("year")
+        snapshot = latest_snapshot(metadata).orderBy(blank(F.col("published_at")), "paper_id").drop("year")
         write_table(snapshot, f"{root}/latest", fmt="csv", overwrite=True)
     return metadata, vectors
 

@@ -35,6 +35,7 @@ class RecommendParams:
     end_date: str | None = None
     last_n_days: int = 7
     include_all: bool = False
+    set_aside_unequal: bool = False
     now: datetime = field(default_factory=datetime.now)
 
 
@@ -89,11 +90,13 @@ def recommend(
         ),
         "candidates",
     )
-    # Vectors of unequal length have no common model; all but the most frequent are set aside.
+    # Vectors of unequal length have no common model: an error, or all but the most frequent are set aside.
     common = labelled.groupBy("lengths").count().orderBy(F.desc("count"), "lengths").first()
     if common is None:
         raise ValueError("a run needs candidates")
     rejected = labelled.where(F.col("lengths") != common["lengths"])
+    if not params.set_aside_unequal and not rejected.isEmpty():
+        raise ValueError(f"vectors of unequal lengths; {common['count']} candidates have {common['lengths']}")
     labelled = labelled.where(F.col("lengths") == common["lengths"]).drop("lengths")
     preferred = labelled.where("rated").drop("rated")
     background = labelled.where("NOT rated").drop("rated")

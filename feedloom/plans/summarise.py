@@ -10,6 +10,7 @@ from ..operators.inference import BackendFactory, run_model
 from ..operators.summaries import (
     build_prompts, parse_model_output, render_markdown, summary_sections,
 )
+from ..functions.text import strip
 from ..session import materialise
 
 
@@ -37,14 +38,21 @@ def summarise(
     """Sources with `markdown`, or with an `error` where there is no content or the call failed.
 
     `sources`: paper_id, title, abstract, language, context (null when extraction failed). Each row
-    stands alone: a failing one neither ends the run nor affects others.
+    stands alone: a failing one neither ends the run nor affects others, ids may repeat, and an empty
+    reply is an error.
     """
+    # Rows have a number of their own, stored with them, since ids are no key.
+    numbered = sources.withColumn("_row", F.monotonically_increasing_id())
+    sources = materialise(numbered, "summary-sources")
     ready = sources.where(F.col("context").isNotNull())
-    prompts = build_prompts(ready).select("id", F.concat_ws("\n", "system", "user").alias("prompt"))
+    texts = build_prompts(ready, keep=["_row"])
+    prompts = texts.select(F.col("_row").alias("id"), F.concat_ws("\n", "system", "user").alias("prompt"))
     # Model calls are expensive and must not be repeated by later passes.
     outputs = materialise(run_model(prompts, backend, batch_size), "model-output")
+    empty = strip(F.coalesce("output", F.lit(""))) == ""
+    outputs = outputs.withColumn("error", F.coalesce("error", F.when(empty, F.lit("empty reply"))))
     parsed = parse_model_output(
-        ready.join(outputs.withColumnRenamed("id", "paper_id"), "paper_id"), model, alias
+        ready.join(outputs.withColumnRenamed("id", "_row"), "_row"), model, alias
     )
     page = (
         parsed.withColumn("sections", summary_sections())
@@ -53,9 +61,9 @@ def summarise(
         .withColumn("updated_at", F.lit(""))
     )
     done = render_markdown(page).select(
-        "paper_id", F.when(F.col("error").isNull(), F.col("markdown")).alias("markdown"), "error"
+        "_row", F.when(F.col("error").isNull(), F.col("markdown")).alias("markdown"), "error"
     )
-    return sources.join(done, "paper_id", "left").withColumn(
+    return sources.join(done, "_row", "left").drop("_row").withColumn(
         "error",
         F.when(F.col("context").isNull(), F.lit("no content")).otherwise(F.col("error")),
     )

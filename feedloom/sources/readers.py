@@ -165,11 +165,25 @@ def parse_harvest(df: DataFrame, source: str = "harvest") -> DataFrame:
 
 
 def read_year_files(spark: SparkSession, path: str, years: Sequence[int] | None = None) -> DataFrame:
-    """Wide parquet files (or folders) named `<year>.parquet`, with the year as a column."""
+    """Wide parquet files (or folders) named `<year>.parquet`, with the year as a column.
+
+    Each year is read by its own schema: a model's column that only some years have is null in the others, and
+    vectors of different float widths are read as doubles. The driver lists one path per year.
+    """
     glob = "{" + ",".join(str(y) for y in years) + "}" if years else "[0-9][0-9][0-9][0-9]"
-    return spark.read.parquet(f"{path}/{glob}.parquet").withColumn(
-        "year", F.regexp_extract("_metadata.file_path", r"/(\d{4})\.parquet(?:/|$)", 1)
-    )
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{glob}.parquet")
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target) or []
+    names = sorted(str(f.getPath().toString()) for f in found)
+    if not names:
+        return spark.read.parquet(f"{path}/{glob}.parquet").withColumn("year", F.lit(""))
+    parts = [spark.read.parquet(n).withColumn("year", F.lit(n[-len("2000.parquet"):-len(".parquet")])) for n in names]
+    kinds: dict[str, set[str]] = {}
+    for part in parts:
+        for column, kind in part.dtypes:
+            kinds.setdefault(column, set()).add(kind)
+    wide = {c: "array<double>" if all(k.startswith("array") for k in kind) else "string" for c, kind in kinds.items() if len(kind) > 1}
+    parts = [p.withColumns({c: F.col(f"`{c}`").cast(k) for c, k in wide.items() if c in p.columns}) for p in parts]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_preference_months(spark: SparkSession, paths) -> DataFrame:

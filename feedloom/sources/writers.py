@@ -21,6 +21,11 @@ CSV_WRITE_OPTIONS = {
 }
 
 
+def path_exists(spark, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def write_table(
     df: DataFrame,
     path: str,
@@ -33,17 +38,24 @@ def write_table(
 ) -> None:
     """Write `df`, skip if the target exists unless `overwrite`, or only plan it on `dry_run`.
 
-    Overwriting a partitioned table replaces just the partitions that occur in `df`.
+    Overwriting a partitioned table replaces just the partitions that occur in `df`; without it the
+    partitions that the table has stay as they are and the others are added.
     """
     if dry_run:
         return
+    mode = "overwrite" if overwrite else "ignore"
+    if partition_by and not overwrite and path_exists(df.sparkSession, path):
+        stored = df.sparkSession.read.format(fmt).option("header", True).load(path)
+        stored = stored.select(*[F.col(c).cast("string") for c in partition_by]).distinct()
+        same = [df[c].cast("string").eqNullSafe(stored[c]) for c in partition_by]
+        df, mode = df.join(stored, same, "left_anti"), "append"
     if partition_by:
         # Files per partition follow the data: AQE splits a large partition value over several
         # tasks and joins small ones, so one huge year is not one task.
         df = df.hint("rebalance", *[F.col(c) for c in partition_by])
     if sort_by:
         df = df.sortWithinPartitions(*partition_by, *sort_by)
-    writer = df.write.format(fmt).mode("overwrite" if overwrite else "ignore")
+    writer = df.write.format(fmt).mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
     defaults = CSV_WRITE_OPTIONS if fmt == "csv" else {}

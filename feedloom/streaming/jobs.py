@@ -109,13 +109,14 @@ def stream_feedback(
     reactions: DataFrame,
     path: str,
     checkpoint: str,
-    event_time: str = "updated_at",
     event_id: str = "event_id",
-    delay: str = "1 day",
     trigger: dict = AVAILABLE_NOW,
 ) -> StreamingQuery:
-    """Running reaction counts and label per thread; an event delivered twice counts once."""
-    unique = reactions.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([event_id])
+    """Running reaction counts and label per thread; an event delivered twice counts once.
+
+    There is no watermark, so a late reaction counts too; the ids seen stay in the state store.
+    """
+    unique = reactions.dropDuplicates([event_id])
     return _start(feedback_labels(unique), _append_version(path), checkpoint, "update", trigger)
 
 
@@ -124,18 +125,15 @@ def stream_preference_counts(
     path: str,
     checkpoint: str,
     event_time: str = "recorded_at",
-    delay: str = "1 day",
     window: str = "1 day",
     trigger: dict = AVAILABLE_NOW,
 ) -> StreamingQuery:
     """Preference events per time window and label, each window updated as events arrive.
 
-    Events later than `delay` behind the newest are dropped by the watermark; the query's progress
-    reports how many (`numRowsDroppedByWatermark`).
+    Late events count in their own window; one row of state is kept per window and label.
     """
     counts = (
-        events.withWatermark(event_time, delay)
-        .groupBy(F.window(event_time, window), "preference")
+        events.groupBy(F.window(event_time, window), "preference")
         .agg(F.count("*").alias("n"))
         .select(
             F.concat_ws("|", F.col("window.start").cast("string"), "preference").alias("slot"),

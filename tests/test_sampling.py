@@ -94,10 +94,9 @@ def test_sample_exact_size(spark, n, k, seed):
     assert sorted(got) == sorted(i for _, i in want[:k])
 
 
-def test_random_id_batches(spark, monkeypatch):
+def test_random_id_batches(spark):
     df = spark.range(500).select(F.col("id").cast("string").alias("paper_id"))
     small = rows(random_id_batches(df, 3, 40, 9))
-    monkeypatch.setattr(sampling, "TOP_LIMIT", 10)
-    assert rows(random_id_batches(df, 3, 40, 9)) == small
+    assert rows(random_id_batches(df.union(df), 3, 40, 9)) == small
     per_batch = [{i for b, i in small if b == n} for n in range(3)]
     assert [len(s) for s in per_batch] == [40, 40, 40] and len(set.union(*per_batch)) > 80
