@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at once; batches from Spark are cut to this size.
@@ -23,9 +24,10 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def same_row(a: DataFrame, b: DataFrame):
-    """The join condition on (doc_id, uid) that also holds for null ids."""
-    return (a["uid"] == b["uid"]) & a["doc_id"].eqNullSafe(b["doc_id"])
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are gone, else they stay until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.blocks import RUNS, by_fingerprint, kinds, merged, repeated_blocks, runs, shards, spans, wanted
-from feedloom.llm.common import keyed, slices
+from feedloom.llm.common import keyed, release, slices
 from feedloom.llm.wordhash import Rolling, byte_values, mixed, word_borders
 
 WINDOW, ROUNDS, HIGH = 35, 6, 2
@@ -267,7 +267,9 @@ def _kept(batches):
 def repeated_words(rows: DataFrame) -> DataFrame:
     """(uid, spans) of keyed documents: stretches of words under a window that starts anywhere else too."""
     blocks = repeated_blocks(rows, _cut_batches)
+    release(rows.sparkSession)
     every = kinds(blocks)
+    release(rows.sparkSession)
     mixed_kinds = every.where("kinds > 1")
     lists = wanted(rows, mixed_kinds.where(F.col("windows") <= SHARD // 8)).mapInArrow(
         _listed, "anchor long, kind long, copies long, prints array<long>"

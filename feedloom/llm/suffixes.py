@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.blocks import RUNS, by_fingerprint, kinds, merged, repeated_blocks, runs, shards, spans, wanted
-from feedloom.llm.common import keyed, slices
+from feedloom.llm.common import keyed, release, slices
 from feedloom.llm.wordhash import Rolling, byte_values, mixed
 
 LENGTH, GRAM = 200, 32
@@ -325,7 +325,9 @@ def _kept(batches):
 def repeated_bytes(rows: DataFrame) -> DataFrame:
     """(uid, spans) of keyed documents: stretches of bytes under a window that starts anywhere else too."""
     blocks = repeated_blocks(rows, _cut_batches)
+    release(rows.sparkSession)
     every = kinds(blocks)
+    release(rows.sparkSession)
     mixed_kinds = every.where("kinds > 1")
     hot = (F.col("windows") + F.col("kinds") * LENGTH) > SHARD_BYTES // 4
     texts = wanted(rows, mixed_kinds.where(~hot)).mapInArrow(_texts, "anchor long, kind long, copies long, block binary")
