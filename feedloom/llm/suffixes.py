@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from feedloom.llm.blocks import RUNS, by_fingerprint, kinds, merged, repeated_blocks, runs, shards, spans, wanted
 from feedloom.llm.common import keyed, release, slices
 from feedloom.llm.wordhash import Rolling, byte_values, mixed
+from feedloom.session import materialise
 
 LENGTH, GRAM = 200, 32
 GRAMS = LENGTH - GRAM + 1
@@ -332,7 +333,10 @@ def repeated_bytes(rows: DataFrame) -> DataFrame:
     hot = (F.col("windows") + F.col("kinds") * LENGTH) > SHARD_BYTES // 4
     texts = wanted(rows, mixed_kinds.where(~hot)).mapInArrow(_texts, "anchor long, kind long, copies long, block binary")
     sharded = texts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(shards(_search, len, SHARD_BYTES), RUNS)
-    return spans(blocks, every, sharded.unionByName(by_fingerprint(rows, mixed_kinds.where(hot), _prints)), LENGTH)
+    found = materialise(sharded.unionByName(by_fingerprint(rows, mixed_kinds.where(hot), _prints)), "runs")
+    del texts, sharded
+    release(rows.sparkSession)  # the texts shuffled above, before the caller shuffles them again
+    return spans(blocks, every, found, LENGTH)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
