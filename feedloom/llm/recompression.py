@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from feedloom.llm.blocks import RUNS, by_fingerprint, kinds, merged, repeated_blocks, runs, shards, spans, wanted
 from feedloom.llm.common import keyed, release, slices
 from feedloom.llm.wordhash import Rolling, byte_values, mixed, word_borders
+from feedloom.session import materialise
 
 WINDOW, ROUNDS, HIGH = 35, 6, 2
 #: Words that one pass of the rounds takes; bytes whose words are hashed at once.
@@ -276,7 +277,10 @@ def repeated_words(rows: DataFrame) -> DataFrame:
     )
     sharded = lists.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(shards(_search, len, 2 * SHARD), RUNS)
     hot = by_fingerprint(rows, mixed_kinds.where(F.col("windows") > SHARD // 8), _prints)
-    return spans(blocks, every, sharded.unionByName(hot), WINDOW)
+    found = materialise(sharded.unionByName(hot), "runs")
+    del lists, sharded, hot
+    release(rows.sparkSession)  # the texts shuffled above, before the caller shuffles them again
+    return spans(blocks, every, found, WINDOW)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
