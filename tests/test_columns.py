@@ -51,9 +51,9 @@ def test_iso_year(spark):
 @pytest.mark.parametrize(
     "value, year",
     [
-        ("2301.00001", "2023"), ("0704.1234v3", "2007"), (" 2301.00001 ", "2023"), ("2301.123", None),
+        ("2302.11801", "2023"), ("0704.1234v3", "2007"), (" 2302.11801 ", "2023"), ("2301.123", None),
         ("hep-th/9101001", "1991"), ("HEP-TH/9001001", "2090"), ("math/0212345v2", "2002"),
-        ("cs.AI/0212345", None), ("2301.00001x", None), ("", None), (None, None),
+        ("cs.AI/0212345", None), ("2302.11801x", None), ("", None), (None, None),
     ],
 )
 def test_year_from_id(spark, value, year):
@@ -69,8 +69,8 @@ def test_year_from_path(spark):
 
 
 def test_extract_id(spark):
-    values = ["Discussion on arXiv:2310.12345", "No arXiv", "arXiv:1.2 arXiv:3.4", None]
-    assert each(spark, values, ids.extract_id) == ["2310.12345", None, "1.2", None]
+    values = ["Reading group: arXiv:2406.07731", "Rules of this forum", "arXiv:1.2 arXiv:3.4", None]
+    assert each(spark, values, ids.extract_id) == ["2406.07731", None, "1.2", None]
 
 
 def test_month_bucket_keeps_the_written_month(spark):

@@ -37,10 +37,10 @@ def meta(spark, items):
 
 
 def test_later_update_wins(spark, folder):
-    upsert_metadata(meta(spark, [("2301.00001", "2023-01-01", "2023-01-01", "old")]), folder)
-    upsert_metadata(meta(spark, [("2301.00001", "2023-01-01", "2023-01-05", "new")]), folder)
-    upsert_metadata(meta(spark, [("2301.00001", "2023-01-01", "2023-01-02", "late")]), folder)
-    assert rows(spark.read.parquet(folder), "paper_id", "comment") == [("2301.00001", "new")]
+    upsert_metadata(meta(spark, [("2302.11801", "2023-01-01", "2023-01-01", "old")]), folder)
+    upsert_metadata(meta(spark, [("2302.11801", "2023-01-01", "2023-01-05", "new")]), folder)
+    upsert_metadata(meta(spark, [("2302.11801", "2023-01-01", "2023-01-02", "late")]), folder)
+    assert rows(spark.read.parquet(folder), "paper_id", "comment") == [("2302.11801", "new")]
 
 
 def test_upsert_touches_only_its_years_and_is_repeatable(spark, folder):
@@ -110,8 +110,8 @@ def test_reports(spark):
 
 def test_preference_months(spark):
     items = [
-        ("paper-001", "like", "2024-01"), ("paper-002", "skip", "2024-01"), ("", "ignored", "2024-01"),
-        ("paper-001", "love", "2024-02"), (" paper-003 ", "star", "2024-02"),
+        ("memo-111", "like", "2024-01"), ("memo-112", "skip", "2024-01"), ("", "ignored", "2024-01"),
+        ("memo-111", "love", "2024-02"), (" memo-113 ", "star", "2024-02"),
     ]
     df = spark.createDataFrame(items, "paper_id string, preference string, month string")
     events = preference_events(df, "now")
