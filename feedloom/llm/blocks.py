@@ -39,9 +39,9 @@ def kinds(blocks: DataFrame) -> DataFrame:
     return materialise(each.join(shared, "anchor").select(F.monotonically_increasing_id().alias("kind"), "*"), "kinds")
 
 
-def wanted(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(uid, text, places): the documents that hold the place of a chosen kind."""
-    places = chosen.groupBy("uid").agg(F.collect_list(F.struct("kind", "start", "size", "copies", "anchor")).alias("places"))
+def wanted(rows: DataFrame, chosen: DataFrame, *more: str) -> DataFrame:
+    """(uid, text, places): the documents that hold the place of a chosen kind; `more` names further columns of a place."""
+    places = chosen.groupBy("uid").agg(F.collect_list(F.struct("kind", "start", "size", "copies", "anchor", *more)).alias("places"))
     once = rows.join(places, "uid").select("uid", "text", "places")
     return once
 
@@ -52,6 +52,11 @@ def by_fingerprint(rows: DataFrame, chosen: DataFrame, prints: Callable) -> Data
     `prints` maps Arrow batches of (uid, text, places) to (kind, at, f, g, copies).
     """
     each = wanted(rows, chosen).mapInArrow(prints, "kind long, at int, f long, g long, copies long").dropDuplicates(["kind", "at", "f", "g"])
+    return repeated_runs(each)
+
+
+def repeated_runs(each: DataFrame) -> DataFrame:
+    """(kind, from, to): runs of the windows (kind, at, f, g, copies) whose fingerprints f and g occur again."""
     often = each.groupBy("f", "g").agg(F.sum("copies").alias("n")).where("n > 1").select("f", "g")
     # Windows that follow one another form a run: their distance to their rank in the block is the same.
     rank = F.expr("at - row_number() OVER (PARTITION BY kind ORDER BY at)")

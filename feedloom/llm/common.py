@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.session import scratch_path
+
 #: Bytes of text that a task works on at once; batches from Spark are cut to this size.
 SLICE_BYTES = 1 << 20
 
@@ -30,6 +32,19 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """`df` written to the shared folder and read back, and the path, for tables that are let go of by `forget`."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a table of `stored` once what was made from it is stored itself and nothing reads it again."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the `text` column of each piece has about `limit` bytes, one row at least."""
     for batch in batches:

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.blocks import RUNS, by_fingerprint, kinds, merged, repeated_blocks, runs, shards, spans, wanted
-from feedloom.llm.common import keyed, release, slices
+from feedloom.llm.blocks import RUNS, kinds, merged, repeated_blocks, repeated_runs, runs, shards, spans, wanted
+from feedloom.llm.common import forget, keyed, release, slices, stored
 from feedloom.llm.wordhash import Rolling, byte_values, mixed, word_borders
 from feedloom.session import materialise
 
@@ -187,48 +187,27 @@ def _cut_batches(batches):
 
 
 _ROLLING = Rolling(0xE7037ED1A0B428DB), Rolling(0x8EBC6AF09C88C6E3)
+PRINTS = "anchor long, kind long, copies long, f array<long>, g array<long>"
 
 
-def _window_prints(batches):
-    """(place, both fingerprints of its windows) of each place of (uid, text, places)."""
+def _prints(batches):
+    """(anchor, kind, copies, f, g), a row per block with the fingerprints of its windows; g only for hot anchors."""
     for batch in slices(batches):
-        for text, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        kind, start, size, copies, anchor, hot = (c.to_numpy(zero_copy_only=False) for c in batch.column(2).flatten().flatten())
+        count = batch.column(2).value_lengths().to_numpy()
+        end, found = np.cumsum(count), ([np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)])
+        for text, a, b in zip(batch.column(1).to_pylist(), end - count, end):
             raw = text.encode("utf-8", "surrogatepass")
-            prefixes = [r.prefix(hashes(raw, k)) for k, r in enumerate(_ROLLING)]
-            for p in places:
-                start = np.arange(p["start"], p["start"] + p["size"])
-                yield p, [r.stretch(c, start, start + WINDOW).view(np.int64) for r, c in zip(_ROLLING, prefixes)]
-
-
-def _portions(items, most=1 << 16):
-    """Lists of items with about `most` windows."""
-    held, size = [], 0
-    for item in items:
-        held.append(item)
-        size += len(item[1][0]) + 1
-        if size > most:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-def _prints(batches):
-    """(kind, at, f, g, copies), a row per window."""
-    for held in _portions(_window_prints(batches)):
-        sizes = [len(f) for _, (f, _) in held]
-        own = [np.repeat([p[name] for p, _ in held], sizes).astype(np.int64) for name in ("kind", "copies")]
-        at = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
-        both = [np.concatenate([x[k] for _, x in held]) for k in (0, 1)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (own[0], at, *both, own[1])], names=["kind", "at", "f", "g", "copies"])
-
-
-def _listed(batches):
-    """(anchor, kind, copies, prints), a row per block with the first fingerprint of each of its windows."""
-    for held in _portions(_window_prints(batches)):
-        own = [pa.array([p[name] for p, _ in held], pa.int64()) for name in ("anchor", "kind", "copies")]
-        lists = pa.array([f for _, (f, _) in held], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([*own, lists], names=["anchor", "kind", "copies", "prints"])
+            for k, chosen in enumerate((np.ones(b - a, bool), hot[a:b].astype(bool))):
+                if chosen.any():
+                    rolling, n = _ROLLING[k], size[a:b][chosen].astype(np.int64)
+                    at = np.arange(n.sum()) + np.repeat(start[a:b][chosen] - np.cumsum(n) + n, n)
+                    found[k].append(rolling.stretch(rolling.prefix(hashes(raw, k)), at, at + WINDOW))
+        lists = [
+            pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.concatenate(f).view(np.int64)))
+            for n, f in zip((size, size * hot), found)
+        ]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, (anchor, kind, copies)), *lists], names=["anchor", "kind", "copies", "f", "g"])
 
 
 def _search(held: list[tuple]) -> pa.RecordBatch:
@@ -271,15 +250,19 @@ def repeated_words(rows: DataFrame) -> DataFrame:
     release(rows.sparkSession)
     every = kinds(blocks)
     release(rows.sparkSession)
-    mixed_kinds = every.where("kinds > 1")
-    lists = wanted(rows, mixed_kinds.where(F.col("windows") <= SHARD // 8)).mapInArrow(
-        _listed, "anchor long, kind long, copies long, prints array<long>"
-    )
-    sharded = lists.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(shards(_search, len, 2 * SHARD), RUNS)
-    hot = by_fingerprint(rows, mixed_kinds.where(F.col("windows") > SHARD // 8), _prints)
-    found = materialise(sharded.unionByName(hot), "runs")
-    del lists, sharded, hot
+    hot = (F.col("windows") > SHARD // 8).alias("hot")
+    mixed_kinds = every.where("kinds > 1 AND size > 0").select("*", hot)
+    prints, path = stored(wanted(rows, mixed_kinds, "hot").mapInArrow(_prints, PRINTS), "prints")
     release(rows.sparkSession)  # the texts shuffled above, before the caller shuffles them again
+    lists = prints.where("size(g) = 0").select("anchor", "kind", "copies", "f")
+    sharded = lists.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(shards(_search, len, 2 * SHARD), RUNS)
+    # A row repeated whole has its blocks in several rows of `prints`.
+    single = prints.where("size(g) > 0").dropDuplicates(["kind"]).select("kind", "copies", F.posexplode(F.arrays_zip("f", "g")).alias("at", "p"))
+    counted = repeated_runs(single.select("kind", "at", "p.f", "p.g", "copies"))
+    found = materialise(sharded.unionByName(counted), "runs")
+    del prints, lists, sharded, single, counted
+    forget(rows.sparkSession, path)
+    release(rows.sparkSession)
     return spans(blocks, every, found, WINDOW)
 
 
