@@ -18,17 +18,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.llm.common import forget, stored
 from feedloom.session import materialise
 
 BLOCK = "uid long, start int, size int, anchor long, content long"
 KEY = ["anchor", "content", "size"]
 
 
-def repeated_blocks(rows: DataFrame, cut: Callable) -> DataFrame:
-    """Blocks (BLOCK) whose anchor occurs more than once, from keyed documents; `cut` maps Arrow batches of (uid, text)."""
+def repeated_blocks(rows: DataFrame, cut: Callable, store: bool = False) -> DataFrame:
+    """Blocks (BLOCK) whose anchor occurs more than once, from keyed documents; `cut` maps Arrow batches of (uid, text).
+
+    `store` writes all blocks and reads them twice, instead of cutting the texts once to count anchors and once to join.
+    """
+    spark = rows.sparkSession
     found = rows.select("uid", "text").mapInArrow(cut, BLOCK)
+    found, path = stored(found, "all-blocks") if store else (found, None)
     often = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    return materialise(found.join(often, "anchor").select("uid", "start", "size", "anchor", "content"), "blocks")
+    out = materialise(found.join(often, "anchor").select("uid", "start", "size", "anchor", "content"), "blocks")
+    if store:
+        forget(spark, path)
+    return out
 
 
 def kinds(blocks: DataFrame) -> DataFrame:

@@ -246,7 +246,7 @@ def _kept(batches):
 
 def repeated_words(rows: DataFrame) -> DataFrame:
     """(uid, spans) of keyed documents: stretches of words under a window that starts anywhere else too."""
-    blocks = repeated_blocks(rows, _cut_batches)
+    blocks = repeated_blocks(rows, _cut_batches, store=True)
     release(rows.sparkSession)
     every = kinds(blocks)
     release(rows.sparkSession)
