@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.llm import bpe, toxicity
+from feedloom.llm.common import small_batches
 from feedloom.llm.decontamination import contaminated
 from feedloom.llm.secrets import redact
 from feedloom.llm.simhash import near_groups
@@ -23,6 +24,7 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents whose toxicity score is below one half; the model learns from labelled rows that reached this stage."""
+    small_batches(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
     scored = toxicity.score(docs, model, "_toxicity")
     return scored.where("_toxicity < 0.5").drop("_toxicity")
@@ -33,6 +35,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -
 
     Documents with null ids have no place in a group: they stay if none of their group has an id.
     """
+    small_batches(spark)
     kept = near_groups(docs).where("doc_id = component_id OR component_id IS NULL").select("doc_id").distinct()
     one = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
     return one.where("doc_id IS NULL").unionByName(one.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
@@ -40,6 +43,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    small_batches(spark)
     found = contaminated(docs, spark.read.parquet(f"{folder}/benchmark.parquet")).select("doc_id").distinct()
     found = materialise(found, "contaminated")
     return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
@@ -52,6 +56,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Token count and digests of the encoded and decoded text of each document."""
+    small_batches(spark)
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

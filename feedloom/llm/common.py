@@ -13,6 +13,8 @@ from feedloom.session import scratch_path
 
 #: Bytes of text that a task works on at once; batches from Spark are cut to this size.
 SLICE_BYTES = 1 << 20
+#: Rows that Spark hands to Python at once; its own 10,000 whole texts take memory on both sides of each task.
+BATCH_ROWS = 2000
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -32,6 +34,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands at most BATCH_ROWS rows to Python at once; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """`df` written to the shared folder and read back, and the path, for tables that are let go of by `forget`."""
     path = scratch_path(df.sparkSession, name)
