@@ -1,23 +1,27 @@
 """Corpus preparation in five stages: toxicity, near-duplicates, benchmark passages, secrets, encoding.
 
 Each stage takes (spark, docs, folder of the tables) and returns a DataFrame; all but the last return the columns of
-documents. A document without text is kept until near-dedup, where documents without words are one group.
+documents. A document without text is kept until near-dedup, where documents without words are one group. A stage decides
+about rows: an id that several rows share, or a null one, says nothing about the others, and only rows repeated with id and
+text share a decision.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedloom.llm import bpe, toxicity
-from feedloom.llm.common import small_batches
+from feedloom.llm.common import small_batches, with_row_key
 from feedloom.llm.decontamination import contaminated
 from feedloom.llm.secrets import redact
-from feedloom.llm.simhash import near_groups
+from feedloom.llm.simhash import one_of_near
 from feedloom.session import materialise
 
 MARK = "[SECRET]"
+#: Column of the stages for what tells rows apart.
+KEY = "_row_key"
 #: The stages score, hash and sign; SQL cannot express them, so tests compare each with a plain version.
 ORACLE_SQL = None
 
@@ -31,22 +35,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group; one row of those repeated under that id.
+    """The row with the smallest id of each near-duplicate group; of those repeated with id and text, the first by the others.
 
-    Documents with null ids have no place in a group: they stay if none of their group has an id.
+    Rows of one id are in one group only if their texts are near. Rows with null ids have no place in a group: they stay,
+    repeats included, unless a row with an id has their fingerprint.
     """
     small_batches(spark)
-    kept = near_groups(docs).where("doc_id = component_id OR component_id IS NULL").select("doc_id").distinct()
-    one = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return one.where("doc_id IS NULL").unionByName(one.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    rows = with_row_key(docs, KEY)
+    kept = materialise(one_of_near(rows, KEY), "kept")
+    order = Window.partitionBy(KEY).orderBy(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], "text")
+    one = rows.join(kept, KEY, "left_semi").withColumn("_nth", F.row_number().over(order))
+    return one.where("doc_id IS NULL OR _nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Rows without a passage of the benchmark."""
     small_batches(spark)
-    found = contaminated(docs, spark.read.parquet(f"{folder}/benchmark.parquet")).select("doc_id").distinct()
-    found = materialise(found, "contaminated")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    rows = with_row_key(docs, KEY)
+    keys = rows.select(F.col(KEY).alias("doc_id"), "text")
+    found = contaminated(keys, spark.read.parquet(f"{folder}/benchmark.parquet"), "string")
+    found = materialise(found.select(F.col("doc_id").alias(KEY)).distinct(), "contaminated")
+    return rows.join(found, KEY, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

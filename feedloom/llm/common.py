@@ -28,6 +28,16 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+def with_row_key(docs: DataFrame, into: str) -> DataFrame:
+    """`docs` with the string column `into`, equal in rows of equal ids and texts only; a null text counts as an empty one.
+
+    Unlike an id it is never null, so decisions about single rows can be joined back on it.
+    """
+    doc = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null"))
+    text = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    return docs.withColumn(into, F.concat_ws(":", doc, text))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of frames that are gone, else they stay until the driver collects its garbage."""
     gc.collect()

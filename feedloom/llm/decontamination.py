@@ -32,6 +32,7 @@ WORDS, SIMILAR, AROUND = 13, 0.8, 40
 BITMAP_BITS = 1 << 23
 _TABLE = bytes(b if b >= 128 or chr(b).isalnum() else 0x20 for b in range(256))
 _BASE = 0x9E3779B97F4A7C15
+_ARROW = {"long": pa.int64(), "string": pa.string()}
 
 
 def text_words(text: str) -> bytes:
@@ -114,8 +115,8 @@ def bitmap(known: DataFrame) -> np.ndarray:
     return out
 
 
-def regions(docs: DataFrame, marks: np.ndarray) -> DataFrame:
-    """(doc_id, start, words, hits): stretches of each text around its seeds that the bitmap holds."""
+def regions(docs: DataFrame, marks: np.ndarray, kind: str = "long") -> DataFrame:
+    """(doc_id, start, words, hits): stretches of each text around its seeds that the bitmap holds; `kind` is the id's type."""
     shared = docs.sparkSession.sparkContext.broadcast(marks.tobytes())  # BITMAP_BITS / 8 bytes
 
     def run(batches):
@@ -141,11 +142,11 @@ def regions(docs: DataFrame, marks: np.ndarray) -> DataFrame:
                 hits = [{"at": int(a - start), "seed": int(s)} for a, s in zip(at[group], value[group].view(np.int64))]
                 out.append((batch.column(0)[int(n)].as_py(), int(start - first[n]), hashes[start:end].view(np.int64), hits))
             columns = list(zip(*out)) or [[]] * 4
-            kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.struct([("at", pa.int32()), ("seed", pa.int64())]))]
+            kinds = [_ARROW[kind], pa.int32(), pa.list_(pa.int64()), pa.list_(pa.struct([("at", pa.int32()), ("seed", pa.int64())]))]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["doc_id", "start", "words", "hits"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, start int, words array<long>, hits array<struct<at:int, seed:long>>")
+    rows = docs.select(F.col("doc_id").cast(kind), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, start int, words array<long>, hits array<struct<at:int, seed:long>>")
 
 
 def overlap(ours: np.ndarray, theirs: np.ndarray, shift: int) -> tuple[int, int, int] | None:
@@ -174,11 +175,14 @@ def overlap(ours: np.ndarray, theirs: np.ndarray, shift: int) -> tuple[int, int,
     return best
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, first_word, n_words, similarity): the longest overlap of each document and item that overlap."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, kind: str = "long") -> DataFrame:
+    """(doc_id, item_id, first_word, n_words, similarity): the longest overlap of each document and item that overlap.
+
+    `kind`, long or string, is the type of doc_id.
+    """
     items = materialise(item_words(benchmark), "items")
     known = materialise(item_seeds(items.select("item", "words")), "seeds")
-    found = materialise(regions(docs, bitmap(known)).select(F.monotonically_increasing_id().alias("region"), "*"), "regions")
+    found = materialise(regions(docs, bitmap(known), kind).select(F.monotonically_increasing_id().alias("region"), "*"), "regions")
     hits = found.select("region", F.explode("hits").alias("h")).select("region", F.col("h.at").alias("place"), "h.seed")
     pairs = hits.join(known, "seed").select("region", "item", (F.col("place") - F.col("at")).alias("shift")).distinct()
     facing = pairs.join(found.select("region", "doc_id", "start", "words"), "region").join(
@@ -194,11 +198,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 if best:
                     out.append((row[0], row[1], row[2] + best[0], best[1], best[2] / best[1]))
             columns = list(zip(*out)) or [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
+            kinds = [_ARROW[kind], pa.int64(), pa.int32(), pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "first_word", "n_words", "similarity"])
 
     checked = facing.select("doc_id", "item_id", "start", "shift", "words", "theirs").mapInArrow(
-        run, "doc_id long, item_id long, first_word int, n_words int, similarity double"
+        run, f"doc_id {kind}, item_id long, first_word int, n_words int, similarity double"
     )
     best = F.max(F.struct("n_words", "similarity", (-F.col("first_word")).alias("before"))).alias("b")
     return checked.groupBy("doc_id", "item_id").agg(best).select(

@@ -46,16 +46,18 @@ def fingerprint(text: str) -> int:
     return int.from_bytes(np.packbits(2 * ones > count).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint as a signed long) for every row."""
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, fingerprint as a signed long) for every row, and after them the columns `more`, which are strings."""
 
     def run(batches):
         for batch in slices(batches):
             found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            columns = [batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", *more])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    rows = docs.select(F.col("doc_id").cast("long"), text, *more)
+    return rows.mapInArrow(run, ", ".join(["doc_id long, fp long", *[f"`{c}` string" for c in more]]))
 
 
 def _signed(value: int) -> int:
@@ -129,3 +131,20 @@ def near_groups(docs: DataFrame) -> DataFrame:
     joined = first.join(components(named.select("a", "b")), F.col("first") == F.col("node"), "left")
     groups = joined.select("fp", F.coalesce("component", "first").alias("component_id"))
     return prints.join(groups, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def one_of_near(docs: DataFrame, key: str) -> DataFrame:
+    """(key): the key of one row of each near-duplicate group, the smallest by (doc_id, key), where rows have a string `key`.
+
+    Groups are made of fingerprints, so rows of one id with texts that are not near are in groups of their own. Rows with
+    null ids do not link: they keep their keys unless a row with an id has their fingerprint.
+    """
+    prints = materialise(fingerprints(docs, key), "fingerprints")
+    named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", key))
+    first = materialise(prints.groupBy("fp").agg(F.min(named).alias("first")), "first")
+    links = near_links(first.where("first IS NOT NULL").select("fp"))
+    groups = components(links.select(F.col("fa").alias("a"), F.col("fb").alias("b")))
+    joined = first.where("first IS NOT NULL").join(groups, F.col("fp") == F.col("node"), "left")
+    least = joined.groupBy(F.coalesce("component", "fp").alias("group")).agg(F.min("first").alias("first"))
+    alone = prints.where("doc_id IS NULL").select("fp", key).distinct().join(first.where("first IS NULL"), "fp", "left_semi")
+    return least.select(F.col("first")[key].alias(key)).unionByName(alone.select(key))

@@ -29,3 +29,27 @@ def test_stages(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert {r.doc_id for r in out.collect()} == kept.keys()
+
+
+def test_rows_are_decided_one_by_one(spark, folder):
+    draw = random.Random(12)
+    word = lambda: "".join(draw.choice("abcdefghilmnorstu") for _ in range(draw.randrange(3, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passage, near = text(40), text(60)
+    leaked = text(20) + " " + passage
+    docs = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    row = lambda i, t, s="s": (i, t, "en", s, 1)
+    clean = [row(None, text(50)), row(None, text(50)), row(3, text(50)), row(4, None), row(None, None)]
+    dropped = [row(None, leaked), row(3, leaked), row(5, leaked)]
+    got = corpus_pipeline.drop_contaminated(spark, spark.createDataFrame(clean + dropped, docs), folder)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(clean, key=str)
+
+    a, b, c, d = (text(50) for _ in range(4))
+    kept = [row(2, near), row(7, a), row(7, b), row(9, c), row(None, d), row(None, d), row(None, text(50))]
+    dropped = [row(7, near.upper()), row(9, near.upper()), row(7, a, "t"), row(9, c), row(8, b), row(None, near)]
+    stage = corpus_pipeline.keep_one_of_near_copies
+    for rows in (kept + dropped, dropped + kept):
+        got = stage(spark, spark.createDataFrame(rows, docs).repartition(3), folder)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(kept, key=str)
+    assert stage(spark, spark.createDataFrame([], docs), folder).count() == 0
