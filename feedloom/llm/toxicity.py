@@ -1,13 +1,16 @@
-"""Toxicity (5): classification by compressed length under two zstandard dictionaries.
+"""Toxicity (5): classification by compressed length under zstandard dictionaries.
 
 A window is one lower-cased word, written several times so that block overhead weighs the same for every window. It is
-compressed under a dictionary of ordinary text and one of toxic text; the difference of the two lengths, taken per word
-length, is the window's cell. Thresholds are calibrated on labelled rows that the dictionaries were not made from: a cell
-counts as toxic if almost only toxic documents show it. A document's score is the share of toxic documents among those
-with as many toxic windows.
-
-Fitting reads at most SAMPLE labelled rows per label and fold, in the order of a hash, with texts up to SAMPLE_CHARS
-characters; scoring reads every whole text. Without labelled rows of both kinds every score is the share of label 1, or 0.
+compressed under a dictionary of ordinary text and under those of toxic text, which together hold all telling words: the
+words with the highest log-odds are in the first, and a dictionary ends where the log-odds have fallen by BAND or its bytes
+are full. A window has a cell for each toxic dictionary: the dictionary, the word's length, the bytes saved. Thresholds are
+calibrated on labelled texts that the dictionaries were not made from: a cell that saves bytes counts as toxic if almost only
+toxic texts show it. Scoring asks only dictionaries that have toxic cells of the word's length. A document's score is the
+share of toxic texts among those of about its length with as many toxic windows; where few are known, that share among texts
+of any length counts as well.
+
+Fitting reads at most SAMPLE labelled rows per label and fold, in the order of a hash, whole and each distinct text once;
+scoring reads every whole text. Without labelled rows of both kinds every score is the share of label 1, or 0.
 Null and empty texts have no windows. Several labels of one document count as toxic if any does. A null doc_id is scored
 and never held out. Repeated rows keep their rows.
 """
@@ -27,14 +30,20 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from feedloom.llm.common import slices
 from feedloom.session import materialise
 
-#: Labelled rows per label and fold that a model is fitted on at most, and the longest text among them.
-SAMPLE, SAMPLE_CHARS = 4000, 20_000
-#: Bytes of the dictionaries; documents a word must occur in; how much likelier it must be in toxic text.
+#: Labelled rows per label and fold that a model is fitted on at most.
+SAMPLE = 4000
+#: Bytes of the dictionaries (of the first toxic one: each is twice as large as the one before, up to ORDINARY_BYTES);
+#: documents a word must occur in; how much likelier it must be in toxic text.
 ORDINARY_BYTES, TOXIC_BYTES, ORDINARY_DOCS, TOXIC_DOCS, LIKELIER = 100_000, 3_000, 2, 3, 4.0
+#: How far log-odds fall within one toxic dictionary.
+BAND = 2.0
 #: A toxic cell: seen in so many toxic documents at least, and in so few ordinary ones for each of these at most.
 CELL_DOCS, CELL_ORDINARY = 2, 0.05
-#: Copies of a word in its window; longest word length told apart; most windows told apart; windows a task remembers.
+#: Copies of a word in its window; longest word length told apart; toxic windows told apart one by one, and by doublings
+#: from there on; windows a task remembers.
 ECHO, LENGTHS, COUNTS, TABLE = 4, 12, 3, 200_000
+#: Windows of the shortest length class, each further class doubling them; as how many texts the share of any length counts.
+SHORT, PRIOR = 1024, 4
 FOLDS = 5
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -45,37 +54,50 @@ def windows(text: str | None) -> list[bytes]:
 
 @dataclass
 class Model:
-    """What scoring needs: dictionary contents, toxic cells, score by number of toxic windows."""
+    """What scoring needs: dictionary contents, toxic cells, score by toxic windows, also for each length class known."""
 
     ordinary: bytes
-    toxic: bytes
+    toxic: tuple[bytes, ...]
     cells: frozenset = frozenset()
     scores: tuple[float, ...] = (0.0,)
+    by_length: dict = field(default_factory=dict)
     _table: dict = field(default_factory=dict)
     _tools: tuple = ()
+    _asked: dict = field(default_factory=dict)
 
     def __getstate__(self):
-        return {"ordinary": self.ordinary, "toxic": self.toxic, "cells": self.cells, "scores": self.scores, "_table": {}, "_tools": ()}
-
-    def cell(self, word: bytes) -> tuple[int, int]:
-        """(length class, bytes saved by the toxic dictionary)."""
+        return self.__dict__ | {"_table": {}, "_tools": (), "_asked": {}}
+
+    def cells_of(self, word: bytes, asked=None) -> list[tuple[int, int, int]]:
+        """(toxic dictionary, length class, bytes it saves), for the dictionaries asked or all."""
+        if not self._tools:
+            self._tools = tuple(map(_compressor, (self.ordinary, *self.toxic)))
+        echo = (b" " + word) * ECHO + b" "
+        length, plain = min(len(word), LENGTHS), len(self._tools[0].compress(echo))
+        asked = range(len(self.toxic)) if asked is None else asked
+        return [(k, length, plain - len(self._tools[k + 1].compress(echo))) for k in asked]
+
+    def is_toxic(self, word: bytes) -> bool:
         found = self._table.get(word)
         if found is None:
-            if not self._tools:
-                self._tools = (_compressor(self.ordinary), _compressor(self.toxic))
+            if not self._asked:
+                self._asked = {n: sorted({k for k, m, _ in self.cells if m == n}) for n in range(LENGTHS + 1)}
             if len(self._table) >= TABLE:
                 self._table.clear()
-            echo = (b" " + word) * ECHO + b" "
-            plain, toxic = (len(tool.compress(echo)) for tool in self._tools)
-            found = self._table[word] = (min(len(word), LENGTHS), plain - toxic)
+            asked = self._asked[min(len(word), LENGTHS)]
+            found = self._table[word] = bool(asked) and not self.cells.isdisjoint(self.cells_of(word, asked))
         return found
 
-    def toxic_windows(self, text: str | None) -> int:
-        cells, cell = self.cells, self.cell
-        return sum(cell(w) in cells for w in windows(text)) if cells else 0
+    def standing(self, text: str | None) -> tuple[int, int]:
+        """(length class of the text, level of its number of toxic windows)."""
+        words = windows(text)
+        n = sum(map(self.is_toxic, words)) if self.cells else 0
+        return (len(words) // SHORT).bit_length(), n if n < COUNTS else COUNTS - 1 + (n // COUNTS).bit_length()
 
     def score(self, text: str | None) -> float:
-        return self.scores[min(self.toxic_windows(text), len(self.scores) - 1)]
+        length, level = self.standing(text)
+        scores = self.by_length.get(length, self.scores)
+        return scores[min(level, len(scores) - 1)]
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -93,7 +115,7 @@ def fold_of(doc_id: Column) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic, fits) of the sample a model is fitted on."""
+    """(text, toxic, fits) of the sample a model is fitted on, each distinct text of a label once."""
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .where("doc_id IS NOT NULL AND toxic IS NOT NULL")
@@ -110,9 +132,10 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sample = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return (
-        text.where(F.length("text").between(1, SAMPLE_CHARS))
+        text.where(F.length("text") > 0)
         .join(F.broadcast(sample), "doc_id")  # at most 4 x SAMPLE ids
-        .select("text", "toxic", "fits")
+        .groupBy("text", "toxic")
+        .agg(F.max("fits").alias("fits"))
     )
 
 
@@ -120,7 +143,7 @@ def _shown(rows: DataFrame, units, kind: str) -> DataFrame:
     """(toxic, unit, docs): in how many texts of each label each distinct unit occurs."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             counts = Counter()
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 counts.update((toxic, unit) for unit in set(units(text)))
@@ -136,16 +159,46 @@ def _shown(rows: DataFrame, units, kind: str) -> DataFrame:
     )
 
 
-def _content(words: DataFrame, order: str, limit: int) -> bytes:
-    """The first words in the given order up to `limit` bytes, the first at the end, where a match costs least."""
-    rows = words.orderBy(F.desc(order), "unit").limit(limit // 2).select("unit").collect()
+def _content(words: list[str]) -> bytes:
+    """A dictionary of the words, the first at the end, where a match costs least."""
+    return b" " + b"  ".join(w.encode() for w in reversed(words)) + b" " * 8
+
+
+def _ordinary(words: DataFrame) -> bytes:
+    """The words that most texts show, up to ORDINARY_BYTES."""
     kept, size = [], 0
-    for row in rows:
+    for row in words.orderBy(F.desc("plain"), "unit").limit(ORDINARY_BYTES // 2).select("unit").collect():
         size += len(row.unit.encode()) + 2
-        if size > limit:
+        if size > ORDINARY_BYTES:
             break
-        kept.append(row.unit.encode())
-    return b" " + b"  ".join(reversed(kept)) + b" " * 8
+        kept.append(row.unit)
+    return _content(kept)
+
+
+def _toxic(words: DataFrame, plain: int, bad: int) -> tuple[bytes, ...]:
+    """Dictionaries of all the words; at most the vocabulary of the sample's toxic texts reaches the driver."""
+    odds = lambda n, of: F.log((F.col(n) + 0.5) / (F.lit(of) - F.col(n) + 0.5))
+    rows = words.select("unit", (odds("bad", bad) - odds("plain", plain)).alias("odds")).orderBy(F.desc("odds"), "unit").collect()
+    parts, size, limit, top = [[]], 0, TOXIC_BYTES, rows[0].odds if rows else 0.0
+    for row in rows:
+        more = len(row.unit.encode()) + 2
+        full = parts[-1] and size + more > limit
+        if full or row.odds < top - BAND:
+            parts.append([])
+            size, limit, top = 0, min(2 * limit, ORDINARY_BYTES) if full else limit, row.odds
+        parts[-1].append(row.unit)
+        size += more
+    return tuple(map(_content, parts))
+
+
+def _shares(seen: dict[int, tuple[int, int]], prior, weight: float) -> tuple[float, ...]:
+    """Share of toxic texts by level, never falling, of level -> (toxic, ordinary) texts; `prior` of a level has `weight`."""
+    out, least = [], 0.0
+    for n in range(max(COUNTS, *seen, 0) + 1):
+        bad, plain = seen.get(n, (0, 0))
+        least = max(least, (bad + weight * prior(n)) / (bad + plain + weight))
+        out.append(least)
+    return tuple(out)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -156,25 +209,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     total = sum(sizes.values())
     share = sum(v for (_, toxic), v in sizes.items() if toxic) / total if total else 0.0
     if not plain or not bad:
-        return Model(b" " * 8, b" " * 8, scores=(share,))
+        return Model(_content([]), (_content([]),), scores=(share,))
     words = materialise(_shown(sample.where("fits"), lambda t: [w.decode() for w in windows(t)], "string"), "words")
     telling = words.where(F.col("bad") >= TOXIC_DOCS).where((F.col("bad") / bad) >= LIKELIER * (F.col("plain") + 0.5) / plain)
-    model = Model(
-        _content(words.where(F.col("plain") >= ORDINARY_DOCS), "plain", ORDINARY_BYTES), _content(telling, "bad", TOXIC_BYTES)
-    )
+    model = Model(_ordinary(words.where(F.col("plain") >= ORDINARY_DOCS)), _toxic(telling, plain, bad))
     rest = sample.where("NOT fits")
-    cells = _shown(rest, lambda t: ["%d:%d" % model.cell(w) for w in windows(t)], "string").where(F.col("bad") >= CELL_DOCS)
-    toxic_cells = cells.where(F.col("plain") <= CELL_ORDINARY * F.col("bad")).select("unit").collect()  # at most LENGTHS x 100
+    shown = lambda t: {"%d:%d:%d" % c for w in set(windows(t)) for c in model.cells_of(w) if c[2] > 0}
+    cells = _shown(rest, shown, "string").where(F.col("bad") >= CELL_DOCS)
+    toxic_cells = cells.where(F.col("plain") <= CELL_ORDINARY * F.col("bad")).select("unit").collect()  # at most LENGTHS x 100 a dictionary
     model.cells = frozenset(tuple(map(int, r.unit.split(":"))) for r in toxic_cells)
-    by = {(int(r.unit)): r for r in _shown(rest, lambda t: [str(min(model.toxic_windows(t), COUNTS))], "string").collect()}
-    scores, least = [], 0.0
-    for n in range(COUNTS + 1):
-        seen = by.get(n)
-        bad, plain = (seen.bad, seen.plain) if seen else (0, 0)
-        prior = share if n == 0 else 0.5
-        least = max(least, (bad + prior) / (bad + plain + 1))
-        scores.append(least)
-    model.scores = tuple(scores)
+    seen, every = {}, {}
+    for r in _shown(rest, lambda t: ["%d:%d" % model.standing(t)], "string").collect():  # a few levels of each length class
+        length, level = map(int, r.unit.split(":"))
+        seen.setdefault(length, {})[level] = (r.bad, r.plain)
+        bad, plain = every.get(level, (0, 0))
+        every[level] = (bad + r.bad, plain + r.plain)
+    model.scores = _shares(every, lambda n: 0.5 if n else share, 1)
+    any_length = lambda n: model.scores[min(n, len(model.scores) - 1)]
+    model.by_length = {length: _shares(levels, any_length, PRIOR) for length, levels in seen.items()}
     return model
 
 

@@ -167,3 +167,33 @@ def test_toxicity(spark):
     none = toxicity.fit(docs, known.limit(0))
     assert {r.toxicity for r in toxicity.score(docs, none).collect()} == {0.0}
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_toxicity_keeps_every_telling_word(spark):
+    draw = random.Random(8)
+    made = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2 * n))
+    common, insults = [made(3) for _ in range(60)], [made(4) for _ in range(8)]
+    rare, lone = [made(4) for _ in range(400)], " ".join(made(5) for _ in range(600))
+    text = lambda: " ".join(draw.choice(common) if draw.random() < 0.7 else made(4) for _ in range(12))
+    rows = [(i, text(), 0) for i in range(3000)]
+    rows += [(i, f"{text()} {draw.choice(insults)} {text()}", 1) for i in range(3000, 3600)]
+    rows += [(i, lone, 1) for i in range(4000, 4400)]
+    rows += [(i, f"{text()} {rare[i % 400]} {text()}", 1) for i in range(5000, 9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    for few in (docs.where("doc_id < 5000"), docs.where("doc_id < 3000 OR doc_id >= 5000")):
+        got = toxicity.score(few, toxicity.fit(few.drop("toxic"), few.select("doc_id", "toxic")))
+        held = got.where((toxicity.fold_of(toxicity.F.col("doc_id")) == 0) & (toxicity.F.col("text") != lone)).collect()
+        for toxic in (0, 1):
+            right = [(r.toxicity >= 0.5) == toxic for r in held if r.toxic == toxic]
+            assert len(right) > 90 and sum(right) / len(right) > 0.95
+
+
+def test_toxicity_sample_has_long_texts_and_each_text_once(spark):
+    long = "plain words " * 5000
+    texts = [long, "a b", "a b", "a b", "c"] * 8
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = spark.createDataFrame([(i, 0) for i in range(40)], "doc_id long, toxic int")
+    assert sorted(r.text for r in toxicity.labelled(docs, known).collect()) == ["a b", "c", long]
+    model = toxicity.Model(b" ", (b" ",), scores=(0.1, 0.9), by_length={4: (0.1, 0.2)})
+    model.cells = frozenset(model.cells_of(b"words"))
+    assert model.score("words") == 0.9 and model.score(long) == 0.2
