@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from feedloom.llm import bpe, suffixes, toxicity
+from feedloom.llm.alignment import aligned
 from feedloom.llm.decontamination import contaminated
+from feedloom.llm.lexical import ranked
 from feedloom.llm.licenses import license_finds
+from feedloom.llm.packing import packed
 from feedloom.llm.projections import near_vectors
 from feedloom.llm.recompression import without_repeats
 from feedloom.llm.secrets import scan_secrets
@@ -138,6 +141,59 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM docs LEFT JOIN per USING (doc_id)"""
 
 
+@query
+def op11_ranked_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op12_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of every document in sequences of 2048 tokens."""
+    pieces = packed(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
+
+
+@query
+def op13_cross_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links of every document's tokens in two vocabularies, and how common the links are."""
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+    def digest(groups):
+        return F.when(groups == "", "").otherwise(F.sha2(groups, 256))
+
+    return aligned(table(spark, folder, "documents"), a, b, digest)[0].withColumnRenamed("groups", "groups_sha256")
+
+
+SEARCH_SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents WHERE text IS NOT NULL),
+docs AS (SELECT r, doc_id, len(terms)::BIGINT AS n FROM words WHERE len(terms) > 0),
+totals AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM docs),
+asked AS (
+  SELECT item_id, term, count(*)::BIGINT AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark WHERE text IS NOT NULL)
+  GROUP BY item_id, term),
+counted AS (
+  SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(terms) AS term FROM words)
+  WHERE term IN (SELECT term FROM asked) GROUP BY r, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM counted, totals GROUP BY term),
+shares AS (
+  SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))) AS worth
+  FROM counted JOIN docs USING (r) JOIN weights USING (term), totals),
+scored AS (
+  SELECT item_id, r, doc_id, sum(times * worth)::BIGINT AS score FROM asked JOIN shares USING (term) GROUP BY item_id, r, doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20"""
+
 QUERIES["pipeline"] = corpus_pipeline.run
 
 SQL["op10_secret_scans"] = _secrets_sql()
+SQL["op11_ranked_lexical_search"] = SEARCH_SQL
