@@ -1,9 +1,9 @@
 """Cross-tokenizer alignment (13): tokens of two vocabularies that end together, and how often each pair does so corpus-wide.
 
 The byte-level vocabulary (A) encodes a blank and the text, the piece vocabulary (B) the text, before which it puts a blank
-itself. Where tokens of both end, the text is cut into groups, and the two tokens are linked. Both vocabularies begin a new
-token at a blank between two characters that are no white space, so texts are cut there and each distinct stretch is encoded
-once per task (tests compare with whole texts).
+itself. Where tokens of both end, the text is cut into groups, and the two tokens are linked; a token has one byte at least,
+so one of each ends there. Many texts are aligned at once, on arrays of their bytes. Both vocabularies begin a new token at a
+blank between two characters that are no white space, so long texts are encoded in parts that are cut there.
 
 Counting is an external sort that spills. A task makes a chunk of some megabytes of text into records of (B id, A id,
 document, links), deals them to RADICES by the B id, and writes each radix of a chunk as two zstd runs, one with the sorted
@@ -23,6 +23,7 @@ import heapq
 import re
 from collections.abc import Callable, Iterator
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.bpe import _byte_letters
 from feedloom.llm.common import slices
+from feedloom.llm.packing import Encoder
 from feedloom.session import materialise
 
-#: Parts of the pairs by B id; runs that one task merges; bytes of text of a chunk; entries of a task's table of stretches,
-#: and the characters up to which a stretch is kept there.
-RADICES, FAN_IN, CHUNK, TABLE, KEPT = 32, 64, 1 << 22, 200_000, 256
+#: Parts of the pairs by B id; runs that one task merges; characters of a chunk, and of a part of a text.
+RADICES, FAN_IN, CHUNK, PART = 32, 64, 1 << 22, 1 << 16
 #: A blank between characters that are no white space: both vocabularies begin a token there.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 SPILLED = (
@@ -46,67 +46,134 @@ SPILLED = (
 )
 
 
+class Aligned(NamedTuple):
+    """Texts that were aligned together; `links` are B id x 2^32 + A id, in the order of the texts."""
+
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_links: np.ndarray
+    groups: list[str]
+    links: np.ndarray
+
+
+class Side:
+    """The tokens of one vocabulary, as bytes in one array and as decimal ids with the two separators that may follow."""
+
+    def __init__(self, tokens: list[bytes], end: str):
+        self.lengths = np.array([len(t) for t in tokens], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        #: Row 2 i is id i and a comma, row 2 i + 1 the id and `end`, which closes its part of a group.
+        self.names = [f"{i}{mark}".encode() for i in range(len(tokens)) for mark in (",", end)]
+
+    def spelled(self, ids: np.ndarray) -> np.ndarray:
+        sizes = self.lengths[ids]
+        ends = np.cumsum(sizes)
+        return self.bytes[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[ids] - (ends - sizes), sizes)]
+
+
 class Aligner:
-    """Both vocabularies and a table of aligned stretches; made once per task."""
+    """Both vocabularies; made once per task."""
 
     def __init__(self, a_path: str, b_path: str):
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.no_truncation()
-        self.a.no_padding()
-        self.a.encode_special_tokens = True
+        self.encoder = Encoder(a_path, special=False)
         self.b = SentencePieceProcessor(model_file=b_path)
-        letters = _byte_letters()
-        self.a_bytes = {i: bytes(letters.get(c, 0) for c in s) for s, i in self.a.get_vocab(with_added_tokens=False).items()}
-        self.b_bytes = [self._piece(i) for i in range(self.b.vocab_size())]
-        self.table: dict[str, tuple] = {}
+        known = self.encoder.codec.bytes
+        self.sides = (
+            Side([known.get(i, b"") for i in range(max(known) + 1)], "|"),
+            Side([self._piece(i) for i in range(self.b.vocab_size())], ";"),
+        )
+        names = self.sides[0].names + self.sides[1].names
+        width = max(map(len, names))
+        self.letters = np.frombuffer(b"".join(n.ljust(width, b"\0") for n in names), np.uint8).reshape(-1, width)
+        self.widths = np.array([len(n) for n in names], np.int64)
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def stretches(self, text: str) -> list[tuple]:
-        """(A tokens, B tokens, groups as text, pairs of the links) of each stretch; pairs are B id x 2^32 + A id.
-
-        A stretch that is not reproduced has no groups.
-        """
-        parts, table = CUT.split(text), self.table
-        if len(table) > TABLE:
-            table.clear()
-        new = list(set(parts).difference(table))
-        made = dict(zip(new, self._align(new)))
-        out = [made.get(part) or table[part] for part in parts]
-        table.update({part: entry for part, entry in made.items() if len(part) <= KEPT})
+    def align(self, texts: list[str]) -> Aligned:
+        """A text that either vocabulary does not reproduce has no tokens, as an empty one."""
+        raw = [(" " + text).encode() if text else b"" for text in texts]
+        sizes = np.array([len(r) for r in raw], np.int64)
+        tokens = [self._encoded(texts, side) for side in (0, 1)]
+        good = sizes > 0
+        for side, ids in zip(self.sides, tokens):
+            for k, own in enumerate(ids):
+                good[k] &= bool(len(own)) and int(side.lengths[own].sum()) == sizes[k]
+        whole = np.frombuffer(b"".join(r for r, ok in zip(raw, good) if ok), np.uint8)
+        kept, ends = np.flatnonzero(good), np.cumsum(sizes[good])
+        for side, ids in zip(self.sides, tokens):
+            wrong = np.flatnonzero(side.spelled(_joined([ids[k] for k in kept])) != whole)
+            good[kept[np.unique(np.searchsorted(ends, wrong, "right"))]] = False
+        return self._aligned(len(texts), np.flatnonzero(good), sizes[good], [[ids[k] for k in np.flatnonzero(good)] for ids in tokens])
+
+    def _encoded(self, texts: list[str], side: int) -> list[np.ndarray]:
+        parts, owner = [], []
+        for k, text in enumerate(texts):
+            mine = _parts(text) if text else []
+            parts += mine
+            owner += [k] * len(mine)
+        if side == 0:
+            found = [np.frombuffer(self.encoder.ids(" " + part), "<u4") for part in parts]
+        else:
+            found = [np.array(ids, np.uint32) for ids in self.b.encode(parts, num_threads=1)]
+        held: list[list[np.ndarray]] = [[] for _ in texts]
+        for k, ids in zip(owner, found):
+            held[k].append(ids)
+        return [_joined(ids) for ids in held]
+
+    def _aligned(self, n: int, kept: np.ndarray, sizes: np.ndarray, tokens: list[list[np.ndarray]]) -> Aligned:
+        ids = [_joined(side) for side in tokens]
+        counts = [np.array([len(x) for x in side], np.int64) for side in tokens]
+        ends = [np.cumsum(side.lengths[own]) for side, own in zip(self.sides, ids)]
+        total = int(sizes.sum())
+        meet = np.zeros(total + 1, np.int8)
+        for side in ends:
+            meet[side] += 1
+        last = [meet[side] == 2 for side in ends]
+        a_last, b_last = (np.flatnonzero(x) for x in last)
+        links = ids[1][b_last].astype(np.int64) << 32 | ids[0][a_last]
+        # Written order: a group's A tokens stand behind all B tokens of earlier groups, its B tokens behind its A tokens.
+        a_group, b_group = (np.cumsum(x) - x for x in last)
+        before = np.concatenate([[0], b_last[:-1] + 1]) if len(b_last) else np.zeros(0, np.int64)
+        order = np.empty(len(ids[0]) + len(ids[1]), np.int64)
+        order[np.arange(len(ids[0])) + before[a_group]] = 2 * ids[0].astype(np.int64) + last[0]
+        order[np.arange(len(ids[1])) + a_last[b_group] + 1] = len(self.sides[0].names) + 2 * ids[1].astype(np.int64) + last[1]
+        said = self._written(order)
+        stops = np.cumsum(np.add.reduceat(self.widths[order], np.cumsum(sum(counts)) - sum(counts))) if len(kept) else []
+        out = Aligned(*[np.zeros(n, np.int64) for _ in range(3)], [""] * n, links)
+        out.n_a[kept], out.n_b[kept] = counts
+        out.n_links[kept] = np.diff(np.searchsorted(ends[0][a_last], np.cumsum(sizes), "right"), prepend=0)
+        for k, start, stop in zip(kept, [0, *stops], stops):
+            out.groups[k] = said[start : stop - 1].decode()
         return out
 
-    def _align(self, parts: list[str]) -> Iterator[tuple]:
-        for at in range(0, len(parts), 1000):
-            some = parts[at : at + 1000]
-            a_ids = [e.ids for e in self.a.encode_batch_fast([" " + s for s in some], add_special_tokens=False)]
-            b_ids = self.b.encode(some, num_threads=1)
-            for part, a, b in zip(some, a_ids, b_ids):
-                yield self._groups((" " + part).encode(), a, b)
-
-    def _groups(self, raw: bytes, a: list[int], b: list[int]) -> tuple:
-        a_raw, b_raw = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_raw) != raw or b"".join(b_raw) != raw:
-            return 0, 0, "", None
-        groups, pairs, i, j, a_end, b_end = [], [], 0, 0, 0, 0
-        first_a = first_b = 0
-        while i < len(a):
-            if a_end <= b_end:
-                a_end += len(a_raw[i])
-                i += 1
-            while b_end < a_end:
-                b_end += len(b_raw[j])
-                j += 1
-            if a_end == b_end:
-                groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-                pairs.append(b[j - 1] << 32 | a[i - 1])
-                first_a, first_b = i, j
-        return len(a), len(b), ";".join(groups), np.array(pairs, np.int64)
+    def _written(self, order: np.ndarray) -> bytes:
+        """The decimal ids and separators, in pieces that keep the padded letters small."""
+        out = []
+        for at in range(0, len(order), 1 << 18):
+            letters = self.letters[order[at : at + (1 << 18)]].reshape(-1)
+            out.append(letters[letters != 0].tobytes())
+        return b"".join(out)
+
+
+def _joined(ids: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+
+
+def _parts(text: str) -> list[str]:
+    """The text in parts of about PART characters, cut at blanks between characters that are no white space."""
+    parts, at = [], 0
+    while len(text) - at > PART:
+        cut = CUT.search(text, at + PART)
+        if cut is None:
+            break
+        parts.append(text[at : cut.start()])
+        at = cut.end()
+    return [*parts, text[at:]]
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -123,11 +190,9 @@ def _unpack(run: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _runs(pairs: list[np.ndarray], radices: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """(radix, pairs, records) of the links of a chunk's documents."""
-    links = np.concatenate([np.zeros(0, np.int64), *pairs])
-    doc = np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
-    order = np.lexsort((doc, links))
+def _runs(links: np.ndarray, doc: np.ndarray, radices: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(radix, pairs, records) of the links of a chunk; `doc` has the document of each and rises."""
+    order = np.argsort(links, kind="stable")
     links, doc = links[order], doc[order]
     first = np.flatnonzero(np.diff(links, prepend=-1).astype(bool) | np.diff(doc, prepend=-1).astype(bool))
     times = np.diff(first, append=len(links))
@@ -143,37 +208,36 @@ def _runs(pairs: list[np.ndarray], radices: int) -> Iterator[tuple[int, bytes, b
             )
 
 
-def spilled(docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int = CHUNK, radices: int = RADICES) -> DataFrame:
+def spilled(docs: DataFrame, a_path: str, b_path: str, chunk_size: int = CHUNK, radices: int = RADICES) -> DataFrame:
     """Two kinds of rows: documents with their groups (`doc` is not null), and the runs of a chunk's records by radix."""
     names = [field.split()[0] for field in SPILLED.split(", ")]
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
     kinds = [kinds[field.split()[1]] for field in SPILLED.split(", ")]
 
-    def rows(found: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=names)
+    def runs(chunk: int, links: list[np.ndarray], owners: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(np.concatenate(links), np.concatenate(owners), radices):
+            row = (chunk, *[None] * 7, *run)
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=names)
 
     def run(batches):
         aligner, chunk = Aligner(a_path, b_path), TaskContext.get().partitionId() << 33
-        held, size = [], 0
+        links, owners, n_docs, size = [], [], 0, 0
         for batch in slices(batches):
-            out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parts = aligner.stretches(text) if text else []
-                if any(part[3] is None for part in parts):
-                    parts = []
-                links = np.concatenate([np.zeros(0, np.int64), *[part[3] for part in parts]])
-                sums = (sum(p[0] for p in parts), sum(p[1] for p in parts), len(links), len(links))
-                out.append((chunk, len(held), doc_id, *sums, ";".join([p[2] for p in parts]), None, None, None))
-                held.append(links)
-                size += len(text.encode())
-                if size >= chunk_bytes:
-                    yield rows(out)
-                    yield from (rows([(chunk, *[None] * 7, *x)]) for x in _runs(held, radices))
-                    out, held, size, chunk = [], [], 0, chunk + 1
-            if out:
-                yield rows(out)
-        if held:
-            yield from (rows([(chunk, *[None] * 7, *x)]) for x in _runs(held, radices))
+            texts = batch.column(1).to_pylist()
+            found = aligner.align(texts)
+            numbers = range(n_docs, n_docs + len(texts))
+            columns = [[chunk] * len(texts), numbers, batch.column(0), found.n_a, found.n_b, found.n_links, found.n_links, found.groups]
+            columns += [[None] * len(texts)] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+            links.append(found.links)
+            owners.append(np.repeat(np.arange(n_docs, n_docs + len(texts)), found.n_links))
+            n_docs += len(texts)
+            size += sum(map(len, texts))
+            if size >= chunk_size:
+                yield from runs(chunk, links, owners)
+                links, owners, n_docs, size, chunk = [], [], 0, 0, chunk + 1
+        if n_docs:
+            yield from runs(chunk, links, owners)
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, SPILLED)
@@ -225,7 +289,7 @@ def aligned(
     a_path: str,
     b_path: str,
     keep: Callable[[Column], Column] = lambda groups: groups,
-    chunk_bytes: int = CHUNK,
+    chunk_size: int = CHUNK,
     radices: int = RADICES,
     fan_in: int = FAN_IN,
 ) -> tuple[DataFrame, DataFrame]:
@@ -233,7 +297,7 @@ def aligned(
 
     `keep` is what to store of a document's groups, such as a digest of them.
     """
-    made = spilled(docs, a_path, b_path, chunk_bytes, radices)
+    made = spilled(docs, a_path, b_path, chunk_size, radices)
     stored = materialise(made.withColumn("groups", keep(F.col("groups"))), "spilled")
     runs = stored.where("doc IS NULL").select("chunk", "radix", "pairs", "records")
     counts = materialise(pair_counts(runs, fan_in), "pairs")

@@ -6,6 +6,7 @@ import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
+from feedloom.llm import alignment
 from feedloom.llm.alignment import CUT, Aligner, aligned, spilled
 from feedloom.llm.bpe import _byte_letters
 
@@ -49,18 +50,21 @@ def plain():
 ALPHABETS = ["ab ", "the ing of  ", "é ñü\n\t ", "'sre !? ", "0123 a ", "日本語 の ", "\U0001f600 x' ", "   \x1c\x85\xa0a", "▁ a", "<|endoftext|> </s> <0x41> ", "  \x00b"]
 
 
-def test_stretches_of_texts_equal_whole_texts(plain):
-    aligner, draw = Aligner(A, B), random.Random(1)
-    for n in range(1500):
+@pytest.mark.parametrize("part", [1, 7, 1 << 16])
+def test_alignment_equals_a_plain_version(plain, monkeypatch, part):
+    monkeypatch.setattr(alignment, "PART", part)
+    aligner, draw, texts = Aligner(A, B), random.Random(part), []
+    for n in range(1200):
         letters = draw.choice(ALPHABETS) + (draw.choice(ALPHABETS) if n % 2 else "")
-        text = "".join(draw.choice(letters) for _ in range(draw.randrange(1, 60)))
-        x, y, groups, links = plain(text)
-        parts = aligner.stretches(text)
-        if any(p[3] is None for p in parts):
-            assert not x and not y, text
-        else:
-            assert (len(x), len(y), groups) == (sum(p[0] for p in parts), sum(p[1] for p in parts), ";".join(p[2] for p in parts)), text
-            assert [(v & 0xFFFFFFFF, v >> 32) for p in parts for v in p[3].tolist()] == links
+        texts.append("".join(draw.choice(letters) for _ in range(draw.randrange(0, 60))))
+    texts += ["", " ", "▁", " ▁", "\U0010ffff a", "a" * 500, " " * 12000 + "x"]
+    for at in range(0, len(texts), 40):
+        some = texts[at : at + 40]
+        found, want = aligner.align(some), [plain(t) for t in some]
+        for k, (x, y, groups, links) in enumerate(want):
+            assert (found.n_a[k], found.n_b[k], found.n_links[k], found.groups[k]) == (len(x), len(y), len(links), groups), some[k]
+        assert [(v & 0xFFFFFFFF, v >> 32) for v in found.links.tolist()] == [link for w in want for link in w[3]]
+    assert aligner.align([]).groups == [] and aligner.align(["", "▁"]).n_a.tolist() == [0, 0]
 
 
 def test_no_piece_holds_a_blank_behind_another_character():
@@ -86,7 +90,7 @@ def test_documents_and_pairs_equal_a_plain_version(spark, plain, chunk, radices,
         tops = sum(count[link] == best[link[1]] for link in links)
         want.append((doc, len(x), len(y), len(links), len(links), groups, tops, sum(count[link] for link in links)))
     frame = spark.createDataFrame([(i, t, 1, "x", 2.0) for i, t in docs], "doc_id long, text string, chunk int, groups string, n double")
-    got, pairs = aligned(frame.repartition(4), A, B, chunk_bytes=chunk, radices=radices, fan_in=fan_in)
+    got, pairs = aligned(frame.repartition(4), A, B, chunk_size=chunk, radices=radices, fan_in=fan_in)
     columns = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "n_best", "count_sum"]
     assert sorted(map(tuple, got.select(columns).collect()), key=str) == sorted(want, key=str)
     assert {((r["a_id"], r["b_id"]), r["n"], r["best"]) for r in pairs.collect()} == {(p, n, n == best[p[1]]) for p, n in count.items()}
