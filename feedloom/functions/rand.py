@@ -12,7 +12,11 @@ def uniform(seed, key: Column) -> Column:
     Being a function of the key it is the same in every pass, on every executor and after a retry,
     which `rand()` is not.
     """
+    return (uniform_bits(seed, key).cast("double") + 0.5) / float(16**HEX_DIGITS)
+
+
+def uniform_bits(seed, key: Column) -> Column:
+    """The same number as a whole one of 52 bits, for exact cuts."""
     seed = seed if isinstance(seed, Column) else F.lit(str(seed))
     digest = F.md5(F.concat_ws(":", seed, key.cast("string")).cast("binary"))
-    bits = F.conv(F.substring(digest, 1, HEX_DIGITS), 16, 10).cast("double")
-    return (bits + 0.5) / float(16**HEX_DIGITS)
+    return F.conv(F.substring(digest, 1, HEX_DIGITS), 16, 10).cast("long")

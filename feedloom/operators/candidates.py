@@ -115,21 +115,18 @@ def embedding_backlog(inputs: DataFrame, existing: DataFrame) -> DataFrame:
     return keep_first(missing, "paper_id", ["year", "text"])
 
 
-LITERAL_IDS = 500
+def lookup_by_id(vectors: DataFrame, ids: DataFrame, key: str = "paper_id") -> DataFrame:
+    """The rows of `vectors` whose id is in the table `ids`, by one semi-join whatever the number of ids."""
+    return vectors.join(id_set(ids, key), key, "left_semi")
 
 
-def lookup_by_id(vectors: DataFrame, ids: DataFrame, key: str = "paper_id") -> DataFrame:
-    """The rows of `vectors` whose id is in `ids`.
+def lookup_listed(vectors: DataFrame, ids: Sequence[str], key: str = "paper_id") -> DataFrame:
+    """The rows of `vectors` whose id is in a list that the caller holds.
 
-    Up to 500 ids become a filter of the scan: on a table bucketed by id Spark then opens only their
-    buckets and, with sorted files, only their pages, so a lookup does not scan the table. More ids
-    are joined; Spark broadcasts them when their measured size is below its limit.
+    The ids become a filter of the scan. In files sorted by id with Bloom filters, as `write_vectors` and `save_bucketed` leave
+    them, Spark then opens only row groups and pages that may hold one, and of a bucketed table only their buckets.
     """
-    wanted = id_set(ids, key)
-    few = [row[0] for row in wanted.limit(LITERAL_IDS + 1).collect()]
-    if len(few) <= LITERAL_IDS:
-        return vectors.where(F.col(key).isin([value for value in few if value is not None]))
-    return vectors.join(wanted, key, "left_semi")
+    return vectors.where(F.col(key).isin(sorted({value for value in ids if value is not None})))
 
 
 def limit_ordered(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:

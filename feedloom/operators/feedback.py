@@ -36,11 +36,16 @@ def label_threads(threads: DataFrame) -> DataFrame:
 
 def feedback_labels(reactions: DataFrame, thread: str = "thread") -> DataFrame:
     """One label per thread from a long table of reactions (thread, content)."""
-    counts = reactions.groupBy(thread).agg(
+    counts = reaction_counts(reactions, thread)
+    return counts.withColumn("preference", reaction_label(F.col("likes"), F.col("dislikes")))
+
+
+def reaction_counts(reactions: DataFrame, thread: str = "thread") -> DataFrame:
+    """Likes and dislikes per thread; other reactions make a thread known, with zeros."""
+    return reactions.groupBy(thread).agg(
         F.count_if(F.col("content") == UP).alias("likes"),
         F.count_if(F.col("content") == DOWN).alias("dislikes"),
     )
-    return counts.withColumn("preference", reaction_label(F.col("likes"), F.col("dislikes")))
 
 
 def recent_threads(reactions: DataFrame, n: int = 100, per_thread: int = 100) -> DataFrame:

@@ -8,6 +8,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,6 +68,38 @@ class HashingEmbedder:
 register_backend("hashing", HashingEmbedder)
 
 
+#: Models that one Python worker keeps; the one used longest ago is closed for a new one.
+KEPT_BACKENDS = 2
+
+
+def worker_backend(name: str, factory: BackendFactory, keep: int = KEPT_BACKENDS) -> BatchBackend:
+    """The worker process's own backend of that name, made by its first task and kept for the later ones.
+
+    Code travels to a worker anew with each task, and its variables with it, so what is kept is tied to the process. A backend
+    with a `close` method is closed when it makes room or the process ends.
+    """
+    import atexit
+    import sys
+    from types import SimpleNamespace
+
+    held = sys.modules.get("_feedloom_backends")
+    if held is None:
+        held = sys.modules["_feedloom_backends"] = SimpleNamespace(backends={})
+        atexit.register(lambda: [_close(backend) for backend in held.backends.values()])
+    backends = held.backends
+    backend = backends.pop(name, None)
+    while len(backends) >= max(1, keep):
+        _close(backends.pop(next(iter(backends))))
+    backends[name] = factory() if backend is None else backend
+    return backends[name]
+
+
+def _close(backend) -> None:
+    close = getattr(backend, "close", None)
+    if close is not None:
+        close()
+
+
 def _batches(frames: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for start in range(0, len(frame), size):
@@ -82,7 +115,7 @@ def run_batched(
     isolate_errors: bool = False,
     rebalance: bool = True,
 ) -> DataFrame:
-    """Add the backend's result for `text`; the backend is made once per task, not once per batch.
+    """Add the backend's result for `text`; the backend is made once per worker process, not per task or batch.
 
     With `isolate_errors` a failing batch is retried row by row and each failing row keeps its
     message in `error` instead of failing the job.
@@ -97,10 +130,12 @@ def run_batched(
     if isolate_errors:
         fields.append(T.StructField("error", T.StringType()))
 
+    # Equal factories share a backend; one that cannot be told from others has its own.
+    name = hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
+
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        backend = None
         for batch in _batches(frames, batch_size):
-            backend = backend or factory()
+            backend = worker_backend(name, factory)
             texts = batch[text].fillna("").tolist()
             if not isolate_errors:
                 yield batch.assign(**{result.name: list(backend.run(texts))})

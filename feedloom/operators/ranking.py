@@ -4,7 +4,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import concat_vectors, linear_probability
@@ -70,7 +70,7 @@ def fit_ranker(
         F.col("label").cast("double").alias("label"),
         weight.alias("weight"),
     ).coalesce(1 + n // ROWS_PER_TASK)
-    return LogisticRegression(
+    model = LogisticRegression(
         weightCol="weight",
         regParam=1.0 / (C * n),
         elasticNetParam=0.0,
@@ -78,6 +78,16 @@ def fit_ranker(
         maxIter=max_iter,
         tol=tol,
     ).fit(rows)
+    return without_summary(model)
+
+
+def without_summary(model: LogisticRegressionModel) -> LogisticRegressionModel:
+    """The model without its training summary.
+
+    The summary holds the session, which cannot travel with the model to the tasks once it has observed a metric.
+    """
+    model._java_obj.setSummary(SparkSession.active()._jvm.scala.Option.empty())
+    return model
 
 
 def score(model: LogisticRegressionModel, df: DataFrame) -> DataFrame:

@@ -6,14 +6,16 @@ counts, the only thing the driver sees), and membership is then a plain row filt
 position: no sort, no shuffle of the rows, no join back.
 """
 
+import json
 import math
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rand import uniform
+from ..functions.rand import uniform, uniform_bits
+from ..session import materialise
 
 BUCKETS = 4096
 SORT_LIMIT = 200_000  # narrow rows that one task may order without effort
@@ -129,11 +131,72 @@ def adaptive_sample(
     return df.withColumn("show", shown.cast("byte"))
 
 
+#: Histogram cells that the driver holds for all batches together.
+CELLS = 1 << 19
+
+
+def find_cuts(ids: DataFrame, sizes: Sequence[int], seed, key: str) -> list[tuple[int, str] | None]:
+    """For each size, the (rank, key) of the last id of a sample drawn with its own seed; None if it takes all ids.
+
+    Ranks are whole numbers of 52 bits. Each level counts, in one job over all batches, the ids by the next bits of their
+    rank behind the bits that are settled for the batch, until the ids with equal bits are few enough to order.
+    """
+    step = max(4, min(12, (CELLS // max(len(sizes), 1)).bit_length() - 1))
+    #: By batch: settled bits, their number, and how many ids behind them are still to take.
+    spans = {n: (0, 0, k) for n, k in enumerate(sizes)}
+    cuts: dict[int, tuple[int, str] | None] = {}
+    while spans:
+        more = min(step, 52 - max(bits for _, bits, _ in spans.values()))
+        rows = _behind(ids, spans, seed, key)
+        cell = F.shiftright("rank", 52 - more - next(iter(spans.values()))[1])
+        counts: dict[int, dict[int, int]] = {}
+        for row in rows.groupBy("batch", cell.alias("cell")).count().collect():
+            counts.setdefault(row["batch"], {})[row["cell"]] = row["count"]
+        open_, ready = {}, {}
+        for n, (_, bits, left) in spans.items():
+            cuts[n] = None
+            for at, count in sorted(counts.get(n, {}).items()):
+                if left <= count:
+                    few = count * len(sizes) <= SORT_LIMIT or bits + more == 52
+                    (ready if few else open_)[n] = (at, bits + more, left)
+                    break
+                left -= count
+        if ready:
+            rows = _behind(ids, ready, seed, key).withColumn(
+                "place", F.row_number().over(Window.partitionBy("batch").orderBy("rank", key))
+            )
+            for row in rows.where("place = left").select("batch", "rank", key).collect():
+                cuts[row["batch"]] = (row["rank"], row[key])
+        spans = open_
+    return [cuts[n] for n in range(len(sizes))]
+
+
+def _behind(ids: DataFrame, spans: Mapping[int, tuple[int, int, int]], seed, key: str) -> DataFrame:
+    """(batch, rank, key, left): the ids in each batch whose rank begins with the settled bits."""
+    fields = "array<struct<batch:int,settled:bigint,bits:int,left:bigint>>"
+    batches = F.from_json(F.lit(json.dumps([dict(zip(("batch", "settled", "bits", "left"), (n, *span))) for n, span in spans.items()])), fields)
+    rows = ids.select(key, F.inline(batches))
+    rows = rows.withColumn("rank", uniform_bits(_batch_seed(seed), F.col(key)))
+    return rows.where(F.expr("shiftright(rank, 52 - bits) = settled")).select("batch", "rank", key, "left")
+
+
+def _batch_seed(seed) -> Column:
+    return F.concat_ws(":", F.lit(str(seed)), F.col("batch").cast("string"))
+
+
 def random_id_batches(
     df: DataFrame, batches: int, size: int, seed, key: str = "paper_id"
 ) -> DataFrame:
-    """`batches` random batches of `size` distinct ids, without repeats inside a batch."""
-    ids = df.select(key).distinct()
-    drawn = [sample_exact(ids, size, f"{seed}:{n}", key) for n in range(batches)]
-    parts = [ids.select(F.lit(n).alias("batch"), key) for n, ids in enumerate(drawn)]
-    return reduce(DataFrame.unionByName, parts)
+    """`batches` random batches of `size` distinct ids, without repeats inside a batch.
+
+    The table is read once for its ids. These are stored, and all batches are drawn from them in the same passes.
+    """
+    if batches <= 0 or size <= 0:
+        return df.select(F.lit(0).alias("batch"), key).limit(0)
+    ids = materialise(df.select(key).distinct(), "ids")
+    cuts = find_cuts(ids, [size] * batches, seed, key)
+    limits = [{"batch": n, "_to": None if cut is None else cut[0], "_last": None if cut is None else str(cut[1])} for n, cut in enumerate(cuts)]
+    rows = ids.select(key, F.inline(F.from_json(F.lit(json.dumps(limits)), "array<struct<batch:int,_to:bigint,_last:string>>")))
+    rank, last = uniform_bits(_batch_seed(seed), F.col(key)), F.col("_last").cast(df.schema[key].dataType)
+    within = F.col("_to").isNull() | (rank < F.col("_to")) | ((rank == F.col("_to")) & (F.col(key) <= last))
+    return rows.where(within).select("batch", key)

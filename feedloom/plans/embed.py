@@ -58,4 +58,5 @@ def embed_missing(
         allow_truncate=allow_truncate,
         limited=limit is not None,
         models=[model],
+        only_new=not overwrite,
     )

@@ -13,11 +13,17 @@ from ..operators.candidates import limit_ordered
 from ..operators.dedup import duplicate_report, upsert_latest
 from ..operators.reshape import normalise_schema, split_by_year
 from ..session import materialise
-from ..sources.readers import parse_harvest, read_harvest_xml, read_if_present
+from ..sources.readers import parse_harvest, read_harvest_xml
+from ..sources.versions import (
+    BASE, BATCH, Versions, append_version, compact, live_runs, newest, read_versions, stored_rows,
+)
 from ..sources.writers import write_metadata
 
 log = logging.getLogger(__name__)
 
+#: Parts of a year's metadata by hash of the id: a lookup reads one, a year is written by as many tasks.
+BUCKETS = 8
+
 
 def harvest(spark: SparkSession, folders: Sequence[str], limit: int | None = None) -> DataFrame:
     """Metadata rows of all harvested folders (one per category); an unreadable one is skipped."""
@@ -35,32 +41,53 @@ def harvest(spark: SparkSession, folders: Sequence[str], limit: int | None = Non
     return records
 
 
+def metadata_versions(path: str) -> Versions:
+    """The metadata table: the latest version of an id within its publication year, in a tie that of the newer batch.
+
+    Rows lie by year and hash of the id. Where even the batch is the same, a hash of the row decides.
+    """
+    keys = ["year", "paper_id"]
+    ties = newest(keys, ["updated_at", BATCH, "_tie"])
+
+    def merge(rows: DataFrame) -> DataFrame:
+        bucket = F.pmod(F.xxhash64("paper_id"), F.lit(BUCKETS)).cast("int")
+        tie = F.xxhash64(*schemas.METADATA_COLUMNS)
+        return ties(rows.withColumns({"bucket": bucket, "_tie": tie})).drop("_tie")
+
+    return Versions(path, merge, ("year", "bucket"), schemas.METADATA_RUNS)
+
+
 def upsert_metadata(records: DataFrame, path: str) -> DataFrame:
     """Merge records into the table at `path`; returns the rows without a publication year.
 
-    Only the years that occur in the batch are read and rewritten. Their list is small (a year has
-    four digits) and prunes the scan to those partitions. Running the same batch again changes
-    nothing.
+    A batch is written as it is and merged by the readers (`read_metadata_table`), so its cost is that of its own rows;
+    what is stored is neither read nor rewritten until a compaction. Running the same batch again changes nothing.
     """
-    spark = records.sparkSession
+    table = metadata_versions(path)
     accepted, rejected = split_by_year(normalise_schema(records))
-    stored = read_if_present(spark, path, schemas.METADATA_TABLE)
-    if stored is None:
-        merged = upsert_latest(accepted, tie=schemas.METADATA_COLUMNS)
-    else:
-        years = [row["year"] for row in accepted.select("year").distinct().collect()]
-        both = (
-            stored.where(F.col("year").isin(years))
-            .withColumn("batch", F.lit(0))
-            .unionByName(accepted.withColumn("batch", F.lit(1)))
-        )
-        merged = upsert_latest(both, tie=["batch", *schemas.METADATA_COLUMNS]).drop("batch")
-    write_metadata(merged, path)
+    latest = table.merge(accepted.withColumn(BATCH, F.lit(0).cast("long")))
+    append_version(latest.drop(BATCH), table)
+    compact(records.sparkSession, table)
     return rejected
 
 
+def read_metadata_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The latest version of each id per publication year, or None while there is no table."""
+    found = read_versions(spark, metadata_versions(path))
+    return None if found is None else found.select(*schemas.METADATA_TABLE.names)
+
+
 def deduplicate_table(spark: SparkSession, path: str) -> DataFrame:
-    """Rewrite the years of the table that have repeated ids; returns the report of what was there."""
+    """Leave one row per id and year at the path; returns the report of what was there.
+
+    A table of plain year folders has the years with repeated ids rewritten, one of versions is merged into one run.
+    """
+    versions = [run for run in live_runs(spark, path) if run.last != BASE]
+    if versions:
+        table = metadata_versions(path)
+        report = materialise(duplicate_report(stored_rows(spark, table)), "duplicates")
+        compact(spark, table, whole=True)
+        return report
     stored = spark.read.parquet(path)
     report = materialise(duplicate_report(stored), "duplicates")
     dirty = [

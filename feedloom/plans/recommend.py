@@ -1,5 +1,7 @@
 """The ranking run: candidates, training, scores and the sample to show."""
 
+import json
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
@@ -16,6 +18,8 @@ from ..operators.dedup import keep_latest_any
 from ..operators.ranking import fit_ranker, score, stack_features, training_set
 from ..operators.sampling import adaptive_sample
 from ..session import materialise
+from ..sources.staged import Staged, publish, stage
+from ..sources.writers import path_exists
 
 
 @dataclass(frozen=True)
@@ -119,3 +123,43 @@ def recommend(
         preferred, background, scored, scored.where(F.col("show") == 1).drop(*aliases), rejected,
         model,
     )
+
+
+def recommend_run(
+    meta: DataFrame,
+    vectors: Mapping[str, DataFrame],
+    preferences: DataFrame,
+    known: DataFrame | None,
+    params: RecommendParams,
+    root: str,
+    run_at: datetime,
+    data_sources: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """A run with its predictions, recommendations and manifest stored below `root` under its id; returns the manifest.
+
+    The three appear together, by one rename: a run is there whole or not at all, and one that is there is not run again.
+    """
+    spark, run_id = meta.sparkSession, run_at.strftime("%Y%m%d-%H%M%S")
+    final = f"{root}/run_id={run_id}"
+    if not path_exists(spark, final):
+        run = recommend(meta, vectors, preferences, known, params)
+        aside = f"{root}/_aside/{uuid.uuid4().hex}"
+        scored = stage(run.scored, "predictions.parquet", aside, final)
+        shown = stage(run.recommended, "recommended.parquet", aside, final)
+        counts = {
+            "preferred": run.preferred.count(), "background": run.background.count(), "scored": scored.rows,
+            "recommended": shown.rows,
+        }
+        settings = {
+            "high": params.high, "boundary": params.boundary, "sample_rate": params.sample_rate, "last_n_days": params.last_n_days,
+            "start_date": params.start_date, "end_date": params.end_date,
+        }
+        row = (
+            run_id, run_at.isoformat(), params.include_all, *counts.values(), json.dumps(settings),
+            json.dumps({"categories": list(params.categories), "vectors": list(vectors), **(data_sources or {})}),
+        )
+        columns = "run_id string, generated_at string, include_all boolean, " + ", ".join(f"{c} long" for c in counts)
+        manifest = spark.createDataFrame([row], columns + ", thresholds string, data_sources string")
+        stage(manifest.coalesce(1), "manifest.parquet", aside, final)
+        publish(spark, Staged("run", aside, final, "parquet", (), scored.rows, {}, ()))
+    return spark.read.parquet(f"{final}/manifest.parquet")

@@ -44,6 +44,7 @@ VECTORS = T.StructType(
 
 # The stored tables, partition columns included.
 METADATA_TABLE = T.StructType([*METADATA.fields, T.StructField("year", T.IntegerType())])
+METADATA_RUNS = T.StructType([*METADATA_TABLE.fields, T.StructField("bucket", T.IntegerType())])
 VECTOR_TABLE = T.StructType(
     [
         *VECTORS.fields,

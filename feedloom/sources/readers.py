@@ -164,18 +164,27 @@ def parse_harvest(df: DataFrame, source: str = "harvest") -> DataFrame:
     )
 
 
+def _year_glob(years: Sequence[int] | None) -> str:
+    return "{" + ",".join(str(y) for y in years) + "}" if years else "[0-9][0-9][0-9][0-9]"
+
+
+def year_files(spark: SparkSession, path: str, years: Sequence[int] | None = None) -> dict[str, str]:
+    """Path of the wide parquet file (or folder) of each year."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{_year_glob(years)}.parquet")
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target) or []
+    names = sorted(str(f.getPath().toString()) for f in found)
+    return {n[-len("2000.parquet"):-len(".parquet")]: n for n in names}
+
+
 def read_year_files(spark: SparkSession, path: str, years: Sequence[int] | None = None) -> DataFrame:
     """Wide parquet files (or folders) named `<year>.parquet`, with the year as a column.
 
     Each year is read by its own schema: a model's column that only some years have is null in the others, and
     vectors of different float widths are read as doubles. The driver lists one path per year.
     """
-    glob = "{" + ",".join(str(y) for y in years) + "}" if years else "[0-9][0-9][0-9][0-9]"
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{glob}.parquet")
-    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target) or []
-    names = sorted(str(f.getPath().toString()) for f in found)
+    names = list(year_files(spark, path, years).values())
     if not names:
-        return spark.read.parquet(f"{path}/{glob}.parquet").withColumn("year", F.lit(""))
+        return spark.read.parquet(f"{path}/{_year_glob(years)}.parquet").withColumn("year", F.lit(""))
     parts = [spark.read.parquet(n).withColumn("year", F.lit(n[-len("2000.parquet"):-len(".parquet")])) for n in names]
     kinds: dict[str, set[str]] = {}
     for part in parts:
@@ -198,10 +207,11 @@ def read_preference_months(spark: SparkSession, paths) -> DataFrame:
 
 
 def with_line_numbers(lines: DataFrame) -> DataFrame:
-    """Line numbers for `spark.read.text` rows, without reading any file in one piece.
+    """Line numbers for `spark.read.text` rows; neither a file nor a line is moved.
 
-    Lines are counted per read block (a block is bounded by maxPartitionBytes) and the blocks of a
-    file are then offset by the counts of the blocks before them.
+    A task reads whole blocks, one after the other, so a line's place in its block is its running number in the task less
+    the first one of the block. A first pass gets that number and the line count of each block, a few bytes per block. Both
+    passes plan the same files in the same way, so the running numbers are the same.
     """
     tagged = lines.select(
         F.col("_metadata.file_path").alias("path"),
@@ -209,16 +219,13 @@ def with_line_numbers(lines: DataFrame) -> DataFrame:
         F.monotonically_increasing_id().alias("seq"),
         "value",
     )
-    counts = tagged.groupBy("path", "block").agg(F.count("*").alias("n"))
+    blocks = tagged.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
+    blocks = blocks.select(
+        "path", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) + 1 - F.col("first")).alias("shift")
     )
-    in_block = Window.partitionBy("path", "block").orderBy("seq")
-    return (
-        tagged.withColumn("rank", F.row_number().over(in_block))
-        .join(offsets, ["path", "block"])
-        .select("path", (F.col("offset") + F.col("rank")).alias("line"), "value")
+    return tagged.join(blocks, ["path", "block"]).select(
+        "path", (F.col("seq") + F.col("shift")).alias("line"), "value"
     )
 
 
@@ -254,14 +261,16 @@ def read_summaries(spark: SparkSession, ranked_dirs: Sequence[tuple[str, str]])
     fallback = F.when(F.col("kind") == 0, stem).otherwise(
         F.concat_ws("-", stem, F.col("line").cast("string"))
     )
-    payload = F.from_json("value", "map<string,variant>")
-    return (
-        records.where(F.length(strip(F.col("value"))) > 0)
-        .withColumn("payload", payload)
-        .withColumn("fallback_id", fallback)
+    return parse_summaries(
+        records.where(F.length(strip(F.col("value"))) > 0).withColumn("fallback_id", fallback)
     )
 
 
+def parse_summaries(records: DataFrame) -> DataFrame:
+    """Add the `payload` of each record's text, null if it is no JSON object."""
+    return records.withColumn("payload", F.from_json("value", "map<string,variant>"))
+
+
 NUMBER_KINDS = ["BIGINT", "DOUBLE", "FLOAT"]  # decimals carry their precision
 
 

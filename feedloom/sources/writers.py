@@ -21,6 +21,10 @@ CSV_WRITE_OPTIONS = {
 }
 
 
+# Short pages, as a row holds a whole vector, and a Bloom filter of the ids in each row group.
+LOOKUP_OPTIONS = {"parquet.page.row.count.limit": "256", "parquet.bloom.filter.enabled#paper_id": "true"}
+
+
 def path_exists(spark, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
@@ -74,25 +78,32 @@ def write_vectors(
     allow_truncate: bool = False,
     limited: bool = False,
     models: Sequence[str] | None = None,
+    only_new: bool = False,
 ) -> None:
     """Store new vectors by (model, year) as zstd parquet; stored vectors win unless `overwrite`.
 
     Without `overwrite` only the ids of the stored table are read and only vectors it lacks are
     appended; the stored vectors are neither read nor rewritten. With `overwrite` the touched years
     are replaced as a whole, which loses rows when `df` is only a part of them, so a limited input
-    needs `allow_truncate`. `models` names the models in `df`, if known, to read only their ids.
+    needs `allow_truncate`. `models` names the models in `df`, if known, to read only their ids. `only_new` says that `df`
+    has no stored id and no id twice, as the inputs of a model that were held against the table before it ran.
+
+    Files are sorted by id and carry Bloom filters of the ids, for `lookup_listed`.
     """
     spark = df.sparkSession
     keys = ["model", "year", "paper_id"]
-    order = ["generated_at", "source", "embedding"]
-    fresh = keep_first(df.withColumn("year", F.col("year").cast("string")), keys, order)
+    fresh = df.withColumn("year", F.col("year").cast("string"))
+    if not only_new:
+        # A vector is no ordering key: equal times and sources are told apart by its hash.
+        fresh = fresh.withColumn("_tie", F.xxhash64("embedding"))
+        fresh = keep_first(fresh, keys, ["generated_at", "source", "_tie"]).drop("_tie")
     if overwrite:
         if limited and not allow_truncate:
             raise ValueError("overwriting years with a limited input drops vectors: allow_truncate")
         mode = "overwrite"
     else:
         mode = "append"
-        stored = read_if_present(spark, path, schemas.VECTOR_TABLE)
+        stored = None if only_new else read_if_present(spark, path, schemas.VECTOR_TABLE)
         if stored is not None:
             if models is not None:
                 stored = stored.where(F.col("model").isin(list(models)))
@@ -101,9 +112,11 @@ def write_vectors(
     (
         fresh.select("model", "year", *columns)
         .hint("rebalance", F.col("model"), F.col("year"))
+        .sortWithinPartitions(*keys)
         .write.mode(mode)
         .partitionBy("model", "year")
         .option("partitionOverwriteMode", "dynamic")
+        .options(**LOOKUP_OPTIONS)
         .option("compression", "zstd")
         .option("parquet.compression.codec.zstd.level", "5")
         .parquet(path)
@@ -123,7 +136,7 @@ def save_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str)
         .bucketBy(buckets, key)
         .sortBy(key)
         .option("path", path)
-        .option("parquet.page.row.count.limit", "256")
+        .options(**{**LOOKUP_OPTIONS, f"parquet.bloom.filter.enabled#{key}": "true"})
         .saveAsTable(table)
     )
 

@@ -8,10 +8,12 @@ from ..functions.text import join_list
 from ..functions.vectors import is_valid_vector
 from ..operators.candidates import (
     embedding_backlog, filter_categories, filter_date_window, filter_valid_vectors, filter_year,
-    join_vectors, lookup_by_id, split_candidates,
+    join_vectors, lookup_by_id, lookup_listed, split_candidates,
 )
 from ..operators.reshape import embedding_inputs
+from ..session import scratch_path
 from ..sources.readers import metadata_view
+from ..sources.writers import write_vectors
 from .registry import query
 from .views import (
     coded_id, coded_id_sql, damaged, done, papers, prefs, table, vec_a, vec_b, with_views,
@@ -127,3 +129,22 @@ def lookup_vectors_by_id(spark, folder):
         "id", F.get("vec_a", F.lit(0)).cast("double").alias("head"),
         F.size("vec_a").cast("long").alias("dim"),
     )
+
+
+@query(with_views("vec_a", """
+SELECT id, CAST(vec_a[1] AS DOUBLE) AS head, len(vec_a) AS dim FROM vec_a
+WHERE id IN (SELECT CAST(l_suppkey * 3 AS VARCHAR) FROM lineitem WHERE l_orderkey < 100)"""), name="lookup_listed_vectors")
+def look_up_listed_ids(spark, folder):
+    """A bounded list of ids, looked up in stored files that are sorted by id and have Bloom filters."""
+    path = scratch_path(spark, "vectors")
+    c = F.col("vec_id").cast("string")
+    write_vectors(table(spark, folder, "embeddings").select(
+        F.lit("m").alias("model"), F.lit("2024").alias("year"), c.alias("paper_id"), "embedding", F.lit("t").alias("generated_at"),
+        F.size("embedding").alias("model_dim"), F.lit("s").alias("source"),
+    ), path)
+    wanted = table(spark, folder, "lineitem").where("l_orderkey < 100").select((F.col("l_suppkey") * 3).cast("string"))
+    found = lookup_listed(spark.read.parquet(path), [row[0] for row in wanted.distinct().collect()])
+    return found.select(
+        F.col("paper_id").alias("id"), F.get("embedding", F.lit(0)).cast("double").alias("head"),
+        F.size("embedding").cast("long").alias("dim"),
+    )

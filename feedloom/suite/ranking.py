@@ -10,8 +10,8 @@ from ..operators.ranking import (
 )
 from ..operators.reports import run_manifest
 from ..operators.sampling import adaptive_sample, sample_exact, score_tier
-from ..plans.recommend import RecommendParams, recommend
-from ..session import materialise
+from ..plans.recommend import RecommendParams, recommend, recommend_run
+from ..session import materialise, scratch_path
 from ..sources.readers import metadata_view
 from .candidates import NOW, joined
 from .registry import query
@@ -177,6 +177,24 @@ def recommend_end_to_end(spark, folder):
     return run(spark, folder).recommended.select("id", "title", "updated", "preference", "score", "show")
 
 
+@query(with_views("papers vec_a vec_b prefs done", """
+, joined AS (SELECT vec_a.id, vec_a.id IN (SELECT id FROM prefs) AS rated FROM papers JOIN vec_a ON paper_id = vec_a.id
+  JOIN vec_b ON vec_b.id = vec_a.id WHERE vec_a.id NOT IN (SELECT id FROM done)),
+counts AS (SELECT CAST(count_if(rated) AS BIGINT) AS preferred, CAST(count_if(NOT rated) AS BIGINT) AS background FROM joined)
+SELECT '20251231-000000' AS run_id, preferred, background, background AS scored, background AS recommended, background AS stored
+FROM counts"""), name="recommend_run")
+def run_ranking_twice(spark, folder):
+    """A stored run that shows all it scored, tried again after its end; counts of its manifest and of its tables."""
+    params = RecommendParams(start_year=2024, last_n_days=800, now=NOW, seed=SEED, include_all=True)
+    vectors = {"vec_a": vec_a(spark, folder), "vec_b": vec_b(spark, folder)}
+    meta, root = metadata_view(papers(spark, folder)), scratch_path(spark, "ranking-run")
+    for _ in range(2):
+        manifest = recommend_run(meta, vectors, prefs(spark, folder), done(spark, folder), params, root, NOW)
+    stored = spark.read.parquet(f"{root}/run_id=20251231-000000/recommended.parquet")
+    counts = ("run_id", "preferred", "background", "scored", "recommended")
+    return manifest.select(*counts).join(stored.agg(F.count("*").alias("stored")))
+
+
 DIM = 64
 EMBEDDED_SQL = f"""
 WITH words AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[ \\t\\n\\r\\f\\v]+')) AS word FROM documents),

@@ -1,5 +1,7 @@
 """Content extraction, prompts, parsing, rendering and merging."""
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from ..operators.reports import summary_manifest
@@ -8,7 +10,7 @@ from ..operators.summaries import (
     build_prompts, extract_content, json_in_key_order, merge_summaries, parse_model_output,
     plain_markdown, render_article, render_markdown, reply_content, stub_summary, summary_records, summary_sections,
 )
-from ..plans.summarise import StubModel, summarise
+from ..plans.summarise import StubModel, summarise, summarise_run
 from ..session import scratch_path
 from ..sources.writers import append_summaries
 from .registry import query
@@ -292,3 +294,17 @@ def render_articles(spark, folder):
         F.col("role").alias("method"), F.lit(None).cast("string").alias("experiment"), F.lit("x").alias("further_thoughts"),
     )
     return render_article(rows).select("conv_id", "turn", md5("markdown").alias("markdown_md5"))
+
+
+@query(f"""
+WITH {SOURCES_SQL}, best AS (SELECT * FROM sources ORDER BY length(abstract) DESC, paper_id LIMIT 60)
+SELECT '20250102-030405' AS run_id, count(*) AS total_sources, count(context) AS summarized,
+  CAST(count_if(context IS NULL) AS BIGINT) AS skipped, count(context) AS records, 'a' AS alias FROM best""", name="summarise_run")
+def run_summaries_twice(spark, folder):
+    """A whole run over the best sources, tried again after its end: its records are there once."""
+    rows = _sources(spark, folder).withColumns({"score": F.length("abstract").cast("double"), "categories": F.array("language")})
+    root, at = scratch_path(spark, "summary-run"), datetime(2025, 1, 2, 3, 4, 5)
+    for _ in range(2):
+        manifest = summarise_run(rows, StubModel, "m", "a", root, at, limit=60)
+    records = spark.read.json(f"{root}/summaries").agg(F.count("*").alias("records"))
+    return manifest.select("run_id", "total_sources", "summarized", "skipped", "alias").join(records)

@@ -15,11 +15,12 @@ from ..operators.sampling import random_id_batches
 from ..operators.vectors import (
     clean_vectors, dominant_dim, length_histogram, merge_vectors, vector_manifest,
 )
-from ..plans.ingest import upsert_metadata
-from ..plans.migrate import migrate_wide
+from ..plans.ingest import read_metadata_table, upsert_metadata
+from ..plans.migrate import LegacyInputs, migrate_all, migrate_wide
 from ..session import scratch_path
 from ..sources.readers import read_metadata, read_year_files
-from ..sources.writers import write_vectors
+from ..sources.staged import partitions
+from ..sources.writers import write_table, write_vectors
 from .registry import query
 from .views import (
     NOW_TEXT, damaged, day, day_sql, job_runs, papers, preference_months, table, vec_a, versions,
@@ -56,7 +57,7 @@ def upsert_into_table(spark, folder):
     upsert_metadata(rows.where(late), path)
     upsert_metadata(rows.where(~late), path)
     upsert_metadata(rows.where(~late), path)
-    return spark.read.parquet(path).select("paper_id", "updated_at", "year")
+    return read_metadata_table(spark, path).select("paper_id", "updated_at", "year")
 
 
 @query(with_views("versions", _pick_sql("paper_id", "year DESC, updated_at DESC, title DESC, seq DESC")), name="latest_snapshot")
@@ -179,6 +180,17 @@ def draw_id_batches(spark, folder):
     return random_id_batches(ids, 4, 32, 7)
 
 
+@query("""
+SELECT CAST(doc_id AS VARCHAR) AS paper_id, CAST(n AS INTEGER) AS batch FROM (
+  SELECT doc_id, n, row_number() OVER (PARTITION BY n ORDER BY
+    md5('8:' || CAST(n AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR))) AS place
+  FROM documents, range(100) AS batches(n)) WHERE place <= 50""")
+def hundred_id_batches(spark, folder):
+    """Every id comes twice; all batches are drawn in the same passes."""
+    ids = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("paper_id"))
+    return random_id_batches(ids.union(ids), 100, 50, 8)
+
+
 def wide(spark, folder):
     """A yearly record with both models' vectors as columns, for the ids that have vectors."""
     docs = table(spark, folder, "documents")
@@ -421,3 +433,64 @@ def migrate_wide_years(spark, folder):
             )
         )
     )
+
+
+@query(with_views("preference_months", EVENTS_SQL + f"""
+, wide AS (SELECT {day_sql('doc_id')}[1:4] AS year FROM documents),
+years AS (SELECT year, count(*) AS n FROM wide GROUP BY year),
+shares AS (SELECT year AS part, count(*) AS n FROM events GROUP BY year),
+lines AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN 'unknown' ELSE '2024-0' || CAST(1 + turn % 5 AS VARCHAR) END AS month,
+  conv_id % 10 = 9 AS bad FROM conversations),
+kept AS (SELECT month FROM lines WHERE NOT bad QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1),
+months AS (SELECT month, count(*) AS n FROM kept GROUP BY month),
+counts AS (
+  SELECT 'metadata' AS section, year AS key, n AS value, NULL AS note FROM years
+  UNION ALL SELECT 'metadata', 'total', CAST(sum(n) AS BIGINT), NULL FROM years
+  UNION ALL SELECT 'embeddings', m || '/' || year, n, NULL FROM years, (VALUES ('m1'), ('m2')) models(m)
+  UNION ALL SELECT 'metadata', f || '_files', count(*), NULL FROM years, (VALUES ('input'), ('output')) kinds(f) GROUP BY f
+  UNION ALL SELECT 'embeddings', 'output_files', count(*) * 2, NULL FROM years
+  UNION ALL SELECT 'preferences', 'rows', count(*), NULL FROM events
+  UNION ALL SELECT 'preferences', 'unique_ids', count(DISTINCT paper_id), NULL FROM events
+  UNION ALL SELECT 'preferences', 'skipped_rows', (SELECT count(*) FROM preference_months) - count(*), NULL FROM events
+  UNION ALL SELECT 'preferences', 'input_files', count(DISTINCT month), NULL FROM preference_months
+  UNION ALL SELECT 'preferences', 'output_files', count(*), NULL FROM shares
+  UNION ALL SELECT 'summaries', 'records', CAST(sum(n) AS BIGINT), NULL FROM months
+  UNION ALL SELECT 'summaries', 'input_files', 1, NULL FROM range(1)
+  UNION ALL SELECT 'summaries', 'output_files', count(*), NULL FROM months
+  UNION ALL SELECT 'validation', 'metadata-' || year, n, 'ok' FROM years
+  UNION ALL SELECT 'validation', 'embeddings-' || m || '-' || year, n, 'ok' FROM years, (VALUES ('m1'), ('m2')) models(m)
+  UNION ALL SELECT 'validation', 'preferences-' || part, n, 'ok' FROM shares
+  UNION ALL SELECT 'validation', 'summaries-' || month, n, 'ok' FROM months
+  UNION ALL SELECT 'warnings', 'embeddings-absent-' || year, 1, 'no vector column' FROM years
+  UNION ALL SELECT 'warnings', 'all.jsonl', count(*), 'records that are not JSON' FROM lines WHERE bad HAVING count(*) > 0
+  UNION ALL SELECT 'warnings', 'embeddings', count(*), 'rows without ' || c FROM documents, (VALUES ('embedding'), ('model_dim')) gaps(c)
+    WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) GROUP BY c HAVING count(*) > 0)
+SELECT section, key, CAST(CASE WHEN section = 'warnings' AND key = 'embeddings' THEN value * 2 ELSE value END AS BIGINT) AS value, note
+FROM counts"""))
+def migrate_everything(spark, folder):
+    """Wide years, preference months and summary lines through one migration; its report has the log, warnings and counts."""
+    root = scratch_path(spark, "migration")
+    rows = wide(spark, folder)
+    for year in ("2024", "2025"):
+        rows.where(F.col("year") == year).drop("year").write.parquet(f"{root}/in/{year}.parquet")
+    months = preference_months(spark, folder).withColumnRenamed("paper_id", "id").repartition("month")
+    write_table(months, f"{root}/by-month", fmt="csv", partition_by=["month"])
+    for part in partitions(spark, f"{root}/by-month", 1):
+        _rename_part(spark, f"{root}/by-month/{part}", f"{root}/months/{part.removeprefix('month=')}.csv")
+    turn = F.col("turn")
+    stamp = F.when(turn % 5 == 4, "").otherwise(F.concat(F.lit("2024-0"), (1 + turn % 5).cast("string"), F.lit("-02T00:00:00Z")))
+    record = F.to_json(F.struct(F.col("conv_id").cast("string").alias("id"), F.col("text").alias("summary"), stamp.alias("summary_time")))
+    lines = table(spark, folder, "conversations").orderBy("conv_id", "turn")
+    value = F.when(F.col("conv_id") % 10 == 9, "not JSON").otherwise(record)
+    lines.select(value.alias("value")).coalesce(1).write.text(f"{root}/lines")
+    _rename_part(spark, f"{root}/lines", f"{root}/summaries/all.jsonl")
+    inputs = LegacyInputs(f"{root}/in", f"{root}/months", [(f"{root}/summaries", "raw")], models=["m1", "m2", "absent"])
+    return migrate_all(spark, inputs, f"{root}/out", NOW_TEXT).report
+
+
+def _rename_part(spark, folder, path):
+    """The only part file of a folder under a name of its own."""
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    files = jvm.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(jvm.Path(path).getParent())
+    files.rename(files.globStatus(jvm.Path(f"{folder}/part-*"))[0].getPath(), jvm.Path(path))

@@ -1,19 +1,22 @@
 """Whole runs: ranking, embedding, summaries, streaming."""
 
+import glob
 import json
+import os
 import sys
+import time
 from dataclasses import replace
 from datetime import datetime
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from conftest import rows
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from feedloom.operators import candidates as candidate_ops
 from feedloom.operators import inference
-from feedloom.operators.candidates import join_vectors, lookup_by_id
+from feedloom.operators.candidates import join_vectors, lookup_by_id, lookup_listed
 from feedloom.operators.inference import HashingEmbedder, dimension_report, embed_texts, run_model
 from feedloom.operators.ranking import fit_ranker, score, score_with_weights, training_set
 from feedloom.operators.reports import run_manifest, summary_manifest
@@ -23,11 +26,14 @@ from feedloom.operators.summaries import (
 )
 from feedloom.plans.embed import embed_missing, pending_inputs
 from feedloom.plans.recommend import RecommendParams, candidates, recommend
+from feedloom.plans.ingest import read_metadata_table
 from feedloom.plans.summarise import StubModel, summarise
-from feedloom.sources.writers import save_bucketed, write_run
+from feedloom.sources.versions import Versions, newest, stored_rows
+from feedloom.sources.writers import save_bucketed, write_run, write_vectors
+from feedloom.streaming import jobs
 from feedloom.streaming.jobs import (
-    latest_state, stream_backlog, stream_feedback, stream_job_metrics, stream_preference_counts,
-    stream_upsert,
+    feedback_state, latest_state, preference_windows, stream_backlog, stream_feedback, stream_job_metrics,
+    stream_preference_counts, stream_upsert,
 )
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the workers cannot import tests
@@ -105,21 +111,75 @@ def test_bucketed_tables_join_without_shuffle(spark, feed, folder):
             spark.sql(f"DROP TABLE IF EXISTS bucketed_{name}")
 
 
-def test_small_lookups_filter_the_scan(spark, folder, monkeypatch):
+def test_listed_ids_filter_the_scan(spark, folder):
     df = spark.range(2000).select(F.col("id").cast("string").alias("id"), F.array(F.col("id").cast("float")).alias("v"))
     save_bucketed(df, "bucketed_lookup", "id", 16, f"{folder}/t")
     try:
         stored, ids = spark.table("bucketed_lookup"), spark.createDataFrame([("7",), ("7",), (None,), ("x",)], "id string")
-        found = lookup_by_id(stored, ids, "id")
+        found = lookup_listed(stored, ["7", "x", None, "7"], "id")
         assert rows(found) == [("7", [7.0])]
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and "PushedFilters: [In(id, [7,x])]" in plan
-        monkeypatch.setattr(candidate_ops, "LITERAL_IDS", 1)
         assert rows(lookup_by_id(stored, ids, "id")) == [("7", [7.0])]
+        assert rows(lookup_listed(stored, [], "id")) == []
     finally:
         spark.sql("DROP TABLE IF EXISTS bucketed_lookup")
 
 
+def test_stored_vectors_are_sorted_and_have_bloom_filters(spark, folder):
+    items = [("m", "2024", f"p{i * 7919 % 5000:05d}", [float(i)], "t", 1, "s") for i in range(3000)]
+    df = spark.createDataFrame(items, "model string, year string, paper_id string, embedding array<float>, generated_at string, model_dim int, source string")
+    write_vectors(df.repartition(8), folder)
+    files = glob.glob(f"{folder}/model=m/year=2024/*.parquet")
+    for name in files:
+        ids = pq.read_table(name, columns=["paper_id"]).column(0).to_pylist()
+        assert ids == sorted(ids)
+        # The filter's place in the file is not zero; ids of random order would be told apart by it alone.
+        column = pq.ParquetFile(name).metadata.row_group(0).column(0)
+        assert column.path_in_schema == "paper_id" and os.path.getsize(name) > column.total_compressed_size
+    # A query for an absent id inside the range of every row group reads no row of them.
+    spark.conf.set("spark.sql.parquet.filterPushdown", "true")
+    found = lookup_listed(spark.read.parquet(folder), ["p00001x"])
+    assert found.collect() == []
+    metrics = found._jdf.queryExecution().executedPlan().collectLeaves().head().metrics()
+    assert metrics.apply("numOutputRows").value() == 0
+    assert lookup_listed(spark.read.parquet(folder), ["p00007"]).count() <= 1
+
+
+def test_one_model_per_worker(spark, folder):
+    before = glob.glob(f"{folder}/*")
+    df = spark.range(200).select(F.col("id").cast("string").alias("text")).repartition(50)
+    got = embed_texts(df, Recording(folder), batch_size=3, rebalance=False)
+    assert got.count() == 200 and embed_texts(df, Recording(folder), rebalance=False).count() == 200
+    made = [name for name in glob.glob(f"{folder}/*") if name not in before]
+    workers = {name.rsplit("/", 1)[1].split("-")[0] for name in made}
+    assert 1 <= len(made) == len(workers) <= 8  # 100 tasks
+
+
+def test_models_make_room_for_each_other():
+    closed = []
+
+    class Model:
+        def __init__(self, name):
+            self.name = name
+
+        def run(self, texts):
+            return texts
+
+        def close(self):
+            closed.append(self.name)
+
+    sys.modules.pop("_feedloom_backends", None)
+    try:
+        first = inference.worker_backend("a", lambda: Model("a"), 2)
+        inference.worker_backend("b", lambda: Model("b"), 2)
+        assert inference.worker_backend("a", lambda: Model("other"), 2) is first
+        inference.worker_backend("c", lambda: Model("c"), 2)
+        assert closed == ["b"]
+    finally:
+        sys.modules.pop("_feedloom_backends", None)
+
+
 def test_candidates_shuffle_each_table_once(spark, feed):
     meta, vectors, _ = feed
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
@@ -178,6 +238,17 @@ def test_model_equals_an_independent_solver(spark):
     assert all(by_model[i] == pytest.approx(by_weights[i], abs=1e-9) for i in by_model)
 
 
+class Recording:
+    """A factory whose models leave a file named by their process."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def __call__(self):
+        open(f"{self.folder}/{os.getpid()}-{time.time_ns()}", "w").close()
+        return HashingEmbedder(4)
+
+
 class Counting:
     """Reports the size of each batch it gets."""
 
@@ -383,7 +454,8 @@ def test_streamed_metrics_follow_new_runs(spark, folder):
     stream_job_metrics(stream(), f"{folder}/out", f"{folder}/c").awaitTermination()
     got = rows(latest_state(spark, f"{folder}/out", "job"), "job", "total_runs", "last_error")
     assert got == [("j", 2, "boom"), ("k", 1, "e")]
-    assert spark.read.parquet(f"{folder}/out").where("version = 1").count() == 1
+    table = Versions(f"{folder}/out", newest(["job"]))
+    assert stored_rows(spark, table).where("_batch = 1").count() == 1
 
 
 def test_streamed_upsert_can_be_replayed(spark, folder):
@@ -392,7 +464,7 @@ def test_streamed_upsert_can_be_replayed(spark, folder):
     landing(spark, folder, "in", spark.createDataFrame([("a", "2023-01-01", "2", "new")], schema))
     for checkpoint in ("c1", "c2"):
         stream_upsert(stream(), f"{folder}/out", f"{folder}/{checkpoint}").awaitTermination()
-        assert rows(spark.read.parquet(f"{folder}/out"), "paper_id", "title") == [("a", "new"), ("b", "x")]
+        assert rows(read_metadata_table(spark, f"{folder}/out"), "paper_id", "title") == [("a", "new"), ("b", "x")]
 
 
 def test_streamed_backlog_adds_only_missing_vectors(spark, folder):
@@ -414,18 +486,59 @@ def test_streamed_feedback_counts_an_event_once(spark, folder):
     stream_feedback(stream(), f"{folder}/out", f"{folder}/c").awaitTermination()
     landing(spark, folder, "in", df)
     stream_feedback(stream(), f"{folder}/out", f"{folder}/c").awaitTermination()
-    got = rows(latest_state(spark, f"{folder}/out", "thread"), "thread", "likes", "dislikes", "preference")
+    got = rows(feedback_state(spark, f"{folder}/out"), "thread", "likes", "dislikes", "preference")
     assert got == [("s", 1, 0, "like"), ("t", 1, 1, "dislike")]
 
 
-def test_streamed_counts_report_late_events(spark, folder):
+def test_late_feedback_counts_without_state(spark, folder):
+    def reactions(*items):
+        df = spark.createDataFrame(list(items), "thread string, content string, updated_at string, event_id int")
+        return df.withColumn("updated_at", F.col("updated_at").cast("timestamp"))
+
+    stream = landing(spark, folder, "in", reactions(("t", "THUMBS_UP", "2024-01-01 00:00:00", 1), ("t", "EYES", "2024-03-01 00:00:00", 2)))
+    stream_feedback(stream(), f"{folder}/out", f"{folder}/c").awaitTermination()
+    # Months late: one that counted, one that did not, one without a time, and two without an id.
+    landing(spark, folder, "in", reactions(
+        ("t", "THUMBS_UP", "2024-01-01 00:00:00", 1), ("t", "THUMBS_UP", "2024-01-01 00:00:00", 3), ("t", "THUMBS_UP", None, 4),
+        ("s", "THUMBS_DOWN", "2024-01-01 00:00:00", None), ("s", "THUMBS_DOWN", "2024-01-01 00:00:00", None)))
+    for _ in range(2):
+        query = stream_feedback(stream(), f"{folder}/out", f"{folder}/c")
+        query.awaitTermination()
+        assert all(not progress["stateOperators"] for progress in query.recentProgress)
+        landing(spark, folder, "in", reactions(("t", "THUMBS_UP", None, 4)))
+    got = rows(feedback_state(spark, f"{folder}/out"), "thread", "likes", "dislikes", "preference")
+    assert got == [("s", 0, 2, "dislike"), ("t", 3, 0, "like")]
+
+
+def test_streamed_feedback_survives_a_batch_that_got_halfway(spark, folder, monkeypatch):
+    df = spark.createDataFrame([("t", "THUMBS_UP", "2024-01-01", 1), ("t", "THUMBS_UP", "2024-01-02", 2)], "thread string, content string, updated_at string, event_id int")
+    stream = landing(spark, folder, "in", df.withColumn("updated_at", F.col("updated_at").cast("timestamp")))
+    write, calls = jobs.append_version, []
+
+    def fails_once(rows, table, batch):
+        calls.append(table.path)
+        if len(calls) == 2:
+            raise OSError("lost between events and counts")
+        return write(rows, table, batch)
+
+    monkeypatch.setattr(jobs, "append_version", fails_once)
+    with pytest.raises(Exception, match="lost"):
+        stream_feedback(stream(), f"{folder}/out", f"{folder}/c").awaitTermination()
+    stream_feedback(stream(), f"{folder}/out", f"{folder}/c").awaitTermination()
+    assert len(calls) == 4 and rows(feedback_state(spark, f"{folder}/out"), "thread", "likes") == [("t", 2)]
+
+
+def test_late_events_are_counted_apart(spark, folder):
     def events(*items):
         df = spark.createDataFrame(list(items), "recorded_at string, preference string")
         return df.withColumn("recorded_at", F.col("recorded_at").cast("timestamp"))
 
     stream = landing(spark, folder, "in", events(("2024-01-01 10:00:00", "like"), ("2024-01-09 00:00:00", "like")))
     stream_preference_counts(stream(), f"{folder}/out", f"{folder}/c").awaitTermination()
-    landing(spark, folder, "in", events(("2024-01-01 11:00:00", "like"), ("2024-01-09 01:00:00", "like")))
+    landing(spark, folder, "in", events(("2024-01-01 11:00:00", "like"), ("2024-01-08 00:00:00", "like"), ("2024-01-09 01:00:00", "like")))
     stream_preference_counts(stream(), f"{folder}/out", f"{folder}/c").awaitTermination()
-    got = rows(latest_state(spark, f"{folder}/out", "slot"), "window_start", "n")
-    assert got == [("2024-01-01 00:00:00", 2), ("2024-01-09 00:00:00", 2)]
+    in_time, late = preference_windows(spark, f"{folder}/out")
+    assert rows(in_time, "window_start", "n") == [("2024-01-01 00:00:00", 1), ("2024-01-08 00:00:00", 1), ("2024-01-09 00:00:00", 2)]
+    assert rows(late, "window_start", "n") == [("2024-01-01 00:00:00", 1)]
+    with pytest.raises(Exception, match="another checkpoint"):
+        stream_preference_counts(stream(), f"{folder}/out", f"{folder}/c2").awaitTermination()

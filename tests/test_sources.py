@@ -8,7 +8,7 @@ from conftest import rows
 
 from feedloom.operators.summaries import normalise_summaries
 from feedloom.plans.feedback import update_preferences
-from feedloom.plans.ingest import harvest, upsert_metadata
+from feedloom.plans.ingest import harvest, read_metadata_table, upsert_metadata
 from feedloom.plans.migrate import migrate_preferences, migrate_summaries, migrate_wide
 from feedloom.sources import readers
 from feedloom.streaming.jobs import file_stream
@@ -54,7 +54,7 @@ def test_harvest_records(spark, folder):
     assert first["comment"] == "10 pages" and first["journal_ref"] == "J 1" and first["doi"] == ""
     assert harvest(spark, [f"{folder}/a"], limit=1).count() == 1
     upsert_metadata(got, f"{folder}/table")
-    assert rows(spark.read.parquet(f"{folder}/table"), "paper_id", "year") == [("2302.11801", 2023), ("2302.11803", 2023)]
+    assert rows(read_metadata_table(spark, f"{folder}/table"), "paper_id", "year") == [("2302.11801", 2023), ("2302.11803", 2023)]
 
 
 def test_license_attribute(spark, folder):
