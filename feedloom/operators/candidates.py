@@ -62,7 +62,7 @@ def join_vectors(
     if not unique_meta:
         rows = keep_latest_any(rows, "id", ["updated"])
     for alias, table in vectors.items():
-        rows = rows.join(keep_latest_any(table, "id", [alias]), "id")
+        rows = rows.join(keep_latest_any(table, "id"), "id")
     return rows
 
 
@@ -105,14 +105,15 @@ def id_set(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def embedding_backlog(inputs: DataFrame, existing: DataFrame) -> DataFrame:
-    """Inputs that have no stored vector for their (year, id), one per id.
+    """Inputs that have no stored vector for their (year, id), one per id: of the first year, with the first text.
 
-    Copies of an input are dropped before the join: they would all meet the same stored vector, and
-    a much copied id would otherwise land in one join task.
+    What is missing is found on ids and years alone, each pair once, so a much copied id is one row of that join. Texts are
+    shuffled once, for the ids that are missing.
     """
-    distinct = keep_first(drop_blank_ids(inputs), ["paper_id", "year"], ["text"])
-    missing = distinct.join(id_set(existing, "year", "paper_id"), ["year", "paper_id"], "left_anti")
-    return keep_first(missing, "paper_id", ["year", "text"])
+    rows = drop_blank_ids(inputs)
+    missing = id_set(rows, "paper_id", "year").join(id_set(existing, "year", "paper_id"), ["year", "paper_id"], "left_anti")
+    first = missing.groupBy("paper_id").agg(F.min("year").alias("year"))
+    return keep_first(rows.join(first, ["paper_id", "year"], "left_semi"), "paper_id", ["text"])
 
 
 def lookup_by_id(vectors: DataFrame, ids: DataFrame, key: str = "paper_id") -> DataFrame:

@@ -32,14 +32,16 @@ def keep_last(df: DataFrame, key, order: Sequence[str]) -> DataFrame:
     return _keep_one(df, _names(key), [F.col(c).desc_nulls_last() for c in order])
 
 
-def keep_latest_any(df: DataFrame, key, order: Sequence[str]) -> DataFrame:
-    """Keep-any deduplication with a fixed choice: the greatest by `order`, then by all columns.
+def keep_latest_any(df: DataFrame, key, order: Sequence[str] = ()) -> DataFrame:
+    """Keep-any deduplication with a fixed choice: the greatest by `order`, then by a hash of the other columns.
 
-    A free choice would differ between runs and after a retry.
+    A free choice would differ between runs and after a retry. The hash has 128 bits, so neither texts nor vectors are
+    ordering keys; rows that are equal in it are equal.
     """
     keys = _names(key)
-    rest = [c for c in df.columns if c not in keys and c not in order]
-    return keep_last(df, keys, [*order, *rest])
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in keys and c not in order]
+    ties = {f"_tie_{i}": F.xxhash64(F.lit(i), *rest) for i in range(2)}
+    return keep_last(df.withColumns(ties), keys, [*order, *ties]).drop(*ties)
 
 
 def upsert_latest(

@@ -34,6 +34,27 @@ def label_threads(threads: DataFrame) -> DataFrame:
     ).where(F.col("arxiv_id").isNotNull())
 
 
+def label_paged_threads(pages: DataFrame) -> DataFrame:
+    """One label per thread whose reactions come in pages: rows of a thread with a part of its reactions each.
+
+    Votes are counted within each page and added up, so no list grows with the reactions of a thread.
+    """
+    def votes(content: str) -> Column:
+        return F.size(F.filter("reactions", lambda r: r["content"] == content)).cast("long")
+
+    sums = (
+        pages.select(
+            extract_id(F.col("title")).alias("arxiv_id"), F.col("number").alias("discussion_id"), votes(UP).alias("likes"),
+            votes(DOWN).alias("dislikes"), "updated_at", "url",
+        )
+        .where(F.col("arxiv_id").isNotNull())
+        .groupBy("arxiv_id", "discussion_id")
+        .agg(F.sum("likes").alias("likes"), F.sum("dislikes").alias("dislikes"), F.max("updated_at").alias("updated_at"), F.max("url").alias("url"))
+    )
+    label = reaction_label(F.col("likes"), F.col("dislikes")).alias("preference")
+    return sums.select("arxiv_id", "discussion_id", label, "updated_at", "url")
+
+
 def feedback_labels(reactions: DataFrame, thread: str = "thread") -> DataFrame:
     """One label per thread from a long table of reactions (thread, content)."""
     counts = reaction_counts(reactions, thread)

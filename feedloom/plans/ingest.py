@@ -21,8 +21,9 @@ from ..sources.writers import write_metadata
 
 log = logging.getLogger(__name__)
 
-#: Parts of a year's metadata by hash of the id: a lookup reads one, a year is written by as many tasks.
-BUCKETS = 8
+#: Parts of a year's metadata by hash of the id; a lookup reads one. Each batch has a file for each part it touches, so more
+#: of them are for tables whose batches are large.
+BUCKETS = 4
 
 
 def harvest(spark: SparkSession, folders: Sequence[str], limit: int | None = None) -> DataFrame:
@@ -46,27 +47,28 @@ def metadata_versions(path: str) -> Versions:
 
     Rows lie by year and hash of the id. Where even the batch is the same, a hash of the row decides.
     """
-    keys = ["year", "paper_id"]
-    ties = newest(keys, ["updated_at", BATCH, "_tie"])
+    ties = newest(["year", "paper_id"], ["updated_at", BATCH, "_tie"])
 
     def merge(rows: DataFrame) -> DataFrame:
-        bucket = F.pmod(F.xxhash64("paper_id"), F.lit(BUCKETS)).cast("int")
-        tie = F.xxhash64(*schemas.METADATA_COLUMNS)
-        return ties(rows.withColumns({"bucket": bucket, "_tie": tie})).drop("_tie")
+        return ties(_in_buckets(rows).withColumn("_tie", F.xxhash64(*schemas.METADATA_COLUMNS))).drop("_tie")
 
     return Versions(path, merge, ("year", "bucket"), schemas.METADATA_RUNS)
 
 
+def _in_buckets(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("paper_id"), F.lit(BUCKETS)).cast("int"))
+
+
 def upsert_metadata(records: DataFrame, path: str) -> DataFrame:
     """Merge records into the table at `path`; returns the rows without a publication year.
 
-    A batch is written as it is and merged by the readers (`read_metadata_table`), so its cost is that of its own rows;
-    what is stored is neither read nor rewritten until a compaction. Running the same batch again changes nothing.
+    A batch is written as it is and merged by the readers (`read_metadata_table`), so its cost is that of its own rows:
+    nothing is ranked, and what is stored is neither read nor rewritten until a compaction. Running the same batch again
+    changes nothing.
     """
     table = metadata_versions(path)
     accepted, rejected = split_by_year(normalise_schema(records))
-    latest = table.merge(accepted.withColumn(BATCH, F.lit(0).cast("long")))
-    append_version(latest.drop(BATCH), table)
+    append_version(_in_buckets(accepted), table)
     compact(records.sparkSession, table)
     return rejected
 

@@ -22,7 +22,7 @@ from ..sources.readers import (
     parse_summaries, read_preference_months, read_summaries, read_year_files, year_files,
 )
 from ..sources.staged import Staged, discard, publish, stage
-from ..sources.writers import write_metadata, write_preference_events, write_table, write_vectors
+from ..sources.writers import write_metadata, write_table, write_vectors
 
 log = logging.getLogger(__name__)
 
@@ -58,15 +58,29 @@ def migrate_wide(
 
 
 def migrate_preferences(
-    months: DataFrame, root: str, generated_at: str, dry_run: bool = False
+    months: DataFrame, root: str, generated_at: str, dry_run: bool = False, force: bool = False
 ) -> DataFrame:
-    """Monthly preference rows into yearly event files; returns the events."""
+    """Monthly preference rows into yearly event files, sorted by id and time; returns the events.
+
+    A year that is stored already stays as it is, as these months may be only some of it; `force` replaces it.
+    """
     events = preference_events(months, generated_at)
     if not dry_run:
-        write_preference_events(events, f"{root}/preferences")
+        aside = f"{root}/_aside/{uuid.uuid4().hex}"
+        _, skipped = publish(months.sparkSession, _stage_events(events, aside, root), force)
+        discard(months.sparkSession, aside)
+        for part in skipped:
+            log.warning("preferences of %s exist already and are left as they are", part)
     return events
 
 
+def _stage_events(events: DataFrame, aside: str, root: str) -> Staged:
+    return stage(
+        events.select("year", *schemas.PREFERENCE_COLUMNS), "preferences", aside, f"{root}/preferences",
+        schemas.PREFERENCE_COLUMNS, fmt="csv", partition_by=["year"], sort_by=["paper_id", "recorded_at"],
+    )
+
+
 def migrate_summaries(merged: DataFrame, root: str, dry_run: bool = False) -> DataFrame:
     """Merged summaries into JSON lines by month, sorted by id; returns them.
 
@@ -217,11 +231,7 @@ def _noted(df: DataFrame, section: str) -> DataFrame:
 
 def _stage_preferences(spark, path: str, root: str, aside: str, generated_at: str):
     months = materialise(read_preference_months(spark, path), "preference-months")
-    events = preference_events(months, generated_at).select("year", *schemas.PREFERENCE_COLUMNS)
-    staged = stage(
-        events, "preferences", aside, f"{root}/preferences", schemas.PREFERENCE_COLUMNS, fmt="csv",
-        partition_by=["year"], sort_by=["paper_id", "recorded_at"],
-    )
+    staged = _stage_events(preference_events(months, generated_at), aside, root)
     checks = _checked(spark, staged, {f"preferences-{y}": n for (y,), n in _counts(spark, staged).items()}, True)
     stats = preference_stats(months).crossJoin(months.agg(F.count_distinct("month").alias("input_files")))
     return [staged], _noted(spread(stats), "preferences").unionByName(spark.createDataFrame(checks, REPORT))

@@ -113,12 +113,12 @@ def recommend(
     window = filter_date_window(
         background, params.start_date, params.end_date, params.last_n_days, params.now
     )
-    scores = materialise(
-        score(model, stack_features(window, aliases)).drop("features"), "scores"
-    )
-    scored = adaptive_sample(
+    # Only ids and scores are stored again; texts and vectors join them where they are wanted.
+    scores = materialise(score(model, stack_features(window, aliases)).select("id", "score"), "scores")
+    shown = adaptive_sample(
         scores, params.sample_rate, params.high, params.boundary, params.seed, params.include_all
     )
+    scored = window.join(shown, "id")
     return RecommendRun(
         preferred, background, scored, scored.where(F.col("show") == 1).drop(*aliases), rejected,
         model,

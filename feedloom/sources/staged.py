@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .writers import CSV_WRITE_OPTIONS, path_exists
+from .writers import CSV_WRITE_OPTIONS, partitions, path_exists
 
 
 @dataclass(frozen=True)
@@ -65,17 +65,6 @@ def stage(
     return Staged(name, path, final, fmt, tuple(partition_by), found["rows"], gaps, missing)
 
 
-def partitions(spark: SparkSession, path: str, depth: int) -> list[str]:
-    """Partition folders below `path`, as paths relative to it; one for each partition value."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not depth:
-        return [""]
-    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/" + "/".join(["*=*"] * depth))
-    found = [str(s.getPath().toString()) for s in files.globStatus(pattern) or [] if s.isDirectory()]
-    return sorted("/".join(name.rsplit("/", depth)[1:]) for name in found)
-
-
 def publish(spark: SparkSession, staged: Staged, force: bool = False) -> tuple[list[str], list[str]]:
     """Move the staged partitions to their place; returns (published, skipped) paths relative to the target.
 

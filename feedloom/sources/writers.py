@@ -1,9 +1,11 @@
 """Writers. One guard decides whether anything is written at all."""
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from ..operators.dedup import keep_first
@@ -21,6 +23,7 @@ CSV_WRITE_OPTIONS = {
 }
 
 
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 # Short pages, as a row holds a whole vector, and a Bloom filter of the ids in each row group.
 LOOKUP_OPTIONS = {"parquet.page.row.count.limit": "256", "parquet.bloom.filter.enabled#paper_id": "true"}
 
@@ -30,6 +33,17 @@ def path_exists(spark, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def partitions(spark: SparkSession, path: str, depth: int) -> list[str]:
+    """Partition folders below `path`, as paths relative to it; one for each partition value."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not depth:
+        return [""]
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/" + "/".join(["*=*"] * depth))
+    found = [str(s.getPath().toString()) for s in files.globStatus(pattern) or [] if s.isDirectory()]
+    return sorted("/".join(name.rsplit("/", depth)[1:]) for name in found)
+
+
 def write_table(
     df: DataFrame,
     path: str,
@@ -49,8 +63,11 @@ def write_table(
         return
     mode = "overwrite" if overwrite else "ignore"
     if partition_by and not overwrite and path_exists(df.sparkSession, path):
-        stored = df.sparkSession.read.format(fmt).option("header", True).load(path)
-        stored = stored.select(*[F.col(c).cast("string") for c in partition_by]).distinct()
+        # Folder names as they are: reading the table would take a partition "01" for the number 1.
+        names = partitions(df.sparkSession, path, len(partition_by))
+        values = [[unquote(part.split("=", 1)[1]) for part in name.split("/")] for name in names]
+        values = [[None if v == NO_VALUE else v for v in row] for row in values]
+        stored = df.sparkSession.createDataFrame(values, T.StructType([T.StructField(c, T.StringType()) for c in partition_by]))
         same = [df[c].cast("string").eqNullSafe(stored[c]) for c in partition_by]
         df, mode = df.join(stored, same, "left_anti"), "append"
     if partition_by:
@@ -147,18 +164,6 @@ def write_run(scored: DataFrame, recommended: DataFrame, root: str, run_id: str)
     write_table(recommended, f"{root}/run_id={run_id}/recommended.parquet", overwrite=True)
 
 
-def write_preference_events(df: DataFrame, path: str) -> None:
-    """Preference events as CSV by year, sorted by id and time within each file."""
-    write_table(
-        df.select("year", *schemas.PREFERENCE_COLUMNS),
-        path,
-        fmt="csv",
-        overwrite=True,
-        partition_by=["year"],
-        sort_by=["paper_id", "recorded_at"],
-    )
-
-
 def append_summaries(df: DataFrame, path: str) -> None:
     """Append summary records as JSON lines below their month."""
     df.write.mode("append").partitionBy("month").json(path)

@@ -3,11 +3,12 @@
 from pyspark.sql import functions as F
 
 from ..operators.feedback import (
-    apply_feedback, feedback_labels, label_threads, publish_flags, recent_threads,
+    apply_feedback, feedback_labels, label_paged_threads, publish_flags, recent_threads,
 )
 from .registry import query
 from .views import done, papers, prefs, reactions, with_views
 
+PAGE = 1000
 LABEL_SQL = """CASE WHEN count_if(content = 'THUMBS_UP') > count_if(content = 'THUMBS_DOWN') THEN 'like'
   WHEN count_if(content = 'THUMBS_DOWN') > 0 THEN 'dislike' ELSE 'neutral' END"""
 
@@ -20,23 +21,17 @@ def label_feedback(spark, folder):
 
 
 @query(with_views("reactions", f"""
-, latest AS (SELECT thread FROM reactions GROUP BY thread ORDER BY max(updated_at) DESC, thread LIMIT 100),
-shown AS (SELECT * FROM reactions WHERE thread IN (SELECT thread FROM latest)
-  QUALIFY row_number() OVER (PARTITION BY thread ORDER BY updated_at, seq) <= 100)
 SELECT CAST(thread AS VARCHAR) || '.' || CAST(thread AS VARCHAR) AS arxiv_id, CAST(thread AS INTEGER) AS discussion_id,
-  {LABEL_SQL} AS preference FROM shown WHERE thread % 4 <> 0 GROUP BY thread"""))
+  {LABEL_SQL} AS preference FROM reactions WHERE thread % 4 <> 0 GROUP BY thread"""))
 def label_nested_threads(spark, folder):
-    """Threads with their reactions nested, as a discussion query returns them.
-
-    Such a query returns at most 100 reactions per thread, which bounds the nested list.
-    """
+    """All threads with all their reactions nested, in pages as a discussion query returns them."""
     number = F.col("thread").cast("string")
     title = F.when(F.col("thread") % 4 == 0, F.lit("no id")).otherwise(
         F.concat(F.lit("On arXiv:"), number, F.lit("."), number)
     )
-    nested = (
-        recent_threads(reactions(spark, folder))
-        .groupBy("thread")
+    pages = (
+        reactions(spark, folder)
+        .groupBy("thread", F.floor(F.col("seq") / PAGE).alias("page"))
         .agg(
             F.collect_list(F.struct("content")).alias("reactions"),
             F.max("updated_at").cast("string").alias("updated_at"),
@@ -46,7 +41,7 @@ def label_nested_threads(spark, folder):
             "updated_at", F.lit("http://example.org").alias("url"),
         )
     )
-    return label_threads(nested).select("arxiv_id", "discussion_id", "preference")
+    return label_paged_threads(pages).select("arxiv_id", "discussion_id", "preference")
 
 
 @query(with_views("reactions", """

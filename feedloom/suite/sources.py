@@ -13,7 +13,8 @@ from ..sources.readers import (
     list_files, load_shortlist, metadata_view, parse_harvest, read_harvest_xml, read_metadata,
     read_preferences, read_summary_ids, read_vectors,
 )
-from ..sources.writers import write_metadata, write_run, write_table
+from ..plans.vectors import clean_stored_vectors
+from ..sources.writers import write_metadata, write_run, write_table, write_vectors
 from .. import schemas
 from .registry import query
 from .views import day, day_sql, done, papers, prefs, strip_sql, table, vec_a, with_views
@@ -172,13 +173,44 @@ def load_summary_shortlist(spark, folder):
     )
 
 
-@query(name="file_manifest")
+@query("""
+SELECT count(DISTINCT (lang, source)) AS files, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents
+WHERE lang <> 'de' AND source NOT LIKE 'src1%'""", name="file_manifest")
 def list_and_exclude_files(spark, folder):
-    """Count and size of the table files, labels left out. The listing depends on the folder."""
-    files = exclude_globs(list_files(spark, folder), ["labels*", "*.log"])
+    """Texts written to a file per language and source; count and size of the files that no pattern leaves out."""
+    path = scratch_path(spark, "files")
+    rows = table(spark, folder, "documents").select(
+        "lang", "source", F.translate(F.coalesce("text", F.lit("")), "\r\n", "  ").alias("value")
+    )
+    rows.repartition("lang", "source").write.partitionBy("lang", "source").text(path)
+    files = exclude_globs(list_files(spark, path), ["*/lang=de/*", "*/source=src1*", "_SUCCESS", "*.crc"])
     return file_manifest(files)
 
 
+@query("""
+WITH rows AS (SELECT CASE WHEN vec_id % 2 = 0 THEN '2024' ELSE '2025' END AS year, vec_id, label FROM embeddings)
+SELECT 'report' AS part, year, CASE WHEN label = 9 THEN 16 ELSE 64 END AS dim, count(*) AS rows, label <> 9 AS kept FROM rows GROUP BY ALL
+UNION ALL SELECT 'stored', year, 64, count(*), true FROM rows WHERE label <> 9 GROUP BY year
+UNION ALL SELECT 'manifest', year, 64, count(*), true FROM rows WHERE label <> 9 GROUP BY GROUPING SETS ((year), ())""", name="clean_stored_vectors")
+def clean_vector_folder(spark, folder):
+    """Stored vectors of two lengths, cleaned into another folder with a manifest."""
+    path, out = scratch_path(spark, "vectors"), scratch_path(spark, "cleaned")
+    vector = F.when(F.col("label") == 9, F.slice("embedding", 1, 16)).otherwise(F.col("embedding"))
+    rows = table(spark, folder, "embeddings").select(
+        F.lit("m").alias("model"), F.when(F.col("vec_id") % 2 == 0, "2024").otherwise("2025").alias("year"),
+        F.col("vec_id").cast("string").alias("paper_id"), vector.alias("embedding"), F.lit("t").alias("generated_at"),
+        F.size(vector).alias("model_dim"), F.lit("s").alias("source"),
+    )
+    write_vectors(rows, path)
+    report = clean_stored_vectors(spark, path, "m", out).select(F.lit("report").alias("part"), "year", "dim", "rows", "kept")
+    stored = spark.read.schema(schemas.VECTOR_TABLE).parquet(out).groupBy("year", F.size("embedding").alias("dim")).agg(F.count("*").alias("rows"))
+    manifest = spark.read.schema("model string, year string, rows long, dimension int").json(f"{out}/_manifest/m")
+    manifest = manifest.select(F.nullif("year", F.lit("total")).alias("year"), F.col("dimension").alias("dim"), "rows")
+    for name, part in (("stored", stored), ("manifest", manifest)):
+        report = report.unionByName(part.withColumns({"part": F.lit(name), "kept": F.lit(True)}))
+    return report
+
+
 @query("""
 SELECT '20240202-000000' AS run_id, 'recommended.parquet' AS file, count(*) AS rows FROM embeddings""", name="latest_run")
 def find_latest_run(spark, folder):

@@ -1,5 +1,6 @@
 """Exact-size samples against a plain sort of all rows."""
 
+import hashlib
 import math
 
 import pytest
@@ -100,3 +101,19 @@ def test_random_id_batches(spark):
     assert rows(random_id_batches(df.union(df), 3, 40, 9)) == small
     per_batch = [{i for b, i in small if b == n} for n in range(3)]
     assert [len(s) for s in per_batch] == [40, 40, 40] and len(set.union(*per_batch)) > 80
+
+
+def test_batches_of_any_number_are_the_smallest_ranks(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "SORT_LIMIT", 20)
+    monkeypatch.setattr(sampling, "CELLS", 300)
+    df = spark.range(500).select(F.col("id").cast("string").alias("paper_id"))
+    ids = [str(i) for i in range(500)]
+    got = {}
+    for r in random_id_batches(df.union(df), 7, 33, 5).collect():
+        got.setdefault(r["batch"], []).append(r["paper_id"])
+    for n in range(7):
+        want = sorted(ids, key=lambda i: (hashlib.md5(f"5:{n}:{i}".encode()).hexdigest()[:13], i))[:33]
+        assert sorted(got[n]) == sorted(want)
+    assert random_id_batches(df, 3, 900, 5).count() == 1500 and random_id_batches(df, 0, 9, 5).count() == 0
+    plan = random_id_batches(df, 100, 5, 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1

@@ -2,12 +2,14 @@
 
 import json
 import os
+from datetime import datetime
 
 import pytest
 from conftest import rows
 
+from feedloom.operators.feedback import label_paged_threads
 from feedloom.operators.summaries import normalise_summaries
-from feedloom.plans.feedback import update_preferences
+from feedloom.plans.feedback import sync_feedback, update_preferences
 from feedloom.plans.ingest import harvest, read_metadata_table, upsert_metadata
 from feedloom.plans.migrate import migrate_preferences, migrate_summaries, migrate_wide
 from feedloom.sources import readers
@@ -165,6 +167,31 @@ def test_feedback(spark, folder):
     assert update_preferences(spark, path, None)[1].count() == 3
 
 
+def test_feedback_is_stored(spark, folder):
+    path, at = put(folder, "threads.json", json.dumps(THREADS)), datetime(2024, 5, 6, 7, 8, 9)
+    labels, preferences = sync_feedback(spark, path, f"{folder}/out", at)
+    want = [("1.1", "dislike"), ("1.2", "neutral"), ("2406.07731", "like")]
+    assert rows(labels, "arxiv_id", "preference") == want and rows(preferences, "arxiv_id", "preference") == want
+    changed = json.loads(json.dumps(THREADS))
+    changed["data"]["repository"]["discussions"]["nodes"][0]["reactions"]["nodes"] = []
+    changed["data"]["repository"]["discussions"]["nodes"][3]["title"] = "arXiv:7.7"
+    put(folder, "threads.json", json.dumps(changed))
+    for _ in range(2):
+        _, preferences = sync_feedback(spark, path, f"{folder}/out", datetime(2024, 5, 7))
+        assert rows(preferences, "arxiv_id", "preference") == [("1.1", "dislike"), ("1.2", "neutral"), ("2406.07731", "neutral")]
+    _, preferences = sync_feedback(spark, path, f"{folder}/out", datetime(2024, 5, 8), insert_new=True)
+    assert preferences.count() == 4 and len(os.listdir(f"{folder}/out/feedback")) == 3
+    assert sync_feedback(spark, path, f"{folder}/out", datetime(2024, 6, 1))[1].count() == 3
+
+
+def test_threads_in_pages(spark):
+    kind = "title string, number int, reactions array<struct<content:string>>, updated_at string, url string"
+    pages = [("arXiv:1.1", 1, [("THUMBS_DOWN",)], "1", "u"), ("arXiv:1.1", 1, [("THUMBS_UP",), ("THUMBS_UP",)], "2", "u"),
+             ("arXiv:1.1", 2, [], "3", "u"), ("none", 3, [("THUMBS_UP",)], "3", "u")]
+    got = label_paged_threads(spark.createDataFrame(pages, kind))
+    assert rows(got, "discussion_id", "preference", "updated_at") == [(1, "like", "2"), (2, "neutral", "3")]
+
+
 def test_summary_migration(spark, folder):
     put(folder, "raw/2024/memo-111.json", json.dumps({"id": "memo-111", "summary": "S1", "summary_time": "2024-02-03T08:00:00Z"}))
     put(folder, "raw/2024/memo-112.json", "{broken")
@@ -219,6 +246,11 @@ def test_preference_migration(spark, folder):
     ]
     stored = spark.read.csv(f"{folder}/preferences", header=True)
     assert sorted(stored.columns) == ["paper_id", "preference", "recorded_at", "year"] and stored.count() == 3
+    # One month again: the year keeps its events unless it is to be replaced.
+    migrate_preferences(months.where("paper_id = 'memo-112'"), folder, "NOW")
+    assert spark.read.csv(f"{folder}/preferences", header=True).count() == 3
+    migrate_preferences(months.where("paper_id = 'memo-112'"), folder, "NOW", force=True)
+    assert rows(spark.read.csv(f"{folder}/preferences", header=True), "paper_id") == [("memo-112",), ("memo-113",)]
 
 
 def test_file_stream_reads_harvest_pages(spark, folder):

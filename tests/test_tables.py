@@ -26,6 +26,7 @@ from feedloom.operators.reshape import (
 )
 from feedloom.operators.vectors import clean_vectors, dominant_dim, merge_vectors, vector_manifest
 from feedloom.plans.ingest import deduplicate_table, read_metadata_table, upsert_metadata
+from feedloom.plans.vectors import clean_stored_vectors
 from feedloom.sources.readers import list_files
 from feedloom.sources.writers import write_table, write_vectors
 
@@ -261,6 +262,35 @@ def test_files(spark, folder):
     assert rows(file_manifest(exclude_globs(files, ["*/sub/*"]))) == [(2, 5)]
 
 
+def test_partition_values_are_text(spark, folder):
+    df = spark.createDataFrame([("01", 1), ("1", 2), (None, 3), ("a b/c", 4)], "part string, n int")
+    write_table(df, f"{folder}/t", partition_by=["part"])
+    write_table(df, f"{folder}/t", partition_by=["part"])
+    assert spark.read.parquet(f"{folder}/t").count() == 4
+    write_table(spark.createDataFrame([("001", 5), ("1", 6)], "part string, n int"), f"{folder}/t", partition_by=["part"])
+    assert rows(spark.read.parquet(f"{folder}/t"), "n") == [(1,), (2,), (3,), (4,), (5,)]
+
+
+def test_clean_stored_vectors(spark, folder):
+    items = [("m", "2024", "a", [1.0, 2.0]), ("m", "2024", "b", [1.0]), ("m", "2025", "c", [1.0, 2.0]), ("m", "2025", "d", None), ("n", "2024", "e", [1.0])]
+    df = spark.createDataFrame(items, "model string, year string, paper_id string, embedding array<float>")
+    df = df.withColumns({"generated_at": F.lit("t"), "model_dim": F.size("embedding"), "source": F.lit("s")})
+    write_vectors(df, f"{folder}/in")
+    want = [("2024", 1, 1, False), ("2024", 2, 1, True), ("2025", 2, 1, True), ("2025", None, 1, False)]
+    report = clean_stored_vectors(spark, f"{folder}/in", "m", f"{folder}/out", dry_run=True)
+    got = [(y, None if d == -1 else d, n, k) for y, d, n, k in rows(report, "year", "dim", "rows", "kept")]
+    assert sorted(got, key=str) == sorted(want, key=str) and not os.path.exists(f"{folder}/out")
+    clean_stored_vectors(spark, f"{folder}/in", "m", f"{folder}/out")
+    assert rows(spark.read.parquet(f"{folder}/out"), "model", "paper_id") == [("m", "a"), ("m", "c")]
+    assert rows(spark.read.json(f"{folder}/out/_manifest/m"), "year", "rows") == [("2024", 1), ("2025", 1), ("total", 2)]
+    clean_stored_vectors(spark, f"{folder}/in", "m", f"{folder}/out", dim=1)
+    assert spark.read.parquet(f"{folder}/out").count() == 2  # years that are there stay
+    clean_stored_vectors(spark, f"{folder}/in", "m", f"{folder}/out", dim=1, force=True)
+    assert rows(spark.read.parquet(f"{folder}/out"), "paper_id") == [("b",), ("c",)]
+    with pytest.raises(ValueError, match="no vectors"):
+        clean_stored_vectors(spark, f"{folder}/in", "absent", f"{folder}/out")
+
+
 def test_retention_and_latest_run(spark):
     df = spark.createDataFrame([("d", i, f"f{i}") for i in range(5)] + [("e", 1, "g")], "dataset string, modified int, path string")
     assert rows(retention_plan(df, 3), "path") == [("f0",), ("f1",)]
