@@ -4,8 +4,8 @@ Short pre-tokens are encoded once per task and looked up afterwards. A pre-token
 until the halves are short; neighbours are joined bottom-up by encoding a window around the join again, which grows until
 its first token is the left side's and its last token the right side's. All neighbouring tokens of the joined list are
 then neighbours in some valid encoding, which makes the list the encoding of the whole. A document of more than PIECE
-characters is cut at pre-token borders where it has them, and inside a pre-token else; its pieces are encoded in parallel
-tasks and joined in the same way by document.
+characters is cut at its special strings, which begin and end a text of their own for the vocabulary, and the stretches
+between them every PIECE characters; these pieces are encoded in parallel tasks and joined in the same way by stretch.
 
 Null texts are empty texts: no ids, empty decoded text. The end-of-text string in a text becomes its special id, as the
 library does. Repeated rows and null ids keep their rows; an empty table gives an empty result; other columns are ignored.
@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from itertools import groupby
 
 import pyarrow as pa
 import regex
@@ -181,26 +182,53 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     )
 
 
+def special_strings(path: str) -> list[str]:
+    """The special strings of a vocabulary file."""
+    with open(path, encoding="utf-8") as file:
+        return [token["content"] for token in json.load(file)["added_tokens"]]
+
+
+def _pieces(text: str, marks: re.Pattern, piece: int):
+    """(stretch, text): the special strings, and the stretches between them in pieces of `piece` characters."""
+    at, n = 0, 0
+    for start, end in [*(m.span() for m in marks.finditer(text)), (len(text), len(text))]:
+        for k in range(at, start, piece):
+            yield n, text[k : min(k + piece, start)]
+        if start < end:
+            yield n + 1, text[start:end]
+        at, n = end, n + 2
+
+
 def encode_long(rows: DataFrame, path: str, leaf: int = LEAF, piece: int = PIECE) -> DataFrame:
     """(doc_id, ids): pieces of each text encoded in parallel tasks, then joined pairwise by document.
 
     Rows of one id and text are told apart by a number of their own.
     """
-    text = F.col("text")
-    parts = F.sequence(F.lit(0), F.floor((F.length(text) - 1) / piece).cast("int"))
-    cut = F.transform(parts, lambda i: F.substring(text, i * piece + 1, F.lit(piece)))
     tagged = rows.withColumn("row", F.monotonically_increasing_id())
-    pieces = tagged.select("doc_id", "row", F.posexplode(cut).alias("k", "text")).repartition("row", "k")
+    marks = re.compile("|".join(map(re.escape, special_strings(path))) or "(?!)")
+
+    def cut(batches):
+        for batch in batches:
+            for doc, text, row in zip(*(column.to_pylist() for column in batch.columns)):
+                parts = list(_pieces(text, marks, piece))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([doc] * len(parts), pa.int64()), pa.array([row] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()),
+                     pa.array([n for n, _ in parts], pa.int32()), pa.array([t for _, t in parts], pa.string())],
+                    names=["doc_id", "row", "k", "stretch", "text"],
+                )
+
+    kinds = "doc_id long, row long, k int, stretch int, text string"
+    pieces = tagged.select("doc_id", "text", "row").mapInArrow(cut, kinds).repartition("row", "k")
 
     def leaves(batches):
         codec = Codec(path, leaf)
         for batch in batches:
-            ids = [codec.ids(t) for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "row", "k", "ids"])
+            ids = [codec.ids(t) for t in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "row", "k", "stretch", "ids"])
 
-    encoded = pieces.mapInArrow(leaves, "doc_id long, row long, k int, ids array<int>")
+    encoded = pieces.mapInArrow(leaves, "doc_id long, row long, k int, stretch int, ids array<int>")
     gathered = encoded.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("nodes")
+        F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("k", "stretch", "ids"))).alias("nodes")
     )
 
     def roots(batches):
@@ -208,11 +236,14 @@ def encode_long(rows: DataFrame, path: str, leaf: int = LEAF, piece: int = PIECE
         for batch in batches:
             out = []
             for nodes in batch.column(1).to_pylist():
-                level = [n["ids"] for n in nodes]
-                while len(level) > 1:
-                    joined = [codec.join(a, b) for a, b in zip(level[::2], level[1::2])]
-                    level = joined + level[len(joined) * 2 :]
-                out.append(level[0])
+                ids = []
+                for _, stretch in groupby(nodes, key=lambda n: n["stretch"]):
+                    level = [n["ids"] for n in stretch]
+                    while len(level) > 1:
+                        joined = [codec.join(a, b) for a, b in zip(level[::2], level[1::2])]
+                        level = joined + level[len(joined) * 2 :]
+                    ids += level[0]
+                out.append(ids)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return gathered.select("doc_id", "nodes").mapInArrow(roots, "doc_id long, ids array<int>")

@@ -1,12 +1,12 @@
 import random
 import sys
+from itertools import groupby
 
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from feedloom.llm.bpe import Codec, digests, encode_long
-from feedloom.llm.bpe import _sha
+from feedloom.llm.bpe import Codec, _pieces, _sha, digests, encode_long
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ALPHABETS = ["ab", "a ", "the ing of", "é ñü\n\t", "'sre !?", "0123 a", "日本語 の", "\U0001f600 x'", "   \x1c\x85", "aaaaaab"]
@@ -60,3 +60,33 @@ def test_rows(spark, library):
             assert tuple(row) == (doc, len(ids), _sha(",".join(map(str, ids)).encode()), _sha(decoded.encode()))
     assert digests(docs.limit(0), PATH).count() == 0
     assert encode_long(docs.limit(0), PATH).count() == 0
+
+
+WHITE = [c for c in map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
+
+
+def test_pieces_cut_anywhere_equal_the_library(library):
+    """Special strings behind and before every kind of white space, cut at every place."""
+    codec, draw, mark = Codec(PATH), random.Random(8), "<|endoftext|>"
+    for _ in range(600):
+        gap = "".join(draw.choice(WHITE if draw.random() < 0.7 else [" ", "x", "\n", "1", "."]) for _ in range(draw.randrange(5)))
+        text = draw.choice(["x ", "x", "", "word's "]) + gap + draw.choice([mark, mark[:-1], mark + mark, mark[3:]]) + gap[::-1] + draw.choice(["y", " y z", "", mark, "\u2028"])
+        want = library.encode(text, add_special_tokens=False).ids
+        for piece in (1, 2, 3, 5, 8, 13):
+            ids = []
+            for _number, stretch in groupby(_pieces(text, codec.marks, piece), key=lambda p: p[0]):
+                level = [codec.ids(t) for _, t in stretch]
+                while len(level) > 1:
+                    joined = [codec.join(a, b) for a, b in zip(level[::2], level[1::2])]
+                    level = joined + level[len(joined) * 2 :]
+                ids += level[0]
+            assert ids == want, (text, piece)
+
+
+def test_long_texts_with_special_strings_at_borders(spark, library):
+    mark = "<|endoftext|>"
+    texts = ["x \x85" + " " * k + mark + " tail of the text" for k in range(14)] + ["a" * 30 + "\u2028" + mark * 3, mark * 4, "a\u2028" + mark[:-1]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for piece in (7, 16):
+        got = {r.doc_id: r.ids for r in encode_long(docs, PATH, piece=piece).collect()}
+        assert got == {i: library.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
