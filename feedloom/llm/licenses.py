@@ -2,7 +2,8 @@
 
 Both sides are lower-cased words. A template is sought around each place of its rarest word in the text: words unique to
 both sides are anchors, their longest increasing subsequence is kept, and the gaps between anchors are aligned in the same
-way. Coverage is the share of the template's words that are aligned; a find has COVER or more.
+way. Coverage is the share of the template's words that are aligned; a find has COVER or more. Finds go from left to right
+and do not overlap; where notices stand close together, the one around the first place is sought before the next.
 
 Null and empty texts have no finds, nor does an empty template. Repeated rows repeat their finds. Other columns are
 ignored.
@@ -123,16 +124,25 @@ class Template:
         seeds = set(rare)
         slack = max(SLACK_WORDS, int(SLACK * len(self.words)))
         end = 0
+        places: dict[str, list[int]] = {word: [] for word in seeds}
         for at, word in enumerate(words):
-            if at < end or word not in seeds:
+            if word in seeds:
+                places[word].append(at)
+        turn = dict.fromkeys(seeds, 0)
+        for at, word in sorted((at, word) for word, own in places.items() for at in own):
+            turn[word] += 1
+            if at < end:
                 continue
-            start = max(end, at - len(self.words) - slack)
-            window = words[start : at + len(self.words) + slack]
-            pairs = _dense(align(self.words, window), 2 * len(self.words))
-            if len(pairs) >= self.needed:
-                first, last = start + pairs[0][1], start + pairs[-1][1]
-                yield len(pairs) / len(self.words), first, last - first + 1
-                end = last + 1
+            start, stop = max(end, at - len(self.words) - slack), at + len(self.words) + slack
+            # A window that ends before the seed comes once more than in the template holds no second copy of it.
+            more = places[word][turn[word] + self.counts[word] - 1 :][:1]
+            for limit in sorted({min([stop, *more]), stop}):
+                pairs = _dense(align(self.words, words[start:limit]), 2 * len(self.words))
+                if len(pairs) >= self.needed:
+                    first, last = start + pairs[0][1], start + pairs[-1][1]
+                    yield len(pairs) / len(self.words), first, last - first + 1
+                    end = last + 1
+                    break
 
 
 def _dense(pairs: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:

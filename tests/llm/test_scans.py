@@ -42,6 +42,21 @@ def test_license_finds(spark):
     assert license_finds(docs, {"none": ""}).count() == 0
 
 
+def test_notices_close_together_are_all_found(spark):
+    rows, want = [], []
+    for name in ("mit", "cc-by-nc-4.0", "gpl-3.0", "apache-2.0", "cc-by-4.0"):
+        words = len(words_of(TEMPLATES[name]))
+        for gap in range(14):
+            doc = len(rows)
+            between = " ".join(f"w{k}" for k in range(gap))
+            rows.append((doc, "one two three " + f" {between} ".join([TEMPLATES[name]] * 6) + " more text"))
+            want += [(doc, name, 3 + k * (words + gap)) for k in range(6)]
+    found = license_finds(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    names = {doc: name for doc, name, _ in want}
+    got = sorted((r.doc_id, r.license, r.first_word) for r in found if r.license == names[r.doc_id])
+    assert got == sorted(want)
+
+
 def brute(vocabulary, word):
     best = {0: (0.0, 0)}
     for end in range(1, len(word) + 1):
