@@ -4,16 +4,19 @@ Words are lower-cased, ASCII punctuation counts as white space. Each mask in MAS
 benchmark items and of the documents; the words under its marks are hashed, those under its gaps are ignored, so a seed
 survives a substituted word. Test and training seeds are joined on the hash. Around each hit both sides are compared word
 by word on the hit's diagonal: an overlap is a stretch of at least WORDS words (or the whole item, if that is shorter) of
-which SIMILAR are equal, beginning and ending with equal words.
+which SIMILAR are equal, beginning and ending with equal words. By enumeration the masks find every such overlap of 13 to 20
+words. Items of SHORTEST to WORDS - 1 words are sought as a whole, word for word, by a seed over all their words (those of
+SPAN or more also by the masks, which miss some of their substitutions); items of fewer words are everyday language and not
+sought.
 
 Before the join, training seeds pass a bitmap of the test seeds, whose size is BITMAP_BITS whatever the benchmark; false
-positives cost time only. Items shorter than SPAN words hold no seed and are not sought. Null or empty texts have no hits.
-Items repeated under one id merge; repeated documents give the same rows once. Null ids are kept.
+positives cost time only. Null or empty texts have no hits. Items repeated under one id merge; repeated documents give the
+same rows once. Null ids are kept.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +27,9 @@ from feedloom.llm.common import slices
 from feedloom.llm.wordhash import Rolling, byte_values, mixed, word_borders
 from feedloom.session import materialise
 
-#: Marks and gaps of the seeds; all have six marks.
-MASKS = ("11101011", "110011011", "1101001011")
-SPAN = max(map(len, MASKS))
+#: Marks and gaps of the seeds.
+MASKS = ("11101011", "110011011", "1101001011", "1101000101")
+SPAN, SHORTEST = max(map(len, MASKS)), 4
 #: An overlap's least words and share of equal words; words compared on either side of a hit.
 WORDS, SIMILAR, AROUND = 13, 0.8, 40
 BITMAP_BITS = 1 << 23
@@ -50,14 +53,19 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(start, borders)
 
 
-def seeds(hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def whole(words: int) -> str:
+    """The mask of a short item: all its words."""
+    return "1" * words
+
+
+def seeds(hashes: np.ndarray, first: np.ndarray, masks: Sequence[str] = MASKS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per mask: positions inside one text, and the hash of the words under the marks there."""
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    for n, mask in enumerate(MASKS):
+    for mask in masks:
         last = len(hashes) - len(mask) + 1
         if last <= 0:
             continue
-        value = np.full(last, n + 1, np.uint64)
+        value = np.full(last, int(mask, 2), np.uint64)
         for i, mark in enumerate(mask):
             if mark == "1":
                 value = mixed(value + hashes[i : i + last])
@@ -79,7 +87,11 @@ def item_seeds(items: DataFrame) -> DataFrame:
             first = np.cumsum([0, *map(len, words)])
             hashes = np.concatenate([*words, np.zeros(0, np.int64)]).view(np.uint64)
             owner = np.repeat(np.arange(len(words)), np.diff(first))
-            for at, value in seeds(hashes, first):
+            size = np.diff(first)[owner]
+            found = [(at[size[at] >= SPAN], value[size[at] >= SPAN]) for at, value in seeds(hashes, first)]
+            for n in range(SHORTEST, WORDS):
+                found += [(at[size[at] == n], value[size[at] == n]) for at, value in seeds(hashes, first, [whole(n)])]
+            for at, value in found:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(owner[at])), pa.array((at - first[owner[at]]).astype(np.int32)), pa.array(value.view(np.int64))],
                     names=["item", "at", "seed"],
@@ -103,19 +115,21 @@ def item_words(benchmark: DataFrame) -> DataFrame:
 
 
 def bitmap(known: DataFrame) -> np.ndarray:
-    """BITMAP_BITS bits, set at two places for each seed; at most BITMAP_BITS / 64 numbers reach the driver."""
+    """BITMAP_BITS bits, set at two places for each seed; at most BITMAP_BITS / 32 numbers reach the driver."""
     size = F.lit(BITMAP_BITS)
     low = F.pmod("seed", size)  # as of unsigned numbers, since the size is a power of two
     high = F.shiftrightunsigned("seed", 32) % size
     places = known.select(F.explode(F.array(low, high)).alias("p"))
-    rows = places.groupBy((F.col("p") / 8).cast("int").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(p % 8 as int))")).alias("bits")).collect()
-    out = np.zeros(BITMAP_BITS // 8, np.uint8)
+    word, bit = F.floor(F.col("p") / 32).cast("int"), (F.col("p") % 32).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    rows = places.groupBy(word.alias("word")).agg(F.bit_or(one).alias("bits")).collect()
+    out = np.zeros(BITMAP_BITS // 32, "<u4")
     for row in rows:
-        out[row.byte] = row.bits
-    return out
+        out[row.word] = row.bits
+    return out.view(np.uint8)
 
 
-def regions(docs: DataFrame, marks: np.ndarray, kind: str = "long") -> DataFrame:
+def regions(docs: DataFrame, marks: np.ndarray, kind: str = "long", masks: Sequence[str] = MASKS) -> DataFrame:
     """(doc_id, start, words, hits): stretches of each text around its seeds that the bitmap holds; `kind` is the id's type."""
     shared = docs.sparkSession.sparkContext.broadcast(marks.tobytes())  # BITMAP_BITS / 8 bytes
 
@@ -125,7 +139,7 @@ def regions(docs: DataFrame, marks: np.ndarray, kind: str = "long") -> DataFrame
             hashes, first = word_hashes([text_words(t) for t in batch.column(1).to_pylist()])
             text = np.repeat(np.arange(len(first) - 1), np.diff(first))
             at, value = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-            for place, seed in seeds(hashes, first):
+            for place, seed in seeds(hashes, first, masks):
                 p, q = _bits(seed)
                 held = (table[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & (table[q >> np.uint64(3)] >> (q & np.uint64(7)).astype(np.uint8)) & 1
                 at.append(place[held == 1])
@@ -182,7 +196,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, kind: str = "long") -> D
     """
     items = materialise(item_words(benchmark), "items")
     known = materialise(item_seeds(items.select("item", "words")), "seeds")
-    found = materialise(regions(docs, bitmap(known), kind).select(F.monotonically_increasing_id().alias("region"), "*"), "regions")
+    size = F.size("words")
+    short = [row.n for row in items.where((size >= SHORTEST) & (size < WORDS)).select(size.alias("n")).distinct().collect()]
+    masks = [*MASKS, *map(whole, sorted(short))]
+    found = materialise(regions(docs, bitmap(known), kind, masks).select(F.monotonically_increasing_id().alias("region"), "*"), "regions")
     hits = found.select("region", F.explode("hits").alias("h")).select("region", F.col("h.at").alias("place"), "h.seed")
     pairs = hits.join(known, "seed").select("region", "item", (F.col("place") - F.col("at")).alias("shift")).distinct()
     facing = pairs.join(found.select("region", "doc_id", "start", "words"), "region").join(

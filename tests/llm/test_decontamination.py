@@ -1,8 +1,9 @@
 import random
+from itertools import combinations
 
 import numpy as np
 
-from feedloom.llm.decontamination import SIMILAR, SPAN, WORDS, contaminated, overlap
+from feedloom.llm.decontamination import MASKS, SHORTEST, SIMILAR, SPAN, WORDS, contaminated, overlap
 
 
 def brute(ours, theirs, shift):
@@ -55,3 +56,41 @@ def test_contaminated(spark):
     assert first[1, 0] == (50, 30) and first[9, 1] == (530, 39)
     assert contaminated(frame.limit(0), bench).count() == 0
     assert contaminated(frame, bench.limit(0)).count() == 0
+
+
+def test_masks_find_every_overlap():
+    """All ways to substitute a fifth of the words inside an overlap leave one seed whole."""
+    marks = [[i for i, c in enumerate(mask) if c == "1"] for mask in MASKS]
+    for words in range(WORDS, 21):
+        for changed in combinations(range(1, words - 1), int((1 - SIMILAR) * words + 1e-9)):
+            gone = set(changed)
+            assert any(
+                all(p + i not in gone for i in mark) for mark, mask in zip(marks, MASKS) for p in range(words - len(mask) + 1)
+            ), changed
+
+
+def test_all_documents_against_all_items(spark):
+    """Every document and item word by word on every diagonal, short items included."""
+    draw = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(draw.choice(vocabulary) for _ in range(n))) for i, n in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 13, 14, 20, 40])]
+    docs = []
+    for d in range(80):
+        words = draw.choice(items)[1].split()
+        cut = draw.randrange(len(words))
+        words = words[cut:] if draw.random() < 0.2 else words
+        words = [draw.choice(vocabulary) if draw.random() < 0.12 else w for w in words]
+        docs.append((d, " ".join(draw.choice(vocabulary) for _ in range(draw.randrange(30))) + " " + " ".join(words) + " " + "end. " * draw.randrange(3)))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_words for r in contaminated(*frames).collect()}
+    want = {}
+    for d, text in docs:
+        ours = np.array([hash(w) for w in text.replace(".", " ").split()])
+        for i, item in items:
+            theirs = np.array([hash(w) for w in item.split()])
+            best = max((brute(ours.tolist(), theirs.tolist(), s) for s in range(1 - len(theirs), len(ours))), default=0)
+            # Short items are sought word for word, and not below SHORTEST words.
+            exact = len(theirs) >= SHORTEST and f" {item} " in f" {text.replace('.', ' ')} "
+            if best and (len(theirs) >= WORDS or exact or len(theirs) >= SPAN and (d, i) in got):
+                want[d, i] = best
+    assert got == want and len(want) > 20
