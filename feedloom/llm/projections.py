@@ -11,18 +11,19 @@ A list of more than TILE vectors is cut into blocks, and each pair of blocks is
 gathered whole. A pair that meets in several tables counts in the first. Links leave a group as one edge per vector and
 the number of its partners, never as pairs.
 
+Equal vectors of one label are compared as one, their first, which counts as many times as there are; so copies cost no
+comparisons, whatever their number.
+
 Labels must be equal and not null. Null vectors, zero vectors, vectors with null or non-finite components, and vectors of
-different lengths link with nothing. Rows repeated under one id count once, with the smallest vector; null ids keep one
-row without links. An empty table gives an empty result; other columns are ignored.
+different lengths link with nothing. Rows repeated under one id count once, with the smallest label and vector that can
+link; null ids keep one row without links. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.graph import components
@@ -35,13 +36,23 @@ COUNTED, WINDOW, TILE, SEED = 32, 0.14, 1024, 1
 PAIRS = 1 << 17
 
 
-@cache
+#: Rotations and routes by length of the vectors, kept by each process.
+_KEPT: dict[tuple[str, int], object] = {}
+
+
 def rotation(size: int) -> np.ndarray:
-    return np.linalg.qr(np.random.default_rng(SEED).standard_normal((size, size)))[0]
+    if ("rotation", size) not in _KEPT:
+        _KEPT["rotation", size] = np.linalg.qr(np.random.default_rng(SEED).standard_normal((size, size)))[0]
+    return _KEPT["rotation", size]
 
 
-@cache
 def _routes(size: int) -> tuple[np.ndarray, np.ndarray]:
+    if ("routes", size) not in _KEPT:
+        _KEPT["routes", size] = _drawn_routes(size)
+    return _KEPT["routes", size]
+
+
+def _drawn_routes(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Per table: directions of its projections, and the offsets of its cuts."""
     draw = np.random.default_rng(SEED + 1)
     directions = np.concatenate([np.linalg.qr(draw.standard_normal((size, size)))[0] for _ in range(-(-TABLES * ROUTED // size))], axis=1)
@@ -57,15 +68,15 @@ def cells(unit: np.ndarray) -> np.ndarray:
 
 def _units(vectors) -> np.ndarray:
     matrix = np.array(vectors, np.float64)
+    matrix /= np.abs(matrix).max(axis=1, keepdims=True)  # else squares may overflow or vanish
     return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, label, embedding) of the vectors that can link."""
+def usable() -> Column:
+    """Whether a row (vec_id, label, embedding) can link."""
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vectors.where(
-        F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & ~bad & F.exists("embedding", lambda x: x != 0)
-    )
+    there = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0)
+    return F.coalesce(there & ~bad & F.exists("embedding", lambda x: x != 0), F.lit(False))
 
 
 def _route(batches):
@@ -153,8 +164,11 @@ def _group(rows: pa.Table):
         runs = np.cumsum(np.r_[True, group[1:] != group[:-1]]) - 1
         unit = _units([vectors[i] for i in at])
         a, b = _links(unit, own, side, cells(unit), table, (new[runs], end[runs]))
-        ids = np.concatenate([a, b])
-        links = np.bincount(ids, minlength=len(own))
+        # Each partner counts as often as its vector occurs.
+        copies = np.array(rows.column("copies"))[at]
+        links = np.zeros(len(own), np.int64)
+        np.add.at(links, a, copies[b])
+        np.add.at(links, b, copies[a])
         to = own[_smallest(own, a, b)]
         shown = np.flatnonzero(links)
         yield pa.RecordBatch.from_arrays(
@@ -162,9 +176,11 @@ def _group(rows: pa.Table):
         )
 
 
-def linked(vectors: DataFrame) -> DataFrame:
-    """(vec_id, to_id, links): per vector and group of a list, the links counted there and the smallest id connected."""
-    good = usable(vectors)
+def linked(good: DataFrame) -> DataFrame:
+    """(vec_id, to_id, links): per vector and group of a list, the links counted there and the smallest id connected.
+
+    `good`: usable (vec_id, label, embedding, copies), each id once.
+    """
     routed = good.select("vec_id", "embedding").mapInArrow(_route, "vec_id long, cells array<long>")
     posts = materialise(good.select("vec_id", "label").join(routed, "vec_id").select("vec_id", "label", F.posexplode("cells").alias("table", "cell")), "posts")
     lists = posts.groupBy("table", "label", "cell").agg(F.count("*").alias("n")).where("n > 1")
@@ -182,7 +198,7 @@ def linked(vectors: DataFrame) -> DataFrame:
     )
     tiled = dealt.withColumn("own", own).select("vec_id", "table", "label", "cell", F.explode(tiles).alias("t"))
     named = tiled.select("vec_id", "table", F.xxhash64("table", "label", "cell", "t.low", "t.high").alias("group_id"), "label", "cell", "t.side")
-    full = named.join(good.select("vec_id", "embedding"), "vec_id").select("group_id", "table", "vec_id", "side", "embedding")
+    full = named.join(good.select("vec_id", "embedding", "copies"), "vec_id").select("group_id", "table", "vec_id", "side", "embedding", "copies")
     return full.repartition("group_id").sortWithinPartitions("group_id", "table").mapInArrow(_count, "vec_id long, to_id long, links long")
 
 
@@ -193,11 +209,20 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
         F.col("embedding").cast("array<double>").alias("embedding"),
         F.col("label").cast("string").alias("label"),
     )
-    rows = rows.groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("v")).select("vec_id", "v.embedding", "v.label")
-    found = materialise(linked(materialise(rows, "vectors")), "vector-links")
+    rows = rows.withColumn("bad", ~usable()).groupBy("vec_id").agg(F.min(F.struct("bad", "label", "embedding")).alias("v")).select("vec_id", "v.*")
+    # 128 bits of hash stand for a label and vector.
+    same = {f"same_{i}": F.xxhash64(F.lit(i), "label", "embedding") for i in range(2)}
+    rows = materialise(rows.withColumns(same), "vectors")
+    one = rows.where("NOT bad").groupBy(*same).agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
+    one = materialise(one, "distinct-vectors")
+    good = rows.join(one.select("vec_id", "copies"), "vec_id").select("vec_id", "label", "embedding", "copies")
+    found = materialise(linked(materialise(good, "representatives")), "vector-links")
     counts = found.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
     groups = components(found.select(F.col("vec_id").alias("a"), F.col("to_id").alias("b")))
-    out = rows.select("vec_id").join(counts, "vec_id", "left").join(groups.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+    one = one.join(counts, "vec_id", "left").join(groups.withColumnRenamed("node", "vec_id"), "vec_id", "left").select(
+        *same, (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component"), F.lit(False).alias("bad")
+    )
+    out = rows.select("vec_id", "bad", *same).join(one, ["bad", *same], "left")
     component = F.coalesce("component", "vec_id")
     return out.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),

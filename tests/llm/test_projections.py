@@ -42,7 +42,27 @@ def test_near_vectors(spark, monkeypatch):
     got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(frame).collect()}
     want = brute(rows)
     assert got.keys() == want.keys()
-    assert sum(k for k, _ in got.values()) >= 0.999 * sum(k for k, _ in want.values())
-    assert all(got[i][0] <= want[i][0] for i in want)
-    assert [c for i, (_, c) in got.items() if c != want[i][1]] == []
+    assert got == want
     assert near_vectors(frame.limit(0)).count() == 0
+
+
+def test_repeated_ids_and_extreme_vectors(spark):
+    v = [1.0, 2.0, 3.0]
+    rows = [(1, v, "a"), (1, v, None), (1, None, "a"), (1, [0.0] * 3, "a"), (2, v, "a"), (3, [x * 1e200 for x in v], "a"), (4, [x * 1e-200 for x in v], "a"), (5, [x * 1e-310 for x in v], "a")]
+    rows += [(6, v, "b"), (7, None, "b"), (7, v, "b"), (8, [float("inf"), 1.0, 1.0], "b"), (9, [], None), (None, v, "a")]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert {i: got[i] for i in (1, 2, 3, 4, 5)} == {1: (4, 1, True), **{i: (4, 1, False) for i in (2, 3, 4, 5)}}
+    assert got[6] == (1, 6, True) and got[7] == (1, 6, False) and got[8] == (0, 8, True) and got[9] == (0, 9, True)
+    assert got[None] == (0, None, True) and len(got) == 10
+
+
+def test_copies_cost_no_comparisons(spark, monkeypatch):
+    monkeypatch.setattr(projections, "TILE", 50)
+    draw = np.random.default_rng(5)
+    centre = draw.standard_normal(16)
+    near = centre + 0.02 * draw.standard_normal(16)
+    rows = [(i, [float(x) for x in centre], 1) for i in range(30_000)] + [(40_000 + i, [float(x) for x in near], 1) for i in range(2)]
+    rows += [(50_000, [float(x) for x in draw.standard_normal(16)], 1)]
+    out = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    got = {(r.n_links, r.component_id): r.n for r in out.groupBy("n_links", "component_id").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+    assert got == {(30_001, 0): 30_002, (0, 50_000): 1}
