@@ -1,86 +1,5 @@
-"""Corpus preparation in five stages: toxicity, near-duplicates, benchmark passages, secrets, encoding.
+"""Corpus preparation in five stages; they are in feedloom.llm.pipeline."""
 
-Each stage takes (spark, docs, folder of the tables) and returns a DataFrame; all but the last return the columns of
-documents. A document without text is kept until near-dedup, where documents without words are one group. A stage decides
-about rows: an id that several rows share, or a null one, says nothing about the others, and only rows repeated with id and
-text share a decision.
-"""
+from feedloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from feedloom.llm import bpe, toxicity
-from feedloom.llm.common import small_batches, with_row_key
-from feedloom.llm.decontamination import contaminated
-from feedloom.llm.secrets import redact
-from feedloom.llm.simhash import one_of_near
-from feedloom.session import materialise
-
-MARK = "[SECRET]"
-#: Column of the stages for what tells rows apart.
-KEY = "_row_key"
-#: The stages score, hash and sign; SQL cannot express them, so tests compare each with a plain version.
-ORACLE_SQL = None
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents whose toxicity score is below one half; the model learns from labelled rows that reached this stage."""
-    small_batches(spark)
-    model = toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
-    scored = toxicity.score(docs, model, "_toxicity")
-    return scored.where("_toxicity < 0.5").drop("_toxicity")
-
-
-def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The row with the smallest id of each near-duplicate group; of those repeated with id and text, the first by the others.
-
-    Rows of one id are in one group only if their texts are near. Rows with null ids have no place in a group: they stay,
-    repeats included, unless a row with an id has their fingerprint.
-    """
-    small_batches(spark)
-    rows = with_row_key(docs, KEY)
-    kept = materialise(one_of_near(rows, KEY), "kept")
-    order = Window.partitionBy(KEY).orderBy(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], "text")
-    one = rows.join(kept, KEY, "left_semi").withColumn("_nth", F.row_number().over(order))
-    return one.where("doc_id IS NULL OR _nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Rows without a passage of the benchmark."""
-    small_batches(spark)
-    rows = with_row_key(docs, KEY)
-    keys = rows.select(F.col(KEY).alias("doc_id"), "text")
-    found = contaminated(keys, spark.read.parquet(f"{folder}/benchmark.parquet"), "string")
-    found = materialise(found.select(F.col("doc_id").alias(KEY)).distinct(), "contaminated")
-    return rows.join(found, KEY, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def redact_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents with secrets replaced by MARK; n_chars follows the text."""
-    return redact(docs, MARK).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")))
-
-
-def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Token count and digests of the encoded and decoded text of each document."""
-    small_batches(spark)
-    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("near_dedup", keep_one_of_near_copies),
-    ("decontamination", drop_contaminated),
-    ("secrets", redact_secrets),
-    ("encoding", encode),
-]
-
-
-def run(spark: SparkSession, folder: str) -> DataFrame:
-    """The stages over documents, each one's rows written before the next reads them."""
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, folder), name)
-    return STAGES[-1][1](spark, docs, folder)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

@@ -38,6 +38,14 @@ def with_row_key(docs: DataFrame, into: str) -> DataFrame:
     return docs.withColumn(into, F.concat_ws(":", doc, text))
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """`name`, or one made from it that is no column of `docs`; Spark takes large and small letters for the same."""
+    taken = {column.lower() for column in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of frames that are gone, else they stay until the driver collects its garbage."""
     gc.collect()

@@ -6,8 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from feedloom.llm import bpe, suffixes, toxicity
+from feedloom.llm import bpe, pipeline, suffixes, toxicity
 from feedloom.llm.alignment import aligned
 from feedloom.llm.decontamination import contaminated
 from feedloom.llm.lexical import ranked
@@ -193,7 +192,7 @@ scored AS (
 SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
 FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20"""
 
-QUERIES["pipeline"] = corpus_pipeline.run
+QUERIES["pipeline"] = pipeline.run
 
 SQL["op10_secret_scans"] = _secrets_sql()
 SQL["op11_ranked_lexical_search"] = SEARCH_SQL
