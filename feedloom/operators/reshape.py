@@ -123,11 +123,12 @@ def unpivot_vectors(
         F.struct(F.lit(m).alias("model"), F.col(m).cast("array<float>").alias("embedding"))
         for m in wanted
     ]
+    each = F.array(*pairs).cast("array<struct<model:string,embedding:array<float>>>")
     return df.select(
         F.col("id").cast("string").alias("paper_id"),
         F.col("updated").alias("generated_at"),
         *(["year"] if "year" in df.columns else []),
-        F.inline(F.array(*pairs)),
+        F.inline(each),
     ).select(
         "model",
         *(["year"] if "year" in df.columns else []),

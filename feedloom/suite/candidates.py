@@ -8,7 +8,7 @@ from ..functions.text import join_list
 from ..functions.vectors import is_valid_vector
 from ..operators.candidates import (
     embedding_backlog, filter_categories, filter_date_window, filter_valid_vectors, filter_year,
-    join_vectors, lookup_by_id, lookup_listed, split_candidates,
+    join_vectors, limit_ordered, lookup_by_id, lookup_listed, split_candidates,
 )
 from ..operators.reshape import embedding_inputs
 from ..session import scratch_path
@@ -148,3 +148,9 @@ def look_up_listed_ids(spark, folder):
         F.col("paper_id").alias("id"), F.get("embedding", F.lit(0)).cast("double").alias("head"),
         F.size("embedding").cast("long").alias("dim"),
     )
+
+
+@query(with_views("papers", "SELECT paper_id, updated_at, title FROM papers ORDER BY updated_at, paper_id LIMIT 300"))
+def first_papers(spark, folder):
+    """A limit takes the first rows by its keys, whatever the order of the table."""
+    return limit_ordered(papers(spark, folder), ["updated_at", "paper_id"], 300).select("paper_id", "updated_at", "title")

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from ..operators.feedback import (
     apply_feedback, feedback_labels, label_paged_threads, publish_flags, recent_threads,
 )
+from ..session import scratch_path
+from ..sources.readers import read_threads
 from .registry import query
 from .views import done, papers, prefs, reactions, with_views
 
@@ -95,3 +97,28 @@ def flag_published(spark, folder):
     rows = papers(spark, folder).select(F.col("paper_id").alias("id"))
     summaries = rows.join(done(spark, folder), "id", "left_semi")
     return publish_flags(summaries, prefs(spark, folder))
+
+
+REPLY, REPLY_THREADS = 10_000, 500
+
+
+@query(with_views("reactions", f"""
+SELECT CAST(thread AS VARCHAR) || '.' || CAST(thread AS VARCHAR) AS arxiv_id, CAST(thread AS INTEGER) AS discussion_id,
+  {LABEL_SQL} AS preference FROM reactions GROUP BY thread"""))
+def read_thread_replies(spark, folder):
+    """Replies of a discussion query as JSON files, each with some threads and a page of their reactions."""
+    root, number = scratch_path(spark, "replies"), F.col("thread").cast("string")
+    pages = reactions(spark, folder).groupBy("thread", F.floor(F.col("seq") / REPLY).alias("page")).agg(
+        F.collect_list(F.struct("content", F.struct(F.lit("u").alias("login")).alias("user"))).alias("nodes"),
+        F.max("updated_at").cast("string").alias("updatedAt"),
+    )
+    node = F.struct(
+        number.alias("id"), F.concat(F.lit("arXiv:"), number, F.lit("."), number).alias("title"), "updatedAt", F.lit("u").alias("url"),
+        F.col("thread").cast("int").alias("number"), F.struct("nodes").alias("reactions"),
+    )
+    reply = pages.groupBy("page", F.floor(F.col("thread") / REPLY_THREADS).alias("part")).agg(F.collect_list(node).alias("nodes"))
+    discussions = F.struct(F.struct("nodes").alias("discussions"))
+    value = F.to_json(F.struct(F.struct(discussions.alias("repository")).alias("data"))).alias("value")
+    files = reply.select(F.concat_ws("-", "page", "part").alias("reply"), value).repartition("reply")
+    files.write.partitionBy("reply").text(root)
+    return label_paged_threads(read_threads(spark, f"{root}/*/*.txt")).select("arxiv_id", "discussion_id", "preference")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators.candidates import filter_valid_vectors, split_candidates
+from ..operators.candidates import filter_valid_vectors, label_candidates, split_candidates
 from ..operators.inference import embed_texts
 from ..operators.ranking import (
     feature_sizes, fit_ranker, objective_gradient, score, score_with_weights, stack_features,
@@ -81,6 +81,24 @@ def sample_by_score_tier(spark, folder):
     )
 
 
+@query(f"""
+WITH scores AS (SELECT CAST(vec_id AS VARCHAR) AS id, CASE WHEN label = 3 THEN CAST('nan' AS DOUBLE) ELSE (vec_id % 100) / 100.0 END AS score
+  FROM embeddings),
+keyed AS (SELECT *, {u_sql(SEED, 'id')} AS u, CASE WHEN isnan(score) THEN 3 WHEN score >= 0.9 THEN 1 WHEN score >= 0.8 THEN 2 ELSE 3 END AS tier
+  FROM scores),
+placed AS (SELECT *, row_number() OVER (ORDER BY tier, CASE WHEN tier <> 2 THEN u WHEN score > 0.8 THEN 1 - 1 / (1 - ln(u) / (score - 0.8)) ELSE 2 + u END, id)
+  AS place, greatest(1, floor(count(*) OVER () * CAST(0.3 AS DOUBLE))) AS target FROM keyed)
+SELECT id, tier, CASE WHEN place <= target THEN 1 ELSE 0 END AS "show" FROM placed""")
+def sample_scores_without_number(spark, folder):
+    """A score that is no number belongs to the last tier, and is drawn like any other of it."""
+    rows = table(spark, folder, "embeddings").select(
+        F.col("vec_id").cast("string").alias("id"),
+        F.when(F.col("label") == 3, F.lit(float("nan"))).otherwise((F.col("vec_id") % 100) / 100.0).alias("score"),
+    )
+    shown = adaptive_sample(rows, 0.3, 0.9, 0.8, SEED)
+    return shown.select("id", score_tier(F.col("score"), 0.9, 0.8).alias("tier"), F.col("show").cast("int").alias("show"))
+
+
 @query(with_views(CANDIDATES, JOINED_SQL + 'SELECT id, round(score, 6) AS score, 1 AS "show" FROM scored'))
 def recommend_all(spark, folder):
     rows = adaptive_sample(scored(spark, folder), RATE, HIGH, BOUNDARY, SEED, include_all=True)
@@ -115,7 +133,9 @@ negatives AS (SELECT id, 0 AS label FROM (SELECT id, row_number() OVER (ORDER BY
 
 
 def training(spark, folder):
-    preferred, rest = split_candidates(joined(spark, folder), prefs(spark, folder))
+    """The labelled join is written once: the sample of unrated rows reads it several times."""
+    labelled = materialise(label_candidates(joined(spark, folder), prefs(spark, folder)), "labelled")
+    preferred, rest = (labelled.where(side).drop("rated") for side in ("rated", "NOT rated"))
     return training_set(preferred, rest, 1.5, SEED)
 
 

@@ -1,5 +1,6 @@
 """Content extraction, prompts, parsing, rendering and merging."""
 
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -7,15 +8,16 @@ from pyspark.sql import functions as F
 from ..operators.reports import summary_manifest
 from ..operators.summaries import (
     HEADER, NO_ABSTRACT, NO_HIGHLIGHTS, NO_LATEX_PROMPT, SYSTEM_PROMPT, article_text, body_text,
-    build_prompts, extract_content, json_in_key_order, merge_summaries, parse_model_output,
+    build_prompts, extract_content, json_in_key_order, merge_summaries, normalise_summaries, parse_model_output,
     plain_markdown, render_article, render_markdown, reply_content, stub_summary, summary_records, summary_sections,
 )
 from ..plans.summarise import StubModel, summarise, summarise_run
 from ..session import scratch_path
+from ..sources.readers import read_summaries
 from ..sources.writers import append_summaries
 from .registry import query
 from .views import (
-    JSON_TEXT_SQL, NOW_TEXT, day, day_sql, json_escape, model_outputs, strip_sql, table, with_views,
+    JSON_TEXT_SQL, NOW_TEXT, day, day_sql, json_escape, model_outputs, name_parts, strip_sql, table, with_views,
 )
 
 
@@ -308,3 +310,56 @@ def run_summaries_twice(spark, folder):
         manifest = summarise_run(rows, StubModel, "m", "a", root, at, limit=60)
     records = spark.read.json(f"{root}/summaries").agg(F.count("*").alias("records"))
     return manifest.select("run_id", "total_sources", "summarized", "skipped", "alias").join(records)
+
+
+@dataclass(frozen=True)
+class SilentModel:
+    """Answers like the stub, but says nothing about prompts with an even number of characters."""
+
+    def run(self, texts):
+        return [answer if len(text) % 2 else " " for text, answer in zip(texts, StubModel().run(texts))]
+
+
+@query(f"""
+WITH {SOURCES_SQL}, twice AS (SELECT paper_id, language, title, abstract, context, n FROM sources, range(2) AS copies(n)),
+prompts AS (SELECT paper_id, context, {PROMPT_SQL} AS prompt FROM twice)
+SELECT paper_id, CASE WHEN context IS NULL THEN 'no content' WHEN length(prompt) % 2 = 0 THEN 'empty reply' END AS error,
+  context IS NOT NULL AND length(prompt) % 2 = 1 AS has_page FROM prompts""")
+def summarise_with_empty_replies(spark, folder):
+    """Every source comes twice, and the model says nothing about some: each row has its own page or error."""
+    rows = _sources(spark, folder)
+    done = summarise(rows.union(rows), SilentModel, "m", "a")
+    return done.select("paper_id", "error", F.col("markdown").isNotNull().alias("has_page"))
+
+
+LEGACY_SQL = f"""
+WITH lines AS (SELECT *, CASE WHEN turn % 3 = 2 THEN 'unknown' ELSE '2024-0' || CAST(1 + turn % 9 AS VARCHAR) END AS month,
+  CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END AS source_rank FROM conversations WHERE conv_id % 10 <> 9)
+SELECT CAST(conv_id AS VARCHAR) AS id, month, role AS source, md5(text) AS summary_md5, '{NOW_TEXT}' AS migrated_at FROM lines
+QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY source_rank DESC, turn DESC) = 1"""
+
+
+@query(LEGACY_SQL)
+def read_legacy_summaries(spark, folder):
+    """Summary lines of three folders in rising priority, read by line number; some lines are no JSON."""
+    root, turn = scratch_path(spark, "legacy"), F.col("turn")
+    stamp = F.concat(F.lit("2024-0"), (1 + turn % 9).cast("string"), F.lit("-03T08:00:00Z"))
+    record = F.struct(
+        F.col("conv_id").cast("string").alias("id"), F.col("text").alias("summary"),
+        F.when(turn % 3 == 0, stamp).otherwise("").alias("summary_time"), F.when(turn % 3 == 1, stamp).alias("updated"),
+        F.when(turn % 3 == 2, F.lit("soon")).alias("created"),
+    )
+    value = F.when(F.col("conv_id") % 10 == 9, F.lit("no JSON")).otherwise(F.to_json(record))
+    rows = table(spark, folder, "conversations").orderBy("conv_id", "turn")
+    folders = []
+    for role in ("system", "user", "assistant"):
+        part = rows.where(F.col("role") == role).select(value.alias("value"))
+        part.write.text(f"{root}/{role}")
+        name_parts(spark, f"{root}/{role}", f"{root}/named/{role}", ".jsonl")
+        folders.append((f"{root}/named/{role}", role))
+    merged = normalise_summaries(read_summaries(spark, folders), NOW_TEXT)
+
+    def said(key):
+        return F.try_variant_get(F.col("payload")[key], "$", "string")
+
+    return merged.select("id", "month", said("source").alias("source"), F.md5(said("summary").cast("binary")).alias("summary_md5"), said("migrated_at").alias("migrated_at"))

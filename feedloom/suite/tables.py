@@ -1,5 +1,6 @@
 """Deduplication, upserts, vector upkeep, reshaping, reports and validation."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -18,12 +19,12 @@ from ..operators.vectors import (
 from ..plans.ingest import read_metadata_table, upsert_metadata
 from ..plans.migrate import LegacyInputs, migrate_all, migrate_wide
 from ..session import scratch_path
-from ..sources.readers import read_metadata, read_year_files
+from ..sources.readers import read_metadata, read_year_files, with_line_numbers
 from ..sources.staged import partitions
 from ..sources.writers import write_table, write_vectors
 from .registry import query
 from .views import (
-    NOW_TEXT, damaged, day, day_sql, job_runs, papers, preference_months, table, vec_a, versions,
+    NOW_TEXT, damaged, day, day_sql, job_runs, name_part, papers, preference_months, table, vec_a, versions,
     with_views,
 )
 
@@ -476,21 +477,67 @@ def migrate_everything(spark, folder):
     months = preference_months(spark, folder).withColumnRenamed("paper_id", "id").repartition("month")
     write_table(months, f"{root}/by-month", fmt="csv", partition_by=["month"])
     for part in partitions(spark, f"{root}/by-month", 1):
-        _rename_part(spark, f"{root}/by-month/{part}", f"{root}/months/{part.removeprefix('month=')}.csv")
+        name_part(spark, f"{root}/by-month/{part}", f"{root}/months/{part.removeprefix('month=')}.csv")
     turn = F.col("turn")
     stamp = F.when(turn % 5 == 4, "").otherwise(F.concat(F.lit("2024-0"), (1 + turn % 5).cast("string"), F.lit("-02T00:00:00Z")))
     record = F.to_json(F.struct(F.col("conv_id").cast("string").alias("id"), F.col("text").alias("summary"), stamp.alias("summary_time")))
     lines = table(spark, folder, "conversations").orderBy("conv_id", "turn")
     value = F.when(F.col("conv_id") % 10 == 9, "not JSON").otherwise(record)
     lines.select(value.alias("value")).coalesce(1).write.text(f"{root}/lines")
-    _rename_part(spark, f"{root}/lines", f"{root}/summaries/all.jsonl")
+    name_part(spark, f"{root}/lines", f"{root}/summaries/all.jsonl")
     inputs = LegacyInputs(f"{root}/in", f"{root}/months", [(f"{root}/summaries", "raw")], models=["m1", "m2", "absent"])
     return migrate_all(spark, inputs, f"{root}/out", NOW_TEXT).report
 
 
-def _rename_part(spark, folder, path):
-    """The only part file of a folder under a name of its own."""
-    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
-    files = jvm.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.mkdirs(jvm.Path(path).getParent())
-    files.rename(files.globStatus(jvm.Path(f"{folder}/part-*"))[0].getPath(), jvm.Path(path))
+GUARDED_SQL = """
+WITH rows AS (SELECT lpad(CAST(o_orderkey % 12 AS VARCHAR), 1 + CAST(o_orderkey % 2 AS INTEGER), '0') AS part, o_orderkey FROM orders)
+SELECT part, count(*) AS rows, CAST(sum(CASE WHEN o_orderkey % 12 < 6 THEN 1 ELSE 10 END) AS BIGINT) AS marks FROM rows GROUP BY part"""
+
+
+@query(GUARDED_SQL)
+def write_missing_partitions(spark, folder):
+    """A second write adds the partitions that the table lacks and leaves the others; values such as 05 are text."""
+    path, key = scratch_path(spark, "guarded"), F.col("o_orderkey")
+    part = F.lpad((key % 12).cast("string"), F.lit(1) + (key % 2).cast("int"), F.lit("0")).alias("part")
+    rows = table(spark, folder, "orders").select(part, key)
+    write_table(rows.where(key % 12 < 6).withColumn("mark", F.lit(1)), path, partition_by=["part"])
+    for _ in range(2):
+        write_table(rows.withColumn("mark", F.lit(10)), path, partition_by=["part"])
+    stored = spark.read.schema("o_orderkey long, mark int, part string").parquet(path)
+    return stored.groupBy("part").agg(F.count("*").alias("rows"), F.sum("mark").alias("marks"))
+
+
+@query(f"""
+WITH rows AS (SELECT *, {day_sql('doc_id')}[1:4] AS year FROM documents LEFT JOIN embeddings ON vec_id = doc_id)
+SELECT year, CAST(doc_id AS VARCHAR) AS id, year = '2025' AND vec_id IS NOT NULL AS has_new,
+  round(CAST(embedding[1] AS DOUBLE), 6) AS head, CASE WHEN year = '2024' THEN CAST(doc_id AS VARCHAR) END AS old_only FROM rows""")
+def read_years_of_other_schemas(spark, folder):
+    """Yearly wide files that differ: a model only one year has, a column only the other has, floats and doubles."""
+    root = scratch_path(spark, "years")
+    rows = wide(spark, folder)
+    first = rows.where("year = '2024'").withColumn("old_only", F.col("id")).withColumn("m1", F.col("m1").cast("array<float>"))
+    first.drop("year", "m2").write.parquet(f"{root}/2024.parquet")
+    rows.where("year = '2025'").withColumn("m1", F.col("m1").cast("array<double>")).drop("year").write.parquet(f"{root}/2025.parquet")
+    read = read_year_files(spark, root)
+    head = F.round(F.get("m1", F.lit(0)), 6).alias("head")
+    return read.select("year", "id", F.col("m2").isNotNull().alias("has_new"), head, "old_only")
+
+
+@query(with_views("papers", """
+SELECT CAST(row_number() OVER (ORDER BY published_at, paper_id) AS BIGINT) + 1 AS line, paper_id FROM papers"""))
+def snapshot_order(spark, folder):
+    """The snapshot that a migration stores lists the oldest publication first; places are read back from its lines."""
+    root = scratch_path(spark, "snapshot")
+    rows = papers(spark, folder).select(
+        F.col("paper_id").alias("id"), F.lit("t").alias("title"), F.lit("a").alias("abstract"), F.array(F.lit("c")).alias("categories"),
+        F.array(F.lit("x")).alias("authors"), F.col("published_at").alias("created"), F.col("updated_at").alias("updated"),
+    )
+    rows.write.parquet(f"{root}/in/2024.parquet")
+    migrate_all(spark, LegacyInputs(f"{root}/in"), f"{root}/out", NOW_TEXT)
+    files = spark.read.option("pathGlobFilter", "*.csv").text(f"{root}/out/latest")
+    lines = with_line_numbers(files).withColumn("file", F.element_at(F.split("path", "/"), -1))
+    # Files are in order too, each with a header line of its own.
+    before = lines.groupBy("file").agg((F.count("*") - 1).alias("n"))
+    places = before.withColumn("skip", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    named = lines.where("line > 1").join(places, "file")
+    return named.select((F.col("line") + F.col("skip")).alias("line"), F.split_part("value", F.lit(","), F.lit(1)).alias("paper_id"))

@@ -37,6 +37,24 @@ def coded_id_sql(c: str) -> str:
     return f"'doc/' || substr({date}, 3, 2) || substr({date}, 6, 2) || CAST({c} AS VARCHAR)"
 
 
+def name_parts(spark: SparkSession, folder: str, target: str, suffix: str) -> None:
+    """The part files of a folder, in their order, as files of `target` with another suffix."""
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    files = jvm.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(jvm.Path(target))
+    for status in files.globStatus(jvm.Path(f"{folder}/part-*")) or []:
+        path = status.getPath()
+        files.rename(path, jvm.Path(f"{target}/{path.getName().split('.')[0]}{suffix}"))
+
+
+def name_part(spark: SparkSession, folder: str, path: str) -> None:
+    """The only part file of a folder under a name of its own."""
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    files = jvm.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(jvm.Path(path).getParent())
+    files.rename(files.globStatus(jvm.Path(f"{folder}/part-*"))[0].getPath(), jvm.Path(path))
+
+
 VIEWS = {}
 
 

@@ -102,6 +102,13 @@ def test_nothing_is_published_if_a_check_fails(spark, folder):
         migrate_all(spark, LegacyInputs(summaries=inputs.summaries), f"{folder}/out2", "NOW")
 
 
+def test_wide_years_without_vectors(spark, folder):
+    row = ("1", "T", "A", ["c"], ["X"], "2024-01-01", "2024-02-01", None)
+    spark.createDataFrame([row], WIDE).drop("m1").write.parquet(f"{folder}/wide/2024.parquet")
+    run = migrate_all(spark, LegacyInputs(f"{folder}/wide"), f"{folder}/out", "NOW")
+    assert run.published == ("metadata/year=2024",) and report(run)[("metadata", "2024", None)] == 1
+
+
 def test_staging_counts_what_it_writes(spark, folder):
     df = spark.createDataFrame([(1, "x", 2024), (None, "y", 2024), (3, None, None)], "a int, `b c` string, year int")
     staged = stage(df, "t", f"{folder}/aside", f"{folder}/t", ["a", "b c", "d"], partition_by=["year"], sort_by=["a"])
