@@ -2,6 +2,7 @@
 
 from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,7 +22,8 @@ def read_csv_by_header(
     """CSV files whose columns may differ in order and number, matched by header name.
 
     A given schema is applied by position, so each distinct header line (there are only ever a few)
-    gets its own read, kept to the files that carry it. Columns a file lacks come back as null.
+    gets its own read of the files that carry it: rows are read once. The driver holds the file names, as for any scan.
+    Columns a file lacks come back as null.
     Each set in `required` names columns of which every file must have at least one.
     """
     options = {"recursiveFileLookup": True, "pathGlobFilter": "*.csv"}
@@ -37,22 +39,19 @@ def read_csv_by_header(
         .groupBy("file")
         .agg(F.min_by("line", "seq").alias("header"))
     )
-    headers = [row.header for row in heads.select("header").distinct().collect()]
-    if not headers:
+    files: dict[str, list[str]] = {}
+    for row in heads.orderBy("file").collect():
+        files.setdefault(row.header, []).append(unquote(row.file))
+    if not files:
         raise ValueError(f"no CSV file with content below {path}")
     frames = []
-    for header in headers:
+    for header, paths in files.items():
         names = header_names(header)
         for choice in required:
             if not choice & set(names):
                 raise ValueError(f"CSV header {header!r} has none of {sorted(choice)}")
         layout = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        frame = spark.read.options(**CSV_OPTIONS, **options).schema(layout).csv(path)
-        if len(headers) > 1:
-            files = heads.where(F.col("header") == header).select("file")
-            frame = frame.withColumn("file", F.col("_metadata.file_path")).join(
-                files, "file", "left_semi"
-            )
+        frame = spark.read.options(**CSV_OPTIONS).schema(layout).csv(paths)
         frames.append(
             frame.select(
                 *[
