@@ -49,10 +49,13 @@ def kinds(blocks: DataFrame) -> DataFrame:
 
 
 def wanted(rows: DataFrame, chosen: DataFrame, *more: str) -> DataFrame:
-    """(uid, text, places): the documents that hold the place of a chosen kind; `more` names further columns of a place."""
+    """(uid, text, places): the documents that hold the place of a chosen kind; `more` names further columns of a place.
+
+    A row that is repeated whole comes once: its copies are dropped in the map tasks.
+    """
     places = chosen.groupBy("uid").agg(F.collect_list(F.struct("kind", "start", "size", "copies", "anchor", *more)).alias("places"))
-    once = rows.join(places, "uid").select("uid", "text", "places")
-    return once
+    once = rows.groupBy("uid").agg(F.first("text").alias("text"))
+    return once.join(places, "uid").select("uid", "text", "places")
 
 
 def by_fingerprint(rows: DataFrame, chosen: DataFrame, prints: Callable) -> DataFrame:
