@@ -101,17 +101,16 @@ def item_seeds(items: DataFrame) -> DataFrame:
 
 
 def item_words(benchmark: DataFrame) -> DataFrame:
-    """(item_id, item, words): an own number per row, and its word hashes."""
+    """(key, item, words): a number and the word hashes of each different text; `key` is a hash of the text."""
 
     def run(batches):
         for batch in slices(batches):
             hashes, first = word_hashes([text_words(t) for t in batch.column(1).to_pylist()])
             lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["item_id", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["key", "words"])
 
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    found = rows.distinct().mapInArrow(run, "item_id long, words array<long>")
-    return found.select("item_id", F.monotonically_increasing_id().alias("item"), "words")
+    found = benchmark.groupBy("key").agg(F.first("text").alias("text")).mapInArrow(run, "key string, words array<long>")
+    return found.select("key", F.monotonically_increasing_id().alias("item"), "words")
 
 
 def bitmap(known: DataFrame) -> np.ndarray:
@@ -194,7 +193,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, kind: str = "long") -> D
 
     `kind`, long or string, is the type of doc_id.
     """
-    items = materialise(item_words(benchmark), "items")
+    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    rows = rows.select("item_id", F.sha2("text", 256).alias("key"), "text")
+    items = materialise(item_words(rows), "items")
+    names = rows.select("item_id", "key").distinct().join(items.select("key", "item"), "key").select("item_id", "item")
     known = materialise(item_seeds(items.select("item", "words")), "seeds")
     size = F.size("words")
     short = [row.n for row in items.where((size >= SHORTEST) & (size < WORDS)).select(size.alias("n")).distinct().collect()]
@@ -203,7 +205,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, kind: str = "long") -> D
     hits = found.select("region", F.explode("hits").alias("h")).select("region", F.col("h.at").alias("place"), "h.seed")
     pairs = hits.join(known, "seed").select("region", "item", (F.col("place") - F.col("at")).alias("shift")).distinct()
     facing = pairs.join(found.select("region", "doc_id", "start", "words"), "region").join(
-        items.select("item", "item_id", F.col("words").alias("theirs")), "item"
+        items.select("item", F.col("words").alias("theirs")), "item"
     )
 
     def run(batches):
@@ -216,12 +218,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, kind: str = "long") -> D
                     out.append((row[0], row[1], row[2] + best[0], best[1], best[2] / best[1]))
             columns = list(zip(*out)) or [[]] * 5
             kinds = [_ARROW[kind], pa.int64(), pa.int32(), pa.int32(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "first_word", "n_words", "similarity"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item", "first_word", "n_words", "similarity"])
 
-    checked = facing.select("doc_id", "item_id", "start", "shift", "words", "theirs").mapInArrow(
-        run, f"doc_id {kind}, item_id long, first_word int, n_words int, similarity double"
+    checked = facing.select("doc_id", "item", "start", "shift", "words", "theirs").mapInArrow(
+        run, f"doc_id {kind}, item long, first_word int, n_words int, similarity double"
     )
     best = F.max(F.struct("n_words", "similarity", (-F.col("first_word")).alias("before"))).alias("b")
-    return checked.groupBy("doc_id", "item_id").agg(best).select(
+    # Ids of equal items, or of one that is repeated, share what is found; an id with several texts has the longest.
+    found = checked.groupBy("doc_id", "item").agg(best).join(names, "item")
+    return found.groupBy("doc_id", "item_id").agg(F.max("b").alias("b")).select(
         "doc_id", "item_id", (-F.col("b.before")).alias("first_word"), "b.n_words", "b.similarity"
     )

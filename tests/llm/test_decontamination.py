@@ -94,3 +94,13 @@ def test_all_documents_against_all_items(spark):
             if best and (len(theirs) >= WORDS or exact or len(theirs) >= SPAN and (d, i) in got):
                 want[d, i] = best
     assert got == want and len(want) > 20
+
+
+def test_equal_items_share_what_is_found(spark):
+    draw = random.Random(2)
+    passages = [" ".join(f"w{draw.randrange(10**6)}" for _ in range(20)) for _ in range(2)]
+    items = [(i, passages[0]) for i in range(50)] + [(7, passages[1]), (None, passages[0])]
+    docs = [(1, "x y " + passages[0]), (2, passages[1] + " z"), (3, "nothing")]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(((r.doc_id, r.item_id, r.first_word, r.n_words) for r in contaminated(*frames).collect()), key=str)
+    assert got == sorted([(1, i, 2, 20) for i in [*range(50), None]] + [(2, 7, 0, 20)], key=str)
