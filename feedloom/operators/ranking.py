@@ -11,7 +11,7 @@ from ..functions.vectors import concat_vectors, linear_probability
 from .sampling import sample_exact, sample_target
 
 LIKE = "like"
-ROWS_PER_TASK = 50_000  # every solver step is a job: smaller tasks are mostly overhead
+VALUES_PER_TASK = 1 << 23  # feature values; every solver step is a job: smaller tasks are mostly overhead
 
 
 def training_set(
@@ -65,11 +65,12 @@ def fit_ranker(
     loss by the weight sum, which is n, hence the regularisation 1 / (C * n).
     """
     n, weight = balanced_weight(train)
+    width = train.select(F.size("features")).first()[0]
     rows = train.select(
         array_to_vector("features").alias("features"),
         F.col("label").cast("double").alias("label"),
         weight.alias("weight"),
-    ).coalesce(1 + n // ROWS_PER_TASK)
+    ).coalesce(1 + n * max(width, 1) // VALUES_PER_TASK)
     model = LogisticRegression(
         weightCol="weight",
         regParam=1.0 / (C * n),

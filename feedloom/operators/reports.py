@@ -44,6 +44,23 @@ def window_stats(df: DataFrame, seq: str = "seq") -> DataFrame:
     )
 
 
+def harvest_counts(records: DataFrame) -> DataFrame:
+    """What becomes of harvested records, as one row: all of them, deleted ones, unusable ones without an id, and those kept."""
+    deleted = F.coalesce(F.col("header._status") == "deleted", F.lit(False))
+    usable = F.coalesce(F.length("metadata.arXiv.id") > 0, F.lit(False))
+    return records.agg(
+        F.count("*").alias("records"),
+        F.count_if(deleted).alias("deleted"),
+        F.count_if(~deleted & ~usable).alias("unusable"),
+        F.count_if(~deleted & usable).alias("kept"),
+    )
+
+
+def line_counts(lines: DataFrame, key: str = "id") -> DataFrame:
+    """Lines of JSON read with a schema, as one row: all of them, and those that are not JSON or have no `key`."""
+    return lines.agg(F.count("*").alias("lines"), F.count_if(F.col(key).isNull()).alias("unusable"))
+
+
 def job_metrics(runs: DataFrame) -> DataFrame:
     """Run counts and the latest outcome per job.
 

@@ -65,7 +65,10 @@ def find_cut(df: DataFrame, k, tier: Column, rank: Column, key: Column) -> Cut |
         low, high = low + row["bucket"] * width, low + (row["bucket"] + 1) * width
         # Stop when the bucket is small enough to order, or cannot be split any further.
         if row["count"] <= SORT_LIMIT or (high - low) / BUCKETS <= math.ulp(high):
-            last = rows.orderBy("rank", "key").offset(left - 1).limit(1).collect()[0]
+            # Rows of one key are one row of this order, however many there are.
+            each = rows.groupBy("tier", "rank", "key").agg(F.count("*").alias("n"))
+            upto = F.sum("n").over(Window.orderBy("rank", "key"))
+            last = each.withColumn("upto", upto).where(F.col("upto") >= left).orderBy("upto").first()
             return Cut(last["tier"], last["rank"], last["key"])
 
 

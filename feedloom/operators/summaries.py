@@ -31,11 +31,19 @@ HIGHLIGHTS_HEADING, DETAIL_HEADING = "Highlights", "Detailed Summary"
 PAGE_LINK = "https://arxiv.org/abs/"
 
 
+# Named characters of HTML; the ampersand is last, so what it spells is not read again.
+ENTITIES = (
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"),
+)
+
+
 def html_text(c: Column) -> Column:
-    """Readable text of an HTML fragment: no scripts, styles, comments or tags, spaces squeezed."""
+    """Readable text of an HTML fragment: no scripts, styles, comments or tags, named characters read, spaces squeezed."""
     bare = F.regexp_replace(c, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ")
-    text = F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", " "), r"\s+", " ")
-    return computed_once(strip(text))
+    text = F.regexp_replace(bare, r"(?s)<[^>]*>", " ")
+    for name, character in ENTITIES:
+        text = F.replace(text, F.lit(name), F.lit(character))
+    return computed_once(strip(F.regexp_replace(text, r"\s+", " ")))
 
 
 def article_text(c: Column) -> Column:

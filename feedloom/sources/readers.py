@@ -119,9 +119,14 @@ def read_preferences(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.coalesce("id", "paper_id").alias("id"), "preference", "recorded_at")
 
 
+def read_summary_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The id of every summary line, null where a line has none or is not JSON; `reports.line_counts` counts those."""
+    return spark.read.schema("id string").json(path)
+
+
 def read_summary_ids(spark: SparkSession, path: str) -> DataFrame:
     """Ids that already have a summary; lines that are not JSON are left out."""
-    return spark.read.schema("id string").json(path).where(F.col("id").isNotNull())
+    return read_summary_lines(spark, path).where(F.col("id").isNotNull())
 
 
 def read_harvest_xml(spark: SparkSession, path: str) -> DataFrame:

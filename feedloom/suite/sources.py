@@ -2,20 +2,20 @@
 
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions.text import join_list
 from ..operators.candidates import drop_known
 from ..operators.dedup import keep_latest_any
 from ..operators.files import exclude_globs, file_manifest, latest_run
-from ..operators.reports import year_counts
+from ..operators.reports import harvest_counts, line_counts, year_counts
 from ..operators.reshape import normalise_schema, split_by_year
+from ..plans.vectors import clean_stored_vectors
 from ..session import scratch_path
 from ..sources.readers import (
     list_files, load_shortlist, metadata_view, parse_harvest, read_harvest_xml, read_metadata,
-    read_preferences, read_summary_ids, read_vectors,
+    read_preferences, read_summary_ids, read_summary_lines, read_vectors,
 )
-from ..plans.vectors import clean_stored_vectors
 from ..sources.writers import write_metadata, write_run, write_table, write_vectors
-from .. import schemas
 from .registry import query
 from .views import day, day_sql, done, papers, prefs, strip_sql, table, vec_a, with_views
 
@@ -89,6 +89,15 @@ SELECT CAST(doc_id AS VARCHAR) AS paper_id, {strip_sql(f"split_part({CLEAN_SQL},
 FROM documents WHERE lang <> 'de' AND source <> 'src7'""")
 def parse_harvest_records(spark, folder):
     """Harvest pages made from the documents: deleted records in one language, empty ones in one source."""
+    rows = parse_harvest(read_harvest_xml(spark, _landed_harvest(spark, folder)))
+    return rows.select(
+        "paper_id", "title", F.md5(F.col("abstract").cast("binary")).alias("abstract_md5"),
+        "categories", "primary_category", "authors", "published_at", "updated_at", "doi", "license",
+        "source",
+    )
+
+
+def _landed_harvest(spark, folder):
     text = F.regexp_replace("text", CONTROL, " ")
     key = F.col("doc_id").cast("string")
 
@@ -119,12 +128,27 @@ def parse_harvest_records(spark, folder):
     )
     path = scratch_path(spark, "harvest")
     records.write.format("xml").options(rowTag="record", rootTag="ListRecords").save(path)
-    rows = parse_harvest(read_harvest_xml(spark, path))
-    return rows.select(
-        "paper_id", "title", F.md5(F.col("abstract").cast("binary")).alias("abstract_md5"),
-        "categories", "primary_category", "authors", "published_at", "updated_at", "doi", "license",
-        "source",
-    )
+    return path
+
+
+@query("""
+SELECT count(*) AS records, CAST(count_if(lang = 'de') AS BIGINT) AS deleted,
+  CAST(count_if(lang <> 'de' AND source = 'src7') AS BIGINT) AS unusable,
+  CAST(count_if(lang <> 'de' AND source <> 'src7') AS BIGINT) AS kept FROM documents""")
+def count_harvest_records(spark, folder):
+    """The same pages: how many records were deleted, and how many cannot be used."""
+    return harvest_counts(read_harvest_xml(spark, _landed_harvest(spark, folder)))
+
+
+@query("""
+SELECT count(*) AS lines, CAST(count_if(conv_id % 7 = 0 OR turn = 2) AS BIGINT) AS unusable FROM conversations""")
+def count_summary_lines(spark, folder):
+    """Summary lines, some without an id and some that are no JSON."""
+    path, key = scratch_path(spark, "lines"), F.col("conv_id")
+    record = F.to_json(F.struct(F.when(key % 7 != 0, key.cast("string")).alias("id"), "role"))
+    lines = table(spark, folder, "conversations").select(F.when(F.col("turn") == 2, F.lit("{broken")).otherwise(record).alias("value"))
+    lines.write.text(path)
+    return line_counts(read_summary_lines(spark, path))
 
 
 @query("""

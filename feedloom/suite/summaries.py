@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.reports import summary_manifest
 from ..operators.summaries import (
-    HEADER, NO_ABSTRACT, NO_HIGHLIGHTS, NO_LATEX_PROMPT, SYSTEM_PROMPT, article_text, body_text,
+    ENTITIES, HEADER, NO_ABSTRACT, NO_HIGHLIGHTS, NO_LATEX_PROMPT, SYSTEM_PROMPT, article_text, body_text,
     build_prompts, extract_content, json_in_key_order, merge_summaries, normalise_summaries, parse_model_output,
     plain_markdown, render_article, render_markdown, reply_content, stub_summary, summary_records, summary_sections,
 )
@@ -27,8 +27,11 @@ def md5(name):
 
 def _html_sql(x: str) -> str:
     bare = f"regexp_replace({x}, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g')"
-    text = f"regexp_replace(regexp_replace({bare}, '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')"
-    return f"nullif({strip_sql(text)}, '')"
+    text = f"regexp_replace({bare}, '(?s)<[^>]*>', ' ', 'g')"
+    for name, character in ENTITIES:
+        text = f"replace({text}, '{name}', '{character.replace(chr(39), chr(39) * 2)}')"
+    squeezed = f"regexp_replace({text}, '\\s+', ' ', 'g')"
+    return f"nullif({strip_sql(squeezed)}, '')"
 
 
 ARTICLE_SQL = _html_sql(r"nullif(regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article>', 1), '')")

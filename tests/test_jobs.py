@@ -392,12 +392,12 @@ def test_records_leave_absent_keys_out(spark):
 
 
 def test_extraction_order(spark):
-    pages = ["<body><article>A <b>x</b></article> rest</body>", "<body>B<script>no</script><!-- c --></body>", "<p>none</p>", None,
+    pages = ["<body><article>A <b>x</b></article> rest</body>", "<body>B &amp;lt; &lt;b&gt;&nbsp;&#39;q&#39;<script>no</script><!-- c --></body>", "<p>none</p>", None,
              "<body>C<article> </article></body>"]
     df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string")
     chain = [("article", article_text(F.col("html"))), ("body", body_text(F.col("html")))]
     ok, rejected = split_extracted(extract_content(df, chain))
-    assert rows(ok, "i", "content", "origin") == [(0, "A x", "article"), (1, "B", "body"), (4, "C", "body")]
+    assert rows(ok, "i", "content", "origin") == [(0, "A x", "article"), (1, "B &lt; <b> 'q'", "body"), (4, "C", "body")]
     assert rows(rejected, "i", "reason") == [(2, "no text in article or body"), (3, "no text in article or body")]
 
 

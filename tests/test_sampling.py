@@ -117,3 +117,17 @@ def test_batches_of_any_number_are_the_smallest_ranks(spark, monkeypatch):
     assert random_id_batches(df, 3, 900, 5).count() == 1500 and random_id_batches(df, 0, 9, 5).count() == 0
     plan = random_id_batches(df, 100, 5, 1)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan") == 1
+
+
+def test_a_repeated_key_is_one_row_of_the_order(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "SORT_LIMIT", 5)
+    df = spark.range(40).select(F.when(F.col("id") < 30, "same").otherwise(F.col("id").cast("string")).alias("id"))
+    ranks = {r.id: r.u for r in df.select("id", uniform(3, F.col("id")).alias("u")).distinct().collect()}
+    for k in (1, 7, 31, 40):
+        got, taken = sample_exact(df, k, 3), 0
+        want = []
+        for key in sorted(ranks, key=lambda i: (ranks[i], i)):
+            if taken < k:
+                want.append(key)
+                taken += 30 if key == "same" else 1
+        assert sorted({r.id for r in got.collect()}) == sorted(want)
