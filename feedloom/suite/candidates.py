@@ -78,7 +78,9 @@ def joined(spark, folder):
 
 @query(with_views("papers vec_a vec_b", """
 SELECT id, title, updated_at AS updated, len(vec_a) AS dim_a, len(vec_b) AS dim_b,
-  CAST(vec_a[1] AS DOUBLE) AS head_a, CAST(vec_b[16] AS DOUBLE) AS tail_b
+  CAST(vec_a[1] AS DOUBLE) AS head_a, CAST(vec_b[16] AS DOUBLE) AS tail_b,
+  round(list_sum(list_transform(range(1, 65), lambda i: i * CAST(vec_a[i] AS DOUBLE))), 4) AS mark_a,
+  round(list_sum(list_transform(range(1, 17), lambda i: i * CAST(vec_b[i] AS DOUBLE))), 4) AS mark_b
 FROM papers JOIN vec_a ON paper_id = vec_a.id JOIN vec_b USING (id)"""), name="join_vectors")
 def join_all_vectors(spark, folder):
     return joined(spark, folder).select(
@@ -86,9 +88,16 @@ def join_all_vectors(spark, folder):
         F.size("vec_a").cast("long").alias("dim_a"), F.size("vec_b").cast("long").alias("dim_b"),
         F.get("vec_a", F.lit(0)).cast("double").alias("head_a"),
         F.get("vec_b", F.lit(15)).cast("double").alias("tail_b"),
+        _mark("vec_a").alias("mark_a"), _mark("vec_b").alias("mark_b"),
     )
 
 
+def _mark(vector):
+    """A number that depends on every element and its place."""
+    placed = F.transform(vector, lambda x, i: x.cast("double") * (i + 1))
+    return F.round(F.aggregate(placed, F.lit(0.0), lambda a, x: a + x), 4)
+
+
 @query(with_views("papers vec_a prefs", """
 SELECT id, title, preference FROM papers JOIN vec_a ON paper_id = vec_a.id JOIN prefs USING (id)"""))
 def split_preferred(spark, folder):

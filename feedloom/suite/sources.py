@@ -178,7 +178,7 @@ def metadata_year_counts(spark, folder):
 @query("""
 SELECT CAST(doc_id AS VARCHAR) AS paper_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS title,
   array_to_string(list_filter([source, lang], lambda x: x <> ''), '|') AS categories,
-  CAST(n_chars AS DOUBLE) / 4 AS score FROM documents""", name="load_shortlist")
+  CAST(n_chars AS DOUBLE) / 4 AS score, md5(coalesce(text, '')) AS abstract_md5 FROM documents""", name="load_shortlist")
 def load_summary_shortlist(spark, folder):
     """A JSON shortlist whose id is in either of two columns; categories are one text."""
     c = F.col("doc_id")
@@ -193,7 +193,8 @@ def load_summary_shortlist(spark, folder):
     path = scratch_path(spark, "shortlist") + "/recommended.jsonl"
     write_table(rows, path, fmt="json")
     return load_shortlist(spark, path).select(
-        "paper_id", "title", join_list(F.col("categories"), "|").alias("categories"), "score"
+        "paper_id", "title", join_list(F.col("categories"), "|").alias("categories"), "score",
+        F.md5(F.col("abstract").cast("binary")).alias("abstract_md5"),
     )
 
 

@@ -141,10 +141,10 @@ def stream_counts(spark, folder):
 
 
 @query(f"""
-SELECT source, '20' || substr(paper_id, 5, 2) AS year, count(*) AS rows FROM (
+SELECT source, '20' || substr(paper_id, 5, 2) AS year, paper_id FROM (
   SELECT {coded_id_sql('vec_id')} AS paper_id, 'stored' AS source FROM embeddings
   UNION ALL SELECT {coded_id_sql('doc_id')}, 'embedding' FROM documents
-  WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) GROUP BY ALL""", name="stream_backlog")
+  WHERE doc_id NOT IN (SELECT vec_id FROM embeddings))""", name="stream_backlog")
 def stream_missing_vectors(spark, folder):
     """The table starts with the given vectors; the stream adds those of all other documents."""
     path = scratch_path(spark, "vectors")
@@ -157,8 +157,4 @@ def stream_missing_vectors(spark, folder):
     meta = views.papers(StreamSource(spark), folder)
     meta = meta.withColumn("paper_id", coded_id(F.col("paper_id").cast("long")))
     finish(stream_backlog(meta, path, path + "-offsets", "m", "hashing", "2025"))
-    return (
-        spark.read.parquet(path)
-        .groupBy("source", F.col("year").cast("string").alias("year"))
-        .agg(F.count("*").alias("rows"))
-    )
+    return spark.read.parquet(path).select("source", F.col("year").cast("string").alias("year"), "paper_id")

@@ -406,34 +406,28 @@ def report_migration(spark, folder):
 
 
 @query(f"""
-WITH wide AS (SELECT {day_sql('doc_id')}[1:4] AS year, vec_id FROM documents LEFT JOIN embeddings ON vec_id = doc_id)
-SELECT 'metadata' AS part, year, count(*) AS rows FROM wide GROUP BY year
-UNION ALL SELECT 'm1', year, count(*) FROM wide GROUP BY year
-UNION ALL SELECT 'm2', year, count(*) FROM wide GROUP BY year
-UNION ALL SELECT 'latest', 'all', count(*) FROM wide""")
+WITH wide AS (SELECT {day_sql('doc_id')}[1:4] AS year, CAST(doc_id AS VARCHAR) AS paper_id, text, embedding
+  FROM documents LEFT JOIN embeddings ON vec_id = doc_id)
+SELECT 'metadata' AS part, year, paper_id, md5(text) AS detail FROM wide
+UNION ALL SELECT 'm1', year, paper_id, CAST(len(embedding) AS VARCHAR) FROM wide
+UNION ALL SELECT 'm2', year, paper_id, CAST(len(embedding[1:16]) AS VARCHAR) FROM wide
+UNION ALL SELECT 'latest', 'all', paper_id, split_part(text, chr(10), 1) FROM wide""")
 def migrate_wide_years(spark, folder):
-    """Yearly wide files, read by name, through the whole migration; what is stored is counted."""
+    """Yearly wide files, read by name, through the whole migration; what is stored is read back."""
     root = scratch_path(spark, "migration")
     rows = wide(spark, folder)
     for year in ("2024", "2025"):
         rows.where(F.col("year") == year).drop("year").write.parquet(f"{root}/in/{year}.parquet")
     migrate_wide(read_year_files(spark, f"{root}/in"), f"{root}/out", ["m1", "m2", "absent"])
     year = F.col("year").cast("string").alias("year")
-
-    def counted(name, *keys):
-        return spark.read.parquet(f"{root}/out/{name}").groupBy(*keys, year).agg(F.count("*").alias("rows"))
-
+    stored, vectors = (spark.read.parquet(f"{root}/out/{name}") for name in ("metadata", "embeddings"))
     latest = read_metadata(spark, f"{root}/out/latest")
-    return (
-        counted("metadata")
-        .select(F.lit("metadata").alias("part"), "year", "rows")
-        .unionByName(counted("embeddings", "model").withColumnRenamed("model", "part"))
-        .unionByName(
-            latest.agg(F.count("*").alias("rows")).select(
-                F.lit("latest").alias("part"), F.lit("all").alias("year"), "rows"
-            )
-        )
-    )
+    parts = [
+        stored.select(F.lit("metadata").alias("part"), year, "paper_id", F.md5(F.col("abstract").cast("binary")).alias("detail")),
+        vectors.select("model", year, "paper_id", F.col("model_dim").cast("string")),
+        latest.select(F.lit("latest"), F.lit("all"), "paper_id", "title"),
+    ]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 @query(with_views("preference_months", EVENTS_SQL + f"""
