@@ -46,19 +46,19 @@ def align_union(
     return aligned(existing).unionByName(aligned(new), allowMissingColumns=True).select(*names)
 
 
-def embedding_inputs(meta: DataFrame, path: Column | None = None) -> DataFrame:
+def embedding_inputs(meta: DataFrame, path: Column | None = None, strict: bool = True) -> DataFrame:
     """(paper_id, text, year) to embed; the year comes from the id, else from the file path.
 
-    Rows whose year cannot be told fail the query, naming the id.
+    Rows whose year cannot be told fail the query, naming the id, or have a null year if not `strict`.
     """
     year = year_from_id(F.col("paper_id"))
     if path is not None:
         year = F.coalesce(year, year_from_path(path))
-    message = F.concat(F.lit("no publication year for paper_id "), F.col("paper_id"))
+    if strict:
+        message = F.concat(F.lit("no publication year for paper_id "), F.col("paper_id"))
+        year = F.coalesce(year, F.raise_error(message).cast("string"))
     return meta.where(F.length("paper_id") > 0).select(
-        "paper_id",
-        embedding_text(F.col("title"), F.col("abstract")).alias("text"),
-        F.coalesce(year, F.raise_error(message).cast("string")).alias("year"),
+        "paper_id", embedding_text(F.col("title"), F.col("abstract")).alias("text"), year.alias("year")
     )
 
 

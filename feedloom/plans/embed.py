@@ -27,9 +27,13 @@ def vector_rows(
     )
 
 
-def pending_inputs(meta: DataFrame, path: str, model: str, overwrite: bool = False) -> DataFrame:
-    """(paper_id, text, year) to embed for one model."""
-    inputs = embedding_inputs(meta)
+def pending_inputs(
+    meta: DataFrame, path: str, model: str, overwrite: bool = False, strict: bool = True
+) -> DataFrame:
+    """(paper_id, text, year) to embed for one model; rows without a year are an error, or left out if not `strict`."""
+    inputs = embedding_inputs(meta, strict=strict)
+    if not strict:
+        inputs = inputs.where(F.col("year").isNotNull())
     ids = None if overwrite else existing_vector_ids(meta.sparkSession, path, model)
     if ids is None:
         return keep_first(inputs, "paper_id", ["year", "text"])

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.feedback import reaction_counts, reaction_label
 from ..operators.inference import BackendFactory
+from ..operators.reshape import embedding_inputs
 from ..operators.reports import job_metrics
 from ..plans.embed import pending_inputs, vector_rows
 from ..plans.ingest import upsert_metadata
@@ -102,14 +103,31 @@ def stream_backlog(
     generated_at: str,
     trigger: dict = AVAILABLE_NOW,
 ) -> StreamingQuery:
-    """Vectors for new metadata. Stored ids are skipped, so a replayed batch adds nothing."""
+    """Vectors for new metadata. Stored ids are skipped, so a replayed batch adds nothing.
+
+    An id that tells no year does not stop the stream: it is set aside, to be read with `rejected_ids`.
+    """
     def write(batch: DataFrame, _: int) -> None:
-        todo = pending_inputs(batch, path, model)
+        undated = embedding_inputs(batch, strict=False).where(F.col("year").isNull())
+        table = rejected_table(path, model)
+        append_version(undated.select("paper_id").distinct(), table)
+        compact(batch.sparkSession, table)
+        todo = pending_inputs(batch, path, model, strict=False)
         write_vectors(vector_rows(todo, model, backend, generated_at), path, models=[model], only_new=True)
 
     return _start(meta, write, checkpoint, "append", trigger)
 
 
+def rejected_table(path: str, model: str) -> Versions:
+    """Ids that `stream_backlog` could not place; a folder that readers of the vectors pass over."""
+    return Versions(f"{path}/_rejected/{model}", newest(["paper_id"]), (), T.StructType.fromDDL("paper_id string"))
+
+
+def rejected_ids(spark: SparkSession, path: str, model: str) -> DataFrame:
+    """(paper_id): metadata without a vector because its id tells no year."""
+    return read_versions(spark, rejected_table(path, model))
+
+
 def _day(event_time: str) -> Column:
     return F.coalesce(F.to_date(event_time).cast("string"), F.lit("none")).alias("day")
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.ids import (
-    category_setspec, extract_id, iso_year, month_bucket, month_order, year_from_id,
+    category_setspec, extract_id, iso_year, month_bucket, month_order, year_from_id, year_from_path,
 )
 from ..functions.text import first_item, first_sentences, join_list, split_list
 from ..operators.reshape import embedding_inputs, split_by_year
@@ -176,3 +176,18 @@ def embedding_texts(spark, folder):
     return embedding_inputs(meta).select(
         "paper_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "year"
     )
+
+
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 5 WHEN 4 THEN NULL ELSE strftime(o_orderdate, '%Y') END AS year FROM orders""")
+def year_from_file_path(spark, folder):
+    """Paths with the year in the file name, in its folder, in both, or nowhere."""
+    key, year = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy")
+    path = (
+        F.when(key % 5 == 0, F.concat(F.lit("feed/metadata/metadata-"), year, F.lit(".csv")))
+        .when(key % 5 == 1, F.concat(F.lit("feed/"), year, F.lit("/part-00001.parquet")))
+        .when(key % 5 == 2, F.concat(F.lit("feed/of_"), year, F.lit("/1999.parquet")))
+        .when(key % 5 == 3, F.concat(F.lit("a/b-c/"), year, F.lit("_v2.tar.gz")))
+        .otherwise(F.concat(F.lit("feed/x"), year, F.lit("/12345.csv")))
+    )
+    return table(spark, folder, "orders").select("o_orderkey", year_from_path(path).alias("year"))

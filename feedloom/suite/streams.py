@@ -7,7 +7,7 @@ from ..session import scratch_path
 from ..sources.versions import FAN, all_runs
 from ..sources.writers import write_vectors
 from ..streaming.jobs import (
-    feedback_state, file_stream, latest_state, preference_windows, stream_backlog, stream_feedback,
+    feedback_state, file_stream, latest_state, preference_windows, rejected_ids, stream_backlog, stream_feedback,
     stream_job_metrics, stream_preference_counts, stream_upsert,
 )
 from . import views
@@ -158,3 +158,17 @@ def stream_missing_vectors(spark, folder):
     meta = meta.withColumn("paper_id", coded_id(F.col("paper_id").cast("long")))
     finish(stream_backlog(meta, path, path + "-offsets", "m", "hashing", "2025"))
     return spark.read.parquet(path).select("source", F.col("year").cast("string").alias("year"), "paper_id")
+
+
+@query(f"""
+SELECT 'stored' AS place, {coded_id_sql('doc_id')} AS paper_id FROM documents WHERE doc_id % 9 <> 4
+UNION ALL SELECT 'rejected', 'no year ' || CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 9 = 4""")
+def stream_backlog_of_bad_ids(spark, folder):
+    """Ids that tell no year are set aside; the others get their vectors."""
+    path, key = scratch_path(spark, "vectors"), F.col("paper_id").cast("long")
+    meta = views.papers(StreamSource(spark), folder)
+    bad = F.concat(F.lit("no year "), F.col("paper_id"))
+    meta = meta.withColumn("paper_id", F.when(key % 9 == 4, bad).otherwise(coded_id(key)))
+    finish(stream_backlog(meta, path, path + "-offsets", "m", "hashing", "2025"))
+    stored = spark.read.parquet(path).select(F.lit("stored").alias("place"), "paper_id")
+    return stored.unionByName(rejected_ids(spark, path, "m").select(F.lit("rejected").alias("place"), "paper_id"))

@@ -32,7 +32,7 @@ from feedloom.sources.versions import Versions, newest, stored_rows
 from feedloom.sources.writers import save_bucketed, write_run, write_vectors
 from feedloom.streaming import jobs
 from feedloom.streaming.jobs import (
-    feedback_state, latest_state, preference_windows, stream_backlog, stream_feedback, stream_job_metrics,
+    feedback_state, latest_state, preference_windows, rejected_ids, stream_backlog, stream_feedback, stream_job_metrics,
     stream_preference_counts, stream_upsert,
 )
 
@@ -477,6 +477,16 @@ def test_streamed_backlog_adds_only_missing_vectors(spark, folder):
     assert rows(spark.read.parquet(f"{folder}/out"), "paper_id", "generated_at") == [("2401.00001", "t1"), ("2401.00002", "t2")]
 
 
+def test_a_bad_id_does_not_stop_the_backlog(spark, folder):
+    schema = "paper_id string, title string, abstract string"
+    stream = landing(spark, folder, "in", spark.createDataFrame([("2401.00001", "T", "A"), ("nobody knows", "T", "A")], schema))
+    stream_backlog(stream(), f"{folder}/out", f"{folder}/c", "m", Counting, "t1").awaitTermination()
+    landing(spark, folder, "in", spark.createDataFrame([("nobody knows", "T", "A"), ("", "T", "A"), ("x", "T", "A"), ("2402.00001", "T", "A")], schema))
+    stream_backlog(stream(), f"{folder}/out", f"{folder}/c", "m", Counting, "t2").awaitTermination()
+    assert rows(spark.read.parquet(f"{folder}/out"), "paper_id") == [("2401.00001",), ("2402.00001",)]
+    assert rows(rejected_ids(spark, f"{folder}/out", "m")) == [("nobody knows",), ("x",)]
+
+
 def test_streamed_feedback_counts_an_event_once(spark, folder):
     items = [("t", "THUMBS_UP", "2024-01-01 00:00:00", 1), ("t", "THUMBS_UP", "2024-01-01 00:00:00", 1),
              ("t", "THUMBS_DOWN", "2024-01-01 01:00:00", 2), ("s", "THUMBS_UP", "2024-01-01 01:00:00", 3)]
