@@ -71,6 +71,20 @@ def test_without_repeats(spark, monkeypatch, shard):
     assert without_repeats(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shard", [8, 1 << 18])
+def test_a_row_repeated_many_times(spark, monkeypatch, shard):
+    """Repeated whole, under one id and under null, next to rows that share a part of it."""
+    monkeypatch.setattr(recompression, "SHARD", shard)
+    draw = random.Random(4)
+    filler = lambda n: " ".join(f"w{draw.randrange(5000)}" for _ in range(n))
+    passage = filler(50)
+    hot = f"{filler(20)} {passage} {filler(40)}"
+    rows = [(7, hot)] * 150 + [(None, hot)] * 150 + [(i, f"{filler(30)} {passage} {filler(9)}") for i in range(100, 110)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((tuple(r) for r in without_repeats(docs).collect()), key=str)
+    assert got == sorted(((r[0], *b) for r, b in zip(rows, brute_words([t for _, t in rows]))), key=str)
+
+
 def test_small_passes_change_nothing(monkeypatch):
     texts = [" ".join(t.split()).encode() for t in made_texts(3) if t]
     texts.append(b" ".join(texts) * 2)
