@@ -466,7 +466,7 @@ def migrate_everything(spark, folder):
     """Wide years, preference months and summary lines through one migration; its report has the log, warnings and counts."""
     root = scratch_path(spark, "migration")
     rows = wide(spark, folder)
-    for year in ("2024", "2025"):
+    for year in sorted(row["year"] for row in rows.select("year").distinct().collect()):
         rows.where(F.col("year") == year).drop("year").write.parquet(f"{root}/in/{year}.parquet")
     months = preference_months(spark, folder).withColumnRenamed("paper_id", "id").repartition("month")
     write_table(months, f"{root}/by-month", fmt="csv", partition_by=["month"])
