@@ -112,8 +112,10 @@ def embedding_backlog(inputs: DataFrame, existing: DataFrame) -> DataFrame:
     """
     rows = drop_blank_ids(inputs)
     missing = id_set(rows, "paper_id", "year").join(id_set(existing, "year", "paper_id"), ["year", "paper_id"], "left_anti")
-    first = missing.groupBy("paper_id").agg(F.min("year").alias("year"))
-    return keep_first(rows.join(first, ["paper_id", "year"], "left_semi"), "paper_id", ["text"])
+    first = missing.groupBy("paper_id").agg(F.min("year").alias("_first"))
+    # Joined on the id alone, which is also what the rows are ranked by: one shuffle of the texts serves both.
+    wanted = rows.join(first, "paper_id").where(F.col("year") == F.col("_first")).drop("_first")
+    return keep_first(wanted, "paper_id", ["text"])
 
 
 def lookup_by_id(vectors: DataFrame, ids: DataFrame, key: str = "paper_id") -> DataFrame:
