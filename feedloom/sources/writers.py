@@ -33,6 +33,11 @@ def path_exists(spark, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def is_folder(spark, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory()
+
+
 def partitions(spark: SparkSession, path: str, depth: int) -> list[str]:
     """Partition folders below `path`, as paths relative to it; one for each partition value."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

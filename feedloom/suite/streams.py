@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..plans.ingest import read_metadata_table
 from ..session import scratch_path
 from ..sources.versions import FAN, all_runs
-from ..sources.writers import write_vectors
+from ..sources.writers import is_folder, write_vectors
 from ..streaming.jobs import (
     feedback_state, file_stream, latest_state, preference_windows, rejected_ids, stream_backlog, stream_feedback,
     stream_job_metrics, stream_preference_counts, stream_upsert,
@@ -17,15 +17,21 @@ from .views import coded_id, coded_id_sql
 
 
 class StreamSource:
-    """Stands in for the session: `spark.read.parquet` becomes the streaming reader."""
+    """Stands in for the session: `spark.read.parquet` becomes the streaming reader.
+
+    A table is a folder of files, or one file, which a stream can only find by its name in the folder it lies in.
+    """
 
     def __init__(self, spark):
         self.spark = spark
         self.read = self
 
     def parquet(self, path):
+        schema = self.spark.read.parquet(path).schema
+        if is_folder(self.spark, path):
+            return file_stream(self.spark, path, schema)
         folder, name = path.rsplit("/", 1)
-        return file_stream(self.spark, folder, self.spark.read.parquet(path).schema, pattern=name)
+        return file_stream(self.spark, folder, schema, pattern=name)
 
 
 def finish(job):

@@ -35,6 +35,7 @@ from feedloom.streaming.jobs import (
     feedback_state, latest_state, preference_windows, rejected_ids, stream_backlog, stream_feedback, stream_job_metrics,
     stream_preference_counts, stream_upsert,
 )
+from feedloom.suite import QUERIES
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the workers cannot import tests
 
@@ -487,6 +488,19 @@ def test_a_bad_id_does_not_stop_the_backlog(spark, folder):
     assert rows(rejected_ids(spark, f"{folder}/out", "m")) == [("nobody knows",), ("x",)]
 
 
+def test_streams_of_tables_that_are_folders(spark, folder):
+    documents = [(i, f"text {i}", "en", "web", 6) for i in range(20)]
+    documents = spark.createDataFrame(documents, "doc_id long, text string, lang string, source string, n_chars long")
+    documents.repartition(3).write.parquet(f"{folder}/documents.parquet")
+    vectors = spark.createDataFrame([(i, [0.5] * 64, 0) for i in (1, 2)], "vec_id long, embedding array<float>, label int")
+    vectors.repartition(2).write.parquet(f"{folder}/embeddings.parquet")
+    got = QUERIES["stream_backlog_of_bad_ids"](spark, folder)
+    assert rows(got.where("place = 'rejected'"), "paper_id") == [("no year 13",), ("no year 4",)]
+    assert got.where("place = 'stored'").distinct().count() == 18 and got.count() == 20
+    added = QUERIES["stream_backlog"](spark, folder).groupBy("source").count()
+    assert rows(added, "source", "count") == [("embedding", 18), ("stored", 2)]
+
+
 def test_streamed_feedback_counts_an_event_once(spark, folder):
     items = [("t", "THUMBS_UP", "2024-01-01 00:00:00", 1), ("t", "THUMBS_UP", "2024-01-01 00:00:00", 1),
              ("t", "THUMBS_DOWN", "2024-01-01 01:00:00", 2), ("s", "THUMBS_UP", "2024-01-01 01:00:00", 3)]
