@@ -99,16 +99,21 @@ def flag_published(spark, folder):
     return publish_flags(summaries, prefs(spark, folder))
 
 
-REPLY, REPLY_THREADS = 10_000, 500
+REPLY = 10_000
 
 
 @query(with_views("reactions", f"""
 SELECT CAST(thread AS VARCHAR) || '.' || CAST(thread AS VARCHAR) AS arxiv_id, CAST(thread AS INTEGER) AS discussion_id,
   {LABEL_SQL} AS preference FROM reactions GROUP BY thread"""))
 def read_thread_replies(spark, folder):
-    """Replies of a discussion query as JSON files, each with some threads and a page of their reactions."""
+    """Replies of a discussion query as JSON files, each with some threads and a page of their reactions.
+
+    The threads' pages are dealt out over as many files as the reactions fill: their number and size do not depend on how
+    many threads a page has reactions of.
+    """
     root, number = scratch_path(spark, "replies"), F.col("thread").cast("string")
-    pages = reactions(spark, folder).groupBy("thread", F.floor(F.col("seq") / REPLY).alias("page")).agg(
+    rows = reactions(spark, folder)
+    pages = rows.groupBy("thread", F.floor(F.col("seq") / REPLY).alias("page")).agg(
         F.collect_list(F.struct("content", F.struct(F.lit("u").alias("login")).alias("user"))).alias("nodes"),
         F.max("updated_at").cast("string").alias("updatedAt"),
     )
@@ -116,9 +121,10 @@ def read_thread_replies(spark, folder):
         number.alias("id"), F.concat(F.lit("arXiv:"), number, F.lit("."), number).alias("title"), "updatedAt", F.lit("u").alias("url"),
         F.col("thread").cast("int").alias("number"), F.struct("nodes").alias("reactions"),
     )
-    reply = pages.groupBy("page", F.floor(F.col("thread") / REPLY_THREADS).alias("part")).agg(F.collect_list(node).alias("nodes"))
+    place = F.pmod(F.xxhash64("thread", "page"), F.lit(rows.count() // REPLY + 1))
+    reply = pages.groupBy(place.alias("reply")).agg(F.collect_list(node).alias("nodes"))
     discussions = F.struct(F.struct("nodes").alias("discussions"))
     value = F.to_json(F.struct(F.struct(discussions.alias("repository")).alias("data"))).alias("value")
-    files = reply.select(F.concat_ws("-", "page", "part").alias("reply"), value).repartition("reply")
-    files.write.partitionBy("reply").text(root)
-    return label_paged_threads(read_threads(spark, f"{root}/*/*.txt")).select("arxiv_id", "discussion_id", "preference")
+    # One reply per file: a reader takes a whole file as one document.
+    reply.select(value).write.option("maxRecordsPerFile", 1).text(root)
+    return label_paged_threads(read_threads(spark, root)).select("arxiv_id", "discussion_id", "preference")

@@ -14,6 +14,7 @@ from feedloom.plans.ingest import harvest, read_metadata_table, upsert_metadata
 from feedloom.plans.migrate import migrate_preferences, migrate_summaries, migrate_wide
 from feedloom.sources import readers
 from feedloom.streaming.jobs import file_stream
+from feedloom.suite import feedback
 
 
 def put(folder, name, content):
@@ -192,6 +193,23 @@ def test_threads_in_pages(spark):
     assert rows(got, "discussion_id", "preference", "updated_at") == [(1, "like", "2"), (2, "neutral", "3")]
 
 
+def test_replies_are_as_many_as_their_reactions_need(spark, folder, monkeypatch):
+    kinds = {0: "click", 1: "error", 2: "view"}
+    events = [(20_000 * i, datetime(2024, 1, 1), 700 * (i % 20), kinds[i % 20 % 3]) for i in range(60)]
+    events = spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string")
+    events.write.parquet(f"{folder}/events.parquet")
+    labels = {0: "like", 1: "dislike", 2: "neutral"}
+    want = sorted((f"{700 * i}.{700 * i}", 700 * i, labels[i % 3]) for i in range(20))
+    found = feedback.read_thread_replies(spark, folder)
+    assert rows(found) == want and len(found.inputFiles()) == 1
+    # Small replies: several files, each a whole document, and threads with pages in more than one.
+    monkeypatch.setattr(feedback, "REPLY", 10)
+    found = feedback.read_thread_replies(spark, folder)
+    files = found.inputFiles()
+    assert rows(found) == want and 3 <= len(files) <= 7
+    assert all(len(open(f.removeprefix("file://")).readlines()) == 1 for f in files)
+
+
 def test_summary_migration(spark, folder):
     put(folder, "raw/2024/memo-111.json", json.dumps({"id": "memo-111", "summary": "S1", "summary_time": "2024-02-03T08:00:00Z"}))
     put(folder, "raw/2024/memo-112.json", "{broken")
